@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _staged(name: str) -> str:
+    """Column name of a parsed field; capitals are marked, since Spark compares names without case."""
+    return "_num_" + re.sub("[A-Z]", lambda m: "^" + m.group(0).lower(), name)
+
+
 class Fields:
     """Named access to the loose properties of a feature table.
 
@@ -33,6 +38,11 @@ class Fields:
             return F.coalesce(F.map_contains_key(self._props, F.lit(name)), F.lit(False))
         return F.lit(name in self._columns)
 
+    def num(self, name: str) -> Column:
+        """The field as a finite double; a column staged by :func:`with_numbers` when there is one."""
+        staged = _staged(name)
+        return F.col(f"`{staged}`") if staged in self._columns else number(self.get(name))
+
     def feature_id(self) -> Column:
         if self._feature_id in self._columns:
             return F.col(self._feature_id).cast("string")
@@ -44,14 +54,23 @@ def blank_to_null(value: Column) -> Column:
     return F.when(trimmed != "", trimmed)
 
 
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,3})?\s*$"
+
+
 def number(value: Column) -> Column:
-    """Finite double or null."""
-    parsed = F.trim(value.cast("string")).try_cast("double")
-    return F.when(~F.isnan(parsed) & (F.abs(parsed) != float("inf")), parsed)
+    """Finite double or null. The text pattern leaves out NaN and infinities in one step."""
+    return F.trim(F.regexp_extract(value.cast("string"), NUMBER, 0)).try_cast("double")
+
+
+def with_numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Parse loose fields once, ahead of the rules that read them several times."""
+    fields = Fields(df)
+    return df.withColumns({_staged(n): number(fields.get(n)) for n in dict.fromkeys(names)})
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    """Null stays null; the bare functions would skip it."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
 def first_present(fields: Fields, names: Sequence[str]) -> Column:
@@ -79,7 +98,7 @@ def truthy(value: Column, words: Sequence[str]) -> Column:
 
 def numeric_truthy(value: Column, words: Sequence[str]) -> Column:
     """Like :func:`truthy`, for fields that may also hold numbers other than 0 and 1."""
-    return truthy(value, words) | F.coalesce(number(value) != 0, F.lit(False))
+    return truthy(value, words) | F.coalesce(value.try_cast("double") != 0, F.lit(False))
 
 
 def tri_state(value: Column, true_words: Sequence[str], false_words: Sequence[str]) -> Column:
@@ -88,7 +107,7 @@ def tri_state(value: Column, true_words: Sequence[str], false_words: Sequence[st
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    return text.rlike("|".join(re.escape(w) for w in words))
 
 
 def when_in_order(cases: Sequence[tuple[Column, Column]], otherwise: Column | None = None) -> Column:

@@ -19,7 +19,7 @@ def _literal_map(entries: dict) -> Column:
 def compatibility_use(value: Column) -> Column:
     text = F.replace(F.lower(F.trim(value.cast("string"))), F.lit(" "), F.lit("_"))
     known = {u: u for u in (*vocab.LAND_USES, "unknown")} | vocab.COMPATIBILITY_ALIASES
-    return F.coalesce(_literal_map(known).getItem(text), F.lit("unknown"))
+    return F.coalesce(_literal_map(known)[text], F.lit("unknown"))
 
 
 def pair_score(left: Column, right: Column) -> Column:
@@ -28,7 +28,7 @@ def pair_score(left: Column, right: Column) -> Column:
     for (a, b), score in vocab.COMPATIBILITY_PAIRS.items():
         entries[f"{a}|{b}"] = score
         entries[f"{b}|{a}"] = score
-    return F.coalesce(_literal_map(entries).getItem(F.concat_ws("|", left, right)), F.lit(0.0))
+    return F.coalesce(_literal_map(entries)[F.concat_ws("|", left, right)], F.lit(0.0))
 
 
 def proximity_use(value: Column) -> Column:
@@ -192,7 +192,7 @@ def mix_from_text(text: Column) -> dict[str, Column]:
     for use in vocab.LAND_USES:
         hits = F.regexp_extract_all(lowered, F.lit(rf"(\d+)\s*%\s*{use}"), F.lit(1))
         last = F.try_element_at(hits, F.lit(-1)).cast("double") / 100
-        named[use] = F.least(last, F.lit(1.0))
+        named[use] = F.when(last.isNotNull(), F.least(last, F.lit(1.0)))
     total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in named.values()])
     left = F.greatest(F.lit(0.0), F.lit(1.0) - total)
     open_share = reduce(lambda a, b: a + b, [

@@ -9,11 +9,21 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotweave.functions import vocab
-from lotweave.functions.coerce import Fields, blank_to_null, clamp, number, when_in_order
+from lotweave.functions.coerce import Fields, blank_to_null, clamp, number, when_in_order, with_numbers
+
+
+SUITABILITY_FIELDS = tuple(
+    name for u in vocab.LAND_USES
+    for name in (u, f"suitability_{u}", f"{u}_suitability", f"score_{u}", f"{u}_score"))
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Parse every risk and suitability field once."""
+    return with_numbers(df, [*vocab.RISK_KEYS_PROXIMITY, *vocab.RISK_KEYS_COMPATIBILITY, *SUITABILITY_FIELDS])
 
 
 def planner_risk(fields: Fields) -> Column:
@@ -21,7 +31,7 @@ def planner_risk(fields: Fields) -> Column:
     scaled = (("risk_score_norm", 1.0), ("environmental_risk", 1.0),
               ("xgb_risk_score", 100.0), ("rule_risk_score", 100.0))
     cases = [
-        (fields.has(key), clamp(F.coalesce(number(fields.get(key)), F.lit(0.0)) / F.lit(divisor)))
+        (fields.has(key), clamp(F.coalesce(fields.num(key), F.lit(0.0)) / F.lit(divisor)))
         for key, divisor in scaled
     ]
     return when_in_order(cases, F.lit(0.0))
@@ -31,34 +41,33 @@ def proximity_risk(fields: Fields, keys: Sequence[str] = vocab.RISK_KEYS_PROXIMI
     """First usable key; over 100 counts as 1 and negatives as 0; null when none is usable."""
     options = []
     for key in keys:
-        value = number(fields.get(key))
+        value = fields.num(key)
         scaled = F.when((value > 1) & (value <= 100), value / 100).otherwise(value)
         options.append(F.when(value.isNotNull(), clamp(scaled)))
     return F.coalesce(*options)
 
 
-def percent_or_fraction(value: Column) -> Column:
+def percent_or_fraction(parsed_or_null: Column) -> Column:
     """1 < v <= 100 is a percentage; everything is clamped to 0-1; unreadable counts as 0."""
-    parsed = F.coalesce(number(value), F.lit(0.0))
+    parsed = F.coalesce(parsed_or_null, F.lit(0.0))
     return clamp(F.when((parsed > 1) & (parsed <= 100), parsed / 100).otherwise(parsed))
 
 
 def compatibility_risk(fields: Fields, keys: Sequence[str] = vocab.RISK_KEYS_COMPATIBILITY) -> Column:
     """First key present decides, even when its value is unreadable."""
     return when_in_order(
-        [(fields.has(k), percent_or_fraction(fields.get(k))) for k in keys], F.lit(0.0))
+        [(fields.has(k), percent_or_fraction(fields.num(k))) for k in keys], F.lit(0.0))
 
 
-def strict_fraction(value: Column) -> Column:
+def strict_fraction(parsed: Column) -> Column:
     """0-1 as is, up to 100 as a percentage, anything else null."""
-    parsed = number(value)
     return F.when((parsed >= 0) & (parsed <= 1), parsed).when(
         (parsed > 1) & (parsed <= 100), parsed / 100)
 
 
 def strict_risk(fields: Fields, keys: Sequence[str]) -> Column:
     """First key whose value passes :func:`strict_fraction` (explanation, comparison, area)."""
-    return F.coalesce(*[strict_fraction(fields.get(k)) for k in keys])
+    return F.coalesce(*[strict_fraction(fields.num(k)) for k in keys])
 
 
 def suitability_from_risk(risk: Column) -> dict[str, Column]:
@@ -70,31 +79,38 @@ def suitability_from_risk(risk: Column) -> dict[str, Column]:
     }
 
 
-def planner_suitability(fields: Fields, labels: Sequence[str] = vocab.LAND_USES) -> dict[str, Column]:
-    """``suitability_x`` else ``x`` per label; risk-derived scores when no label is given at all."""
+def planner_suitability(fields: Fields, labels: Sequence[str] = vocab.LAND_USES, known: Column | None = None) -> dict[str, Column]:
+    """``suitability_x`` else ``x`` per label; risk-derived scores when no label is given at all.
+
+    Pass ``known`` (a column already holding :func:`planner_risk`) to keep the generated code small.
+    """
     raw = {u: F.coalesce(fields.get(f"suitability_{u}"), fields.get(u)) for u in labels}
-    explicit = reduce(lambda a, b: a | b, [c.isNotNull() for c in raw.values()])
+    own = {u: F.when(fields.get(f"suitability_{u}").isNotNull(), fields.num(f"suitability_{u}")).otherwise(fields.num(u)) for u in labels}
+    explicit = F.coalesce(*raw.values()).isNotNull()
     signal = reduce(
         lambda a, b: a | b,
         [F.coalesce(fields.get(k) != "", F.lit(False)) for k in vocab.RISK_KEYS_AREA])
-    derived = suitability_from_risk(planner_risk(fields))
+    derived = suitability_from_risk(planner_risk(fields) if known is None else known)
     return {
-        u: F.when(explicit, clamp(F.coalesce(number(raw[u]), F.lit(0.0))))
+        u: F.when(explicit, clamp(F.coalesce(own[u], F.lit(0.0))))
         .when(signal, derived.get(u, F.lit(0.0)))
         .otherwise(F.lit(0.0))
         for u in labels
     }
 
 
-def explanation_suitability(fields: Fields) -> dict[str, Column]:
-    """Five aliases per use, percentages accepted; risk-derived when none is usable."""
+def explanation_suitability(fields: Fields, known: Column | None = None) -> dict[str, Column]:
+    """Five aliases per use, percentages accepted; risk-derived when none is usable.
+
+    ``known``: a column already holding the explanation risk.
+    """
     found = {
-        u: F.coalesce(*[strict_fraction(fields.get(n)) for n in (
+        u: F.coalesce(*[strict_fraction(fields.num(n)) for n in (
             u, f"suitability_{u}", f"{u}_suitability", f"score_{u}", f"{u}_score")])
         for u in vocab.LAND_USES
     }
-    any_found = reduce(lambda a, b: a | b, [c.isNotNull() for c in found.values()])
-    risk = strict_risk(fields, vocab.RISK_KEYS_EXPLANATION)
+    any_found = F.coalesce(*found.values()).isNotNull()
+    risk = strict_risk(fields, vocab.RISK_KEYS_EXPLANATION) if known is None else known
     derived = suitability_from_risk(risk)
     return {
         u: F.when(any_found, F.coalesce(found[u], F.lit(0.0)))
@@ -104,14 +120,14 @@ def explanation_suitability(fields: Fields) -> dict[str, Column]:
 
 
 def area_suitability(fields: Fields, use: str) -> Column:
-    return F.coalesce(*[strict_fraction(fields.get(n)) for n in (f"suitability_{use}", use)])
+    return F.coalesce(*[strict_fraction(fields.num(n)) for n in (f"suitability_{use}", use)])
 
 
 def report_suitability(fields: Fields, use: str) -> Column:
     """Three aliases; the first non-negative number decides and may exceed 1 after scaling."""
     options = []
     for name in (f"suitability_{use}", f"{use}_suitability", use):
-        value = number(fields.get(name))
+        value = fields.num(name)
         options.append(F.when(value >= 0, F.when(value <= 1, value).otherwise(value / 100)))
     return F.coalesce(*options)
 
@@ -119,7 +135,7 @@ def report_suitability(fields: Fields, use: str) -> Column:
 def feature_based_risk(fields: Fields) -> Column:
     """Weighted air, surface and soil risk; null when all four inputs are missing."""
     def either(*names: str) -> Column:
-        return F.coalesce(*[number(fields.get(n)) for n in names])
+        return F.coalesce(*[fields.num(n) for n in names])
 
     aqi = either("aqi_mean", "AirQualityIndex")
     surface = either("impervious_mean", "ImperviousSurface")
@@ -151,19 +167,13 @@ def rule_risk_score(flags: Mapping[str, Column]) -> Column:
 
 def attribution(flags: Mapping[str, Column]) -> Column:
     """Array of (factor, label, weight, active, contribution_pct), largest first, table order kept."""
-    rows = []
-    for order, (name, weight) in enumerate(vocab.RISK_WEIGHTS.items()):
-        active = flags[name] == 1
-        share = F.round(F.when(active, F.lit(weight)).otherwise(0.0) * 100, 1)
-        rows.append(F.struct(
-            (-share).alias("sort_share"), F.lit(order).alias("sort_order"),
-            F.lit(name).alias("factor"), F.lit(vocab.RISK_LABELS[name]).alias("label"),
-            F.lit(weight).alias("weight"), active.alias("active"), share.alias("contribution_pct")))
-    return F.transform(
-        F.array_sort(F.array(*rows)),
-        lambda r: F.struct(r["factor"].alias("factor"), r["label"].alias("label"),
-                           r["weight"].alias("weight"), r["active"].alias("active"),
-                           r["contribution_pct"].alias("contribution_pct")))
+    rows = F.array(*[
+        F.struct(F.lit(name).alias("factor"), F.lit(vocab.RISK_LABELS[name]).alias("label"), F.lit(weight).alias("weight"),
+                 (flags[name] == 1).alias("active"),
+                 F.round(F.when(flags[name] == 1, F.lit(weight)).otherwise(0.0) * 100, 1).alias("contribution_pct"))
+        for name, weight in vocab.RISK_WEIGHTS.items()])
+    # the table lists weights from large to small, so active rows first is the sorted order
+    return F.concat(F.filter(rows, lambda r: r["active"]), F.filter(rows, lambda r: ~r["active"]))
 
 
 def attribution_total(flags: Mapping[str, Column]) -> Column:
@@ -173,7 +183,7 @@ def attribution_total(flags: Mapping[str, Column]) -> Column:
 
 
 def active_labels(flags: Mapping[str, Column]) -> Column:
-    return F.transform(F.filter(attribution(flags), lambda r: r["active"]), lambda r: r["label"])
+    return F.array_compact(F.array(*[F.when(flags[n] == 1, F.lit(vocab.RISK_LABELS[n])) for n in vocab.RISK_WEIGHTS]))
 
 
 def tier(value: Column, high: float = 0.70, middle: float = 0.40, names=("high", "moderate", "low"),

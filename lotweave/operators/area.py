@@ -20,6 +20,7 @@ def _label(value: Column) -> Column:
 
 
 def area_facts(features: DataFrame) -> DataFrame:
+    features = rk.staged(features)
     f = Fields(features)
     positive = lambda name: F.when(number(f.get(name)) > 0, number(f.get(name)))
     return features.select(

@@ -11,7 +11,7 @@ from lotweave.functions import vocab
 from lotweave.functions.coerce import Fields, blank_to_null, first_present, kept, thousands, tri_state
 from lotweave.functions.landuse import (
     change_class, comparison_allowed_uses, comparison_use, map_use, map_use_code)
-from lotweave.functions.risk import strict_risk, tier
+from lotweave.functions.risk import staged, strict_risk, tier
 
 
 def plan_assignments(plans: DataFrame, container: str = "assignments") -> DataFrame:
@@ -39,6 +39,7 @@ def assignment_map(plans: DataFrame, container: str = "assignments") -> DataFram
 
 def parcel_facts(features: DataFrame, key: str = "parcel_id") -> DataFrame:
     """Per parcel: comparison risk, explicit zoning verdict, allowed uses, neighbour ids."""
+    features = staged(features)
     f = Fields(features)
     verdict = F.coalesce(*[tri_state(f.get(n), vocab.TRUE_WORDS_COMPARISON, vocab.FALSE_WORDS_COMPARISON)
                            for n in ("zoningCompatible", "zoning_compatible")])

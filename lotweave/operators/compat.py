@@ -57,7 +57,7 @@ def scored_pairs(pairs: DataFrame, assignments: DataFrame, risks: DataFrame) ->
         .join(uses.withColumnsRenamed({"parcel_id": "right_id", "uses": "_ru"}), "right_id", "left"))
     every = plans.agg(F.sort_array(F.collect_list("plan")).alias("_plans"))
     rows = both.crossJoin(F.broadcast(every)).withColumn("plan", F.explode("_plans"))
-    pick = lambda m: F.coalesce(F.col(m).getItem(F.col("plan")), F.lit("unknown"))
+    pick = lambda m: F.coalesce(F.col(m)[F.col("plan")], F.lit("unknown"))
     return rows.select("plan", "left_id", "right_id", "distance_m", "max_risk",
                        pick("_lu").alias("left_use"), pick("_ru").alias("right_use"))
 

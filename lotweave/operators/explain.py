@@ -39,10 +39,12 @@ def assignment_facts(rows: DataFrame, target: Mapping[str, float] | None = None)
 
     A use outside the four labels is an error.
     """
+    rows = rk.staged(rows)
     f = Fields(rows)
     use = F.lower(F.trim("use"))
     checked = F.when(use.isin(*vocab.LAND_USES), use).otherwise(F.raise_error(F.concat(F.lit("Unsupported assigned use: "), F.col("use"))))
-    scores = rk.explanation_suitability(f)
+    rows = rows.withColumn("risk_norm", rk.strict_risk(f, vocab.RISK_KEYS_EXPLANATION))
+    scores = rk.explanation_suitability(f, F.col("risk_norm"))
     flags = flag_columns(f)
     signal = reduce(lambda a, b: a | b, [F.coalesce(f.get(n) != "", F.lit(False)) for n in (
         "allowed_uses", "ZONING_CODE", "GP_LAND_USE", "zoning_code", "gp_land_use")])
@@ -51,7 +53,7 @@ def assignment_facts(rows: DataFrame, target: Mapping[str, float] | None = None)
     share = when_in_order([(F.col("assigned") == u, F.lit(w / total)) for u, w in weights.items()]) if weights else F.lit(None).cast("double")
     base = rows.select(
         "*", checked.alias("assigned"), *[c.alias(f"s_{u}") for u, c in scores.items()],
-        rk.strict_risk(f, vocab.RISK_KEYS_EXPLANATION).alias("risk_norm"), rk.active_labels(flags).alias("hazards"),
+        rk.active_labels(flags).alias("hazards"),
         signal.alias("zoning_signal"), F.when(signal, planner_allowed_uses(f)).alias("allowed"))
     ranked = suitability_rank({u: F.col(f"s_{u}") for u in vocab.LAND_USES})
     ranks = base.withColumn("ranked", ranked)

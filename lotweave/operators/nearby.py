@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lotweave.functions import vocab
 from lotweave.functions.coerce import Fields, first_present, numeric_truthy
 from lotweave.functions.landuse import proximity_use
-from lotweave.functions.risk import proximity_risk
+from lotweave.functions.risk import proximity_risk, staged
 from lotweave.operators.ranking import most_frequent, top_k
 from lotweave.operators.spatial import nearby
 
@@ -24,6 +24,7 @@ def nearest(centres: DataFrame, parcels: DataFrame, radius_m: float, limit: int
 
 def planning_facts(features: DataFrame, key: str = "parcel_id") -> DataFrame:
     """Risk, zoning, land-use bucket and hazard flags of each parcel as this summary reads them."""
+    features = staged(features)
     f = Fields(features)
     hazards = {}
     for name, aliases in vocab.HAZARD_ALIASES.items():

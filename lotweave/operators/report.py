@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lotweave.functions import vocab
 from lotweave.functions.coerce import Fields, fixed, kept, numeric_truthy, pct0
 from lotweave.functions.landuse import fold, readable_use, report_allowed_uses
-from lotweave.functions.risk import report_suitability, strict_risk
+from lotweave.functions.risk import report_suitability, staged, strict_risk
 from lotweave.operators.compare import target_percent
 
 REPORT_BUILT = (*vocab.BUILT_USES, "mixed_use")
@@ -18,6 +18,7 @@ REPORT_BUILT = (*vocab.BUILT_USES, "mixed_use")
 
 def report_facts(features: DataFrame, key: str = "parcel_id") -> DataFrame:
     """Per parcel: risk, distinct active hazard labels, zoning verdict, allowed uses, suitability per use."""
+    features = staged(features)
     f = Fields(features)
     labels = F.array_distinct(kept(*[
         F.when(numeric_truthy(f.get(name), vocab.TRUE_WORDS_REPORT), F.lit(label))

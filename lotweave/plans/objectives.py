@@ -79,7 +79,7 @@ def risk_exposure(ctx: Context) -> Column:
 
 def suitability_loss(ctx: Context) -> Column:
     known = F.col("use_code").between(0, len(ctx.labels) - 1)
-    own = F.col("suit").getItem(use_label(F.col("use_code"), ctx.labels))
+    own = F.col("suit")[use_label(F.col("use_code"), ctx.labels)]
     loss = F.lit(1.0) - F.least(F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     weighted = F.sum(F.when(known, loss * _area()).otherwise(0.0))
     return _ratio(weighted, F.sum(_area()), F.coalesce(F.avg(F.when(known, loss)), F.lit(0.0)))
@@ -110,7 +110,7 @@ def fragmentation(rows: DataFrame, ctx: Context) -> DataFrame:
     packed = rows.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*keys), F.col("use_code")))).alias("m"))
     both = (ctx.edges.join(packed.select(F.col("pos").alias("a"), F.col("m").alias("ma")), "a")
             .join(packed.select(F.col("pos").alias("b"), F.col("m").alias("mb")), "b"))
-    ends = both.select(F.explode("ma").alias("k", "ua"), "mb").withColumn("ub", F.col("mb").getItem(F.col("k"))).filter(F.col("ub").isNotNull())
+    ends = both.select(F.explode("ma").alias("k", "ua"), "mb").withColumn("ub", F.col("mb")[F.col("k")]).filter(F.col("ub").isNotNull())
     share = ends.groupBy("k").agg(F.avg((F.col("ua") != F.col("ub")).cast("double")).alias("value"))
     found = share.select(*[F.col("k")[c].alias(c) for c in keys], "value")
     return plans.join(found, keys, "left").fillna(0.0, ["value"])

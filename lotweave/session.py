@@ -29,4 +29,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of ``df``; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -85,6 +85,11 @@ def session_stream(events: DataFrame, watermark: str = "1 hour", keep: int = HIS
 
 
 def write_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
-    """Start writing a stream to a parquet table, one batch at a time, until the input is used up."""
-    return (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-            .foreachBatch(lambda df, epoch: df.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)).start())
+    """Start writing a stream to one parquet folder per batch until the input is used up.
+
+    A batch that runs again replaces its own folder, so retries leave no duplicates.
+    """
+    def save(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
