@@ -28,13 +28,14 @@ def read_geojson(spark: SparkSession, path: str, collection: bool = False, srid:
     if collection:
         files = spark.read.text(path, wholetext=True)
         items = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
-        return _typed(files.select(F.posexplode(items).alias("pos", "value")).select(
+        return parse_features(files.select(F.posexplode(items).alias("pos", "value")).select(
             F.col("pos").cast("bigint").alias("pos"), "value"), srid)
     lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("pos", F.monotonically_increasing_id())
-    return _typed(lines, srid)
+    return parse_features(lines, srid)
 
 
-def _typed(rows: DataFrame, srid: int) -> DataFrame:
+def parse_features(rows: DataFrame, srid: int = 4326) -> DataFrame:
+    """Feature rows from (value, pos) rows of one GeoJSON feature text each; nested values stay JSON text."""
     raw = F.col("value")
     shape = g.from_geojson(F.get_json_object(raw, "$.geometry"))
     props = F.from_json(F.get_json_object(raw, "$.properties"), "map<string,string>")
