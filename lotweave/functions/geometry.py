@@ -19,6 +19,11 @@ AUTHALIC_RADIUS_M = 6_371_007.180918
 WGS84_E = 0.0818191908426215
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once; worth it inside array expressions, which are not compiled."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -101,11 +106,17 @@ def segments(geom: Column) -> Column:
 
 def bounds(geom: Column) -> Column:
     """Struct (xmin, ymin, xmax, ymax) over the finite vertices; null when there are none."""
-    pts = F.filter(vertices(geom), lambda p: (F.abs(p["x"]) < float("inf")) & (F.abs(p["y"]) < float("inf")))
-    xs, ys = F.transform(pts, lambda p: p["x"]), F.transform(pts, lambda p: p["y"])
-    box = F.struct(F.array_min(xs).alias("xmin"), F.array_min(ys).alias("ymin"),
-                   F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
-    return F.when(F.size(pts) > 0, box)
+    inf = float("inf")
+
+    def corner(x0, y0, x1, y1) -> Column:
+        return F.struct(x0.alias("xmin"), y0.alias("ymin"), x1.alias("xmax"), y1.alias("ymax"))
+
+    def widen(b: Column, p: Column) -> Column:
+        grown = corner(F.least(b["xmin"], p["x"]), F.least(b["ymin"], p["y"]), F.greatest(b["xmax"], p["x"]), F.greatest(b["ymax"], p["y"]))
+        return F.when((F.abs(p["x"]) < inf) & (F.abs(p["y"]) < inf), grown).otherwise(b)
+
+    return F.aggregate(vertices(geom), corner(F.lit(inf), F.lit(inf), F.lit(-inf), F.lit(-inf)), widen,
+                       lambda b: F.when(b["xmin"] <= b["xmax"], b))
 
 
 def mercator(geom: Column) -> Column:
@@ -131,15 +142,20 @@ def _sum(items: Column, term) -> Column:
 
 
 def _ring_terms(r: Column) -> Column:
-    """(double area, x moment, y moment) of a ring, relative to its first point, always positive area."""
-    origin = F.get(r, F.lit(0))
-    moved = F.transform(r, lambda p: point(p["x"] - origin["x"], p["y"] - origin["y"]))
-    edges = _ring_segments(moved)
-    cross = lambda s: s["x1"] * s["y2"] - s["x2"] * s["y1"]
-    twice = _sum(edges, cross)
-    mx = _sum(edges, lambda s: (s["x1"] + s["x2"]) * cross(s))
-    my = _sum(edges, lambda s: (s["y1"] + s["y2"]) * cross(s))
-    return F.struct(twice.alias("twice"), mx.alias("mx"), my.alias("my"), origin["x"].alias("ox"), origin["y"].alias("oy"))
+    """(double area, x moment, y moment) of a ring, relative to its first point."""
+    def sums(origin: Column) -> Column:
+        moved = F.transform(r, lambda p: point(p["x"] - origin["x"], p["y"] - origin["y"]))
+        zero = F.struct(*[F.lit(0.0).alias(n) for n in ("twice", "mx", "my")])
+
+        def add(acc: Column, s: Column) -> Column:
+            return let(s["x1"] * s["y2"] - s["x2"] * s["y1"], lambda c: F.struct(
+                (acc["twice"] + c).alias("twice"), (acc["mx"] + (s["x1"] + s["x2"]) * c).alias("mx"),
+                (acc["my"] + (s["y1"] + s["y2"]) * c).alias("my")))
+
+        return F.aggregate(_ring_segments(moved), zero, add, lambda t: F.struct(
+            t["twice"].alias("twice"), t["mx"].alias("mx"), t["my"].alias("my"), origin["x"].alias("ox"), origin["y"].alias("oy")))
+
+    return let(F.get(r, F.lit(0)), sums)
 
 
 def _signed_rings(geom: Column) -> Column:
@@ -150,8 +166,12 @@ def _signed_rings(geom: Column) -> Column:
     return F.flatten(F.transform(geom, of_polygon))
 
 
+def _rings_area(rings: Column) -> Column:
+    return _sum(rings, lambda r: r["role"] * F.abs(r["t"]["twice"]) / 2)
+
+
 def planar_area(geom: Column) -> Column:
-    return _sum(_signed_rings(geom), lambda r: r["role"] * F.abs(r["t"]["twice"]) / 2)
+    return _rings_area(_signed_rings(geom))
 
 
 def planar_length(geom: Column) -> Column:
@@ -160,8 +180,6 @@ def planar_length(geom: Column) -> Column:
 
 def centroid(geom: Column) -> Column:
     """Area centroid; length-weighted for lines; vertex mean for points and degenerate shapes."""
-    rings = _signed_rings(geom)
-
     def moment(axis: str, offset: str):
         def term(r: Column) -> Column:
             t = r["t"]
@@ -169,18 +187,21 @@ def centroid(geom: Column) -> Column:
             return r["role"] * sign * (t[axis] / 6 + t[offset] * t["twice"] / 2)
         return term
 
-    area = planar_area(geom)
-    length = planar_length(geom)
-    edges = segments(geom)
-    seg_len = lambda s: F.sqrt((s["x2"] - s["x1"]) ** 2 + (s["y2"] - s["y1"]) ** 2)
-    pts = vertices(geom)
-    mean = lambda axis: _sum(pts, lambda p: p[axis]) / F.size(pts)
-    return (
-        F.when(area > 0, point(_sum(rings, moment("mx", "ox")) / area, _sum(rings, moment("my", "oy")) / area))
-        .when(length > 0, point(
+    def of_area(rings: Column) -> Column:
+        return let(_rings_area(rings), lambda area: F.when(area > 0, point(
+            _sum(rings, moment("mx", "ox")) / area, _sum(rings, moment("my", "oy")) / area)))
+
+    def of_length(edges: Column) -> Column:
+        seg_len = lambda s: F.sqrt((s["x2"] - s["x1"]) ** 2 + (s["y2"] - s["y1"]) ** 2)
+        return let(_sum(edges, seg_len), lambda length: F.when(length > 0, point(
             _sum(edges, lambda s: seg_len(s) * (s["x1"] + s["x2"]) / 2) / length,
-            _sum(edges, lambda s: seg_len(s) * (s["y1"] + s["y2"]) / 2) / length))
-        .otherwise(point(mean("x"), mean("y"))))
+            _sum(edges, lambda s: seg_len(s) * (s["y1"] + s["y2"]) / 2) / length)))
+
+    def of_points(pts: Column) -> Column:
+        return point(_sum(pts, lambda p: p["x"]) / F.size(pts), _sum(pts, lambda p: p["y"]) / F.size(pts))
+
+    usable = F.when(F.size(vertices(geom)) > 0, geom)
+    return F.coalesce(let(_signed_rings(usable), of_area), let(segments(usable), of_length), let(vertices(usable), of_points))
 
 
 def vertex_mean(geom: Column) -> Column:
@@ -255,10 +276,10 @@ def _cross_properly(p: Column, q: Column) -> Column:
 
 
 def _meet(p: Column, q: Column) -> Column:
-    d1, d2, d3, d4 = _turns(p, q)
-    return (((d1 * d2 < 0) & (d3 * d4 < 0))
-            | ((d1 == 0) & _within_span(q, p["x1"], p["y1"])) | ((d2 == 0) & _within_span(q, p["x2"], p["y2"]))
-            | ((d3 == 0) & _within_span(p, q["x1"], q["y1"])) | ((d4 == 0) & _within_span(p, q["x2"], q["y2"])))
+    turns = F.struct(*[d.alias(f"d{i}") for i, d in enumerate(_turns(p, q), 1)])
+    return let(turns, lambda t: ((t["d1"] * t["d2"] < 0) & (t["d3"] * t["d4"] < 0))
+               | ((t["d1"] == 0) & _within_span(q, p["x1"], p["y1"])) | ((t["d2"] == 0) & _within_span(q, p["x2"], p["y2"]))
+               | ((t["d3"] == 0) & _within_span(p, q["x1"], q["y1"])) | ((t["d4"] == 0) & _within_span(p, q["x2"], q["y2"])))
 
 
 def _on_edge(edges: Column, x: Column, y: Column) -> Column:
@@ -286,44 +307,57 @@ def _polygonal(geom: Column) -> Column:
 
 def _interior_point(edges: Column) -> Column:
     """A point strictly inside: the middle of the first span on a scan line between two vertex heights."""
-    heights = F.array_sort(F.array_distinct(F.transform(edges, lambda s: s["y1"])))
-    y = (F.get(heights, F.lit(0)) + F.get(heights, F.lit(1))) / 2
-    xs = F.array_sort(F.transform(
-        F.filter(edges, lambda s: (s["y1"] > y) != (s["y2"] > y)),
-        lambda s: (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]))
-    return point((F.get(xs, F.lit(0)) + F.get(xs, F.lit(1))) / 2, y)
+    heights = F.slice(F.array_sort(F.array_distinct(F.transform(edges, lambda s: s["y1"]))), 1, 2)
+
+    def on_line(y: Column) -> Column:
+        xs = F.slice(F.array_sort(F.transform(
+            F.filter(edges, lambda s: (s["y1"] > y) != (s["y2"] > y)),
+            lambda s: (s["x2"] - s["x1"]) * (y - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"])), 1, 2)
+        return let(xs, lambda x: point((F.get(x, F.lit(0)) + F.get(x, F.lit(1))) / 2, y))
+
+    return let(let(heights, lambda h: (F.get(h, F.lit(0)) + F.get(h, F.lit(1))) / 2), on_line)
 
 
 def _first_points(geom: Column) -> Column:
     return F.transform(F.flatten(geom), lambda r: F.get(r, F.lit(0)))
 
 
+def _both(a: Column, b: Column, test) -> Column:
+    """Run ``test`` on the edges, polygon marks and start points of two shapes, each computed once."""
+    parts = F.struct(segments(a).alias("ea"), segments(b).alias("eb"), _polygonal(a).alias("pa"), _polygonal(b).alias("pb"),
+                     _first_points(a).alias("fa"), _first_points(b).alias("fb"))
+    return F.coalesce(let(parts, test), F.lit(False))
+
+
+def _parts_intersect(t: Column) -> Column:
+    return (F.exists(t["ea"], lambda p: F.exists(t["eb"], lambda q: _meet(p, q)))
+            | F.exists(t["fa"], lambda v: _inside(t["eb"], t["pb"], v["x"], v["y"]))
+            | F.exists(t["fb"], lambda v: _inside(t["ea"], t["pa"], v["x"], v["y"])))
+
+
 def intersects(a: Column, b: Column) -> Column:
     """Any edges meet, or one shape lies inside the other."""
-    ea, eb = segments(a), segments(b)
-    pa, pb = _polygonal(a), _polygonal(b)
-    return (F.exists(ea, lambda p: F.exists(eb, lambda q: _meet(p, q)))
-            | F.exists(_first_points(a), lambda v: _inside(eb, pb, v["x"], v["y"]))
-            | F.exists(_first_points(b), lambda v: _inside(ea, pa, v["x"], v["y"])))
+    return _both(a, b, _parts_intersect)
 
 
 def touches(a: Column, b: Column) -> Column:
     """Boundaries meet and interiors do not overlap."""
-    ea, eb = segments(a), segments(b)
-    pa, pb = _polygonal(a), _polygonal(b)
-
     def pokes_in(edges: Column, other: Column, other_polygonal: Column) -> Column:
         return F.exists(edges, lambda s: _strictly_inside(other, other_polygonal, s["x1"], s["y1"])
                         | _strictly_inside(other, other_polygonal, (s["x1"] + s["x2"]) / 2, (s["y1"] + s["y2"]) / 2))
 
     def core_inside(edges: Column, own_polygonal: Column, other: Column, other_polygonal: Column) -> Column:
-        core = _interior_point(edges)
-        return own_polygonal & F.coalesce(_strictly_inside(other, other_polygonal, core["x"], core["y"]), F.lit(False))
+        return own_polygonal & F.coalesce(let(_interior_point(edges), lambda c: _strictly_inside(
+            other, other_polygonal, c["x"], c["y"])), F.lit(False))
+
+    def test(t: Column) -> Column:
+        ea, eb, pa, pb = t["ea"], t["eb"], t["pa"], t["pb"]
+        overlap = (F.exists(ea, lambda p: F.exists(eb, lambda q: _cross_properly(p, q)))
+                   | pokes_in(ea, eb, pb) | pokes_in(eb, ea, pa)
+                   | core_inside(ea, pa, eb, pb) | core_inside(eb, pb, ea, pa))
+        return _parts_intersect(t) & ~overlap
 
-    overlap = (F.exists(ea, lambda p: F.exists(eb, lambda q: _cross_properly(p, q)))
-               | pokes_in(ea, eb, pb) | pokes_in(eb, ea, pa)
-               | core_inside(ea, pa, eb, pb) | core_inside(eb, pb, ea, pa))
-    return intersects(a, b) & ~overlap
+    return _both(a, b, test)
 
 
 def is_box(geom: Column) -> Column:

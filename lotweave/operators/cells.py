@@ -31,96 +31,99 @@ FINEST_CLASS = -24  # smallest cell edge is 4 * 2**-24 coordinate units
 METRES_PER_DEGREE = math.pi * 6_371_000.0 / 180.0
 
 
-def _size_class(box: Column) -> Column:
+EDGES = ("xmin", "ymin", "xmax", "ymax")
+
+
+def _size_class(xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
     """Even exponent k with box extent <= 2**k."""
-    extent = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
-    exact = F.ceil(F.log2(F.greatest(extent, F.lit(2.0 ** FINEST_CLASS))) / 2) * 2
-    return exact.cast("int")
+    extent = F.greatest(xmax - xmin, ymax - ymin, F.lit(2.0 ** FINEST_CLASS))
+    return (F.ceil(F.log2(extent) / 2) * 2).cast("int")
+
+
+def _prefixed(df: DataFrame, box: str, side: str) -> DataFrame:
+    """Columns renamed to ``side_name``, the box as four plain columns, and the size class.
+
+    Rows stay flat until the pairs are found: Spark prunes plain columns through the cell
+    explosion, and a row without a box explodes to nothing.
+    """
+    edges = {f"{side}_{e}_": F.col(box)[e] for e in EDGES}
+    flat = df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns], *[c.alias(n) for n, c in edges.items()])
+    return flat.withColumn(f"{side}_class_", _size_class(*[F.col(n) for n in edges]))
 
 
-def _spread(df: DataFrame, klass: Column) -> DataFrame:
+def _spread(df: DataFrame, klass: Column, side: str) -> DataFrame:
     """One row per cell of class ``klass`` the box touches."""
     sized = df.withColumn("_k", klass).withColumn("_edge", F.pow(F.lit(2.0), F.col("_k")))
-    box = F.col("_box")
     for axis in ("x", "y"):
-        low = F.floor(box[f"{axis}min"] / F.col("_edge"))
-        high = F.floor(box[f"{axis}max"] / F.col("_edge"))
+        low = F.floor(F.col(f"{side}_{axis}min_") / F.col("_edge"))
+        high = F.floor(F.col(f"{side}_{axis}max_") / F.col("_edge"))
         sized = sized.withColumn(f"_c{axis}", F.explode(F.sequence(low, high)))
     return sized
 
 
-def _salted(many: DataFrame, few: DataFrame, keys: list[str], hot_rows: int, salt_from: int):
+def _salted(many: DataFrame, few: DataFrame, keys: list[str], row_key: Column, hot_rows: int, salt_from: int):
     """Add ``_salt`` to both sides so that hot keys of ``many`` spread over several tasks."""
     if planned_bytes(many) < salt_from:
         return many, few, keys
     parts = (many.groupBy(*keys).count().filter(F.col("count") > hot_rows)
              .select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("_parts")))
     parted = F.coalesce("_parts", F.lit(1))
-    many = (many.join(parts, keys, "left")
-            .withColumn("_salt", F.pmod(F.xxhash64("_row"), parted).cast("int")).drop("_parts"))
+    many = many.join(parts, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(row_key), parted).cast("int")).drop("_parts")
     few = (few.join(parts, keys, "left")
            .withColumn("_salt", F.explode(F.sequence(F.lit(0), parted - 1))).drop("_parts"))
     return many, few, [*keys, "_salt"]
 
 
-def _packed(df: DataFrame, box: str) -> DataFrame:
-    return df.filter(F.col(box).isNotNull()).select(F.struct("*").alias("_row"), F.col(box).alias("_box"))
-
-
-def _match(home: DataFrame, probe: DataFrame, hot_rows: int, salt_from: int) -> DataFrame:
-    """Join filed shapes with probing shapes; columns ``h`` and ``p`` hold the two rows."""
+def _match(home: DataFrame, probe: DataFrame, probe_key: str, hot_rows: int, salt_from: int) -> DataFrame:
+    """Join filed shapes (``h_``) with probing shapes (``p_``) on class and cell."""
     keys = ["_k", "_cx", "_cy"]
-    probe, home, on = _salted(probe, home, keys, hot_rows, salt_from)
-    h = home.withColumnsRenamed({"_row": "h", "_box": "_hb"})
-    p = probe.withColumnsRenamed({"_row": "p", "_box": "_pb"}).drop("_edge")
-    hb, pb = F.col("_hb"), F.col("_pb")
-    overlap = ((hb["xmin"] <= pb["xmax"]) & (pb["xmin"] <= hb["xmax"])
-               & (hb["ymin"] <= pb["ymax"]) & (pb["ymin"] <= hb["ymax"]))
-    first_cell = ((F.col("_cx") == F.floor(F.greatest(hb["xmin"], pb["xmin"]) / F.col("_edge")))
-                  & (F.col("_cy") == F.floor(F.greatest(hb["ymin"], pb["ymin"]) / F.col("_edge"))))
-    return h.join(p, on).filter(overlap & first_cell).select("h", "p")
+    probe, home, on = _salted(probe.drop("_edge"), home, keys, F.col(probe_key), hot_rows, salt_from)
+    c = F.col
+    overlap = ((c("h_xmin_") <= c("p_xmax_")) & (c("p_xmin_") <= c("h_xmax_"))
+               & (c("h_ymin_") <= c("p_ymax_")) & (c("p_ymin_") <= c("h_ymax_")))
+    first_cell = ((c("_cx") == F.floor(F.greatest("h_xmin_", "p_xmin_") / c("_edge")))
+                  & (c("_cy") == F.floor(F.greatest("h_ymin_", "p_ymin_") / c("_edge"))))
+    return home.join(probe, on).filter(overlap & first_cell)
 
 
 def _probes(df: DataFrame, classes: DataFrame, strict: bool) -> DataFrame:
     """Copies of each row for every filed size class at or above (strict: above) its own."""
-    own = _size_class(F.col("_box"))
-    levels = F.filter("_classes", lambda k: (k > F.col("_own")) if strict else (k >= F.col("_own")))
+    own = F.col("p_class_")
+    levels = F.filter("_classes", lambda k: (k > own) if strict else (k >= own))
     # one aggregate row of at most a few dozen integers
-    probing = (df.withColumn("_own", own).crossJoin(F.broadcast(classes))
-               .withColumn("_at", F.explode(levels)).drop("_classes", "_own"))
-    return _spread(probing, F.col("_at")).drop("_at")
+    probing = df.crossJoin(F.broadcast(classes)).withColumn("_at", F.explode(levels)).drop("_classes")
+    return _spread(probing, F.col("_at"), "p").drop("_at")
 
 
 def _filed(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    home = _spread(df, _size_class(F.col("_box")))
-    classes = df.agg(F.collect_set(_size_class(F.col("_box"))).alias("_classes"))
-    return home, classes
+    classes = df.agg(F.collect_set("h_class_").alias("_classes"))
+    return _spread(df, F.col("h_class_"), "h"), classes
+
+
+def _row(df: DataFrame, side: str) -> Column:
+    return F.struct(*[F.col(f"{side}_{c}").alias(c) for c in df.columns])
 
 
 def box_pairs(left: DataFrame, right: DataFrame, box: str = "box", *, hot_rows: int = HOT_ROWS,
               salt_from: int = SALT_FROM_BYTES) -> DataFrame:
     """All (l, r) pairs whose boxes overlap, each once; ``l`` and ``r`` are row structs."""
-    left, right = _packed(left, box), _packed(right, box)
-    right_home, right_classes = _filed(right)
-    left_home, left_classes = _filed(left)
-    small_left = _match(right_home, _probes(left, right_classes, strict=False), hot_rows, salt_from)
-    small_right = _match(left_home, _probes(right, left_classes, strict=True), hot_rows, salt_from)
-    return small_left.select(F.col("p").alias("l"), F.col("h").alias("r")).unionAll(
-        small_right.select(F.col("h").alias("l"), F.col("p").alias("r")))
+    right_home, right_classes = _filed(_prefixed(right, box, "h"))
+    left_home, left_classes = _filed(_prefixed(left, box, "h"))
+    small_left = _match(right_home, _probes(_prefixed(left, box, "p"), right_classes, strict=False), f"p_{left.columns[0]}", hot_rows, salt_from)
+    small_right = _match(left_home, _probes(_prefixed(right, box, "p"), left_classes, strict=True), f"p_{right.columns[0]}", hot_rows, salt_from)
+    return small_left.select(_row(left, "p").alias("l"), _row(right, "h").alias("r")).unionAll(
+        small_right.select(_row(left, "h").alias("l"), _row(right, "p").alias("r")))
 
 
 def self_box_pairs(df: DataFrame, order: str, box: str = "box", *, hot_rows: int = HOT_ROWS,
                    salt_from: int = SALT_FROM_BYTES) -> DataFrame:
     """Unordered pairs of one table with overlapping boxes; ``l`` has the smaller ``order``."""
-    packed = _packed(df, box)
-    home, classes = _filed(packed)
-    found = _match(home, _probes(packed, classes, strict=False), hot_rows, salt_from)
-    h, p = F.col("h"), F.col("p")
-    same_class = _size_class(h[box]) == _size_class(p[box])
-    once = ~same_class | (h[order] < p[order])
-    h_first = h[order] < p[order]
-    return found.filter(once & (h[order] != p[order])).select(
-        F.when(h_first, h).otherwise(p).alias("l"), F.when(h_first, p).otherwise(h).alias("r"))
+    home, classes = _filed(_prefixed(df, box, "h"))
+    found = _match(home, _probes(_prefixed(df, box, "p"), classes, strict=False), f"p_{order}", hot_rows, salt_from)
+    h, p = F.col(f"h_{order}"), F.col(f"p_{order}")
+    once = ((F.col("h_class_") != F.col("p_class_")) & (h != p)) | (h < p)
+    first, second = F.when(h < p, _row(df, "h")).otherwise(_row(df, "p")), F.when(h < p, _row(df, "p")).otherwise(_row(df, "h"))
+    return found.filter(once).select(first.alias("l"), second.alias("r"))
 
 
 def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, lon: str = "lon", lat: str = "lat", *,
@@ -131,23 +134,20 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, lon: str =
     step = radius_m * 1.0001 / METRES_PER_DEGREE
     columns = max(1, int(360.0 / step))
     edge = 360.0 / columns
-    ok = F.col(lon).isNotNull() & F.col(lat).isNotNull()
-    a = (left.filter(ok).select(F.struct("*").alias("_row"), F.col(lon).alias("_x"), F.col(lat).alias("_y"))
-         .withColumn("_cx", F.pmod(F.floor((F.col("_x") + 180.0) / edge), F.lit(columns)))
-         .withColumn("_cy", F.floor(F.col("_y") / edge)))
-    b = right.filter(ok).select(F.struct("*").alias("_row"), F.col(lon).alias("_x"), F.col(lat).alias("_y"))
-    tallest = F.least(F.abs(F.col("_y")) + step, F.lit(90.0))
+    a = (left.select(*[F.col(c).alias(f"h_{c}") for c in left.columns])
+         .withColumn("_cx", F.pmod(F.floor((F.col(f"h_{lon}") + 180.0) / edge), F.lit(columns)))
+         .withColumn("_cy", F.floor(F.col(f"h_{lat}") / edge)))
+    b = right.select(*[F.col(c).alias(f"p_{c}") for c in right.columns])
+    x, y = F.col(f"p_{lon}"), F.col(f"p_{lat}")
+    tallest = F.least(F.abs(y) + step, F.lit(90.0))
     reach = F.least(F.lit(step) / F.greatest(F.cos(F.radians(tallest)), F.lit(1e-9)), F.lit(179.999))
-    low = F.floor((F.col("_x") - reach + 180.0) / edge)
-    high = F.least(F.floor((F.col("_x") + reach + 180.0) / edge), low + columns - 1)
-    b = (b.withColumn("_cy", F.explode(F.sequence(F.floor((F.col("_y") - step) / edge), F.floor((F.col("_y") + step) / edge))))
-         .withColumn("_cx", F.explode(F.sequence(low, high)))
-         .withColumn("_cx", F.pmod(F.col("_cx"), F.lit(columns))))
-    keys = ["_cx", "_cy"]
-    a, b, on = _salted(a, b, keys, hot_rows, salt_from)
-    l = a.withColumnsRenamed({"_row": "l", "_x": "_lx", "_y": "_ly"})
-    r = b.withColumnsRenamed({"_row": "r", "_x": "_rx", "_y": "_ry"})
-    distance = haversine_m(F.col("_lx"), F.col("_ly"), F.col("_rx"), F.col("_ry"))
-    near = F.abs(F.col("_ly") - F.col("_ry")) <= step
-    return (l.join(r, on).filter(near).withColumn("distance_m", distance)
-            .filter(F.col("distance_m") <= radius_m).select("l", "r", "distance_m"))
+    low = F.floor((x - reach + 180.0) / edge)
+    high = F.least(F.floor((x + reach + 180.0) / edge), low + columns - 1)
+    b = (b.withColumn("_cy", F.explode(F.sequence(F.floor((y - step) / edge), F.floor((y + step) / edge))))
+         .withColumn("_gx", F.explode(F.sequence(low, high)))
+         .withColumn("_cx", F.pmod(F.col("_gx"), F.lit(columns))).drop("_gx"))
+    a, b, on = _salted(a, b, ["_cx", "_cy"], F.col(f"h_{left.columns[0]}"), hot_rows, salt_from)
+    distance = haversine_m(F.col(f"h_{lon}"), F.col(f"h_{lat}"), x, y)
+    near = F.abs(F.col(f"h_{lat}") - y) <= step
+    return (a.join(b, on).filter(near).withColumn("distance_m", distance).filter(F.col("distance_m") <= radius_m)
+            .select(_row(left, "h").alias("l"), _row(right, "p").alias("r"), "distance_m"))

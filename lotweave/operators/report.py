@@ -163,3 +163,8 @@ def objective_total(values: Column) -> Column:
     """Sum of the finite entries of an objective array."""
     finite = F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return F.aggregate(finite, F.lit(0.0), lambda a, v: a + v)
+
+
+def compliance_score(compliance: Column) -> Column:
+    """Mean rounded half up; 0 for no zones."""
+    return F.floor(F.coalesce(F.avg(compliance), F.lit(0.0)) + 0.5)

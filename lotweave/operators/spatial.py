@@ -67,10 +67,20 @@ def first_per_column(parcels: DataFrame, layer: DataFrame, columns: Mapping[str,
     Columns are picked independently, so one output row can mix two layer rows. ``layer`` has
     ``rn`` (its row number); ``columns`` maps layer column to output column.
     """
-    hit = intersecting(parcels.select(key, "geom"), layer.select("rn", "geom", *columns))
+    return first_per_layer(parcels, [(layer, columns)], key)
+
+
+def first_per_layer(parcels: DataFrame, layers: Sequence[tuple[DataFrame, Mapping[str, str]]], key: str = "pos") -> DataFrame:
+    """:func:`first_per_column` for several layers in one spatial join over their union."""
+    outs = [o for _, columns in layers for o in columns.values()]
+    tagged = None
+    for i, (layer, columns) in enumerate(layers):
+        filled = {o: F.col(s) for s, o in columns.items()}
+        rows = layer.select("rn", "geom", F.lit(i).alias("layer"), *[filled.get(o, F.lit(None)).alias(o) for o in outs])
+        tagged = rows if tagged is None else tagged.unionByName(rows)
+    hit = intersecting(parcels.select(key, "geom"), tagged)
     picked = hit.groupBy(F.col(f"l.{key}").alias(key)).agg(*[
-        F.min_by(F.col(f"r.{src}"), F.when(F.col(f"r.{src}").isNotNull(), F.col("r.rn"))).alias(out)
-        for src, out in columns.items()])
+        F.min_by(F.col(f"r.{o}"), F.when(F.col(f"r.{o}").isNotNull(), F.col("r.rn"))).alias(o) for o in outs])
     return parcels.join(picked, key, "left")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lotweave.functions.coerce import collapse_first
 from lotweave.operators.ranking import key_of, norm_key
-from lotweave.operators.spatial import first_per_column
+from lotweave.operators.spatial import first_per_column, first_per_layer
 
 COUNTY_RENAMES = {"USEREG": "ZONING_CODE", "HEIGHT": "MAX_HEIGHT", "MAXFLR": "MAX_FAR", "LOT": "MIN_LOT_SIZE"}
 LIMITS = ("MAX_HEIGHT", "MAX_FAR", "MIN_LOT_SIZE")
@@ -26,25 +26,40 @@ def is_city(jurisdiction: Column) -> Column:
     return F.coalesce(F.lower(jurisdiction).contains("city"), F.lit(False))
 
 
-def _with_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select("*", *[F.lit(None).cast("string").alias(c) for c in columns if c not in df.columns])
+def place_zoning(parcels: DataFrame, city: DataFrame | None, county: DataFrame | None, boundaries: DataFrame | None) -> DataFrame:
+    """Jurisdiction, city zone (``city_zone``) and county zone columns, all in one spatial join."""
+    layers = []
+    if boundaries is not None and "Name" in boundaries.columns:
+        layers.append((boundaries, {"Name": "JURISDICTION"}))
+    if city is not None and "ZONE_NAME" in city.columns:
+        layers.append((city, {"ZONE_NAME": "city_zone"}))
+    if county is not None and "USEREG" in county.columns:
+        renames = {s: f"county_{o}" for s, o in (COUNTY_RENAMES | {"DENSITY": "DENSITY"}).items() if s in county.columns}
+        layers.append((county, renames))
+    placed = first_per_layer(parcels, layers) if layers else parcels
+    if "JURISDICTION" not in placed.columns:
+        placed = placed.withColumn("JURISDICTION", F.lit("Unknown"))
+    return _with_nulls(placed, ("city_zone", "county_ZONING_CODE", *[f"county_{c}" for c in LIMITS]))
+
+
+def _base_columns(placed: DataFrame) -> list[str]:
+    return [c for c in placed.columns if c != "city_zone" and not c.startswith("county_")]
 
 
-def city_zoning(parcels: DataFrame, layer: DataFrame | None) -> DataFrame:
+def city_zoning(placed: DataFrame) -> DataFrame:
     """City parcels with the zone name; limits stay null."""
-    mine = parcels.filter(is_city(F.col("JURISDICTION")))
-    if layer is not None and "ZONE_NAME" in layer.columns:
-        mine = first_per_column(mine, layer, {"ZONE_NAME": "ZONING_CODE"})
-    return _with_nulls(mine, ("ZONING_CODE", *LIMITS))
+    none = [F.lit(None).cast(placed.schema[f"county_{c}"].dataType).alias(c) for c in LIMITS]
+    return placed.filter(is_city(F.col("JURISDICTION"))).select(*_base_columns(placed), F.col("city_zone").alias("ZONING_CODE"), *none)
 
 
-def county_zoning(parcels: DataFrame, layer: DataFrame | None) -> DataFrame:
+def county_zoning(placed: DataFrame) -> DataFrame:
     """All other parcels with the county zone and its limits; absent layer fields give nulls."""
-    mine = parcels.filter(~is_city(F.col("JURISDICTION")))
-    if layer is not None and "USEREG" in layer.columns:
-        fields = {s: o for s, o in (COUNTY_RENAMES | {"DENSITY": "DENSITY"}).items() if s in layer.columns}
-        mine = first_per_column(mine, layer, fields)
-    return _with_nulls(mine, ("ZONING_CODE", *LIMITS))
+    county = [F.col(c).alias(c.removeprefix("county_")) for c in placed.columns if c.startswith("county_")]
+    return placed.filter(~is_city(F.col("JURISDICTION"))).select(*_base_columns(placed), *county)
+
+
+def _with_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select("*", *[F.lit(None).cast("string").alias(c) for c in columns if c not in df.columns])
 
 
 def union_common(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -61,8 +76,12 @@ def union_common(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def assign_zoning(parcels: DataFrame, city: DataFrame | None, county: DataFrame | None,
                   boundaries: DataFrame | None) -> DataFrame:
-    placed = add_jurisdiction(parcels, boundaries)
-    return union_common(city_zoning(placed, city), county_zoning(placed, county))
+    """City and county rows on their common columns, chosen per row so that the join runs once."""
+    placed = place_zoning(parcels, city, county, boundaries)
+    mine = is_city(F.col("JURISDICTION"))
+    code = F.when(mine, F.col("city_zone")).otherwise(F.col("county_ZONING_CODE"))
+    return placed.select(*_base_columns(placed), code.alias("ZONING_CODE"), *[
+        F.when(~mine, F.col(f"county_{c}")).alias(c) for c in LIMITS])
 
 
 def add_general_plan(parcels: DataFrame, layer: DataFrame | None) -> DataFrame:
@@ -118,7 +137,7 @@ def collapse_rows(df: DataFrame, row_id: str, order: str) -> DataFrame:
 def coverage(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """One row per column: rows, non-null rows and percent."""
     stats = df.agg(F.count("*").alias("n"), *[F.count(c).alias(name) for name, c in columns.items()])
-    return stats.unpivot("n", list(columns), "field", "present").select(
+    return stats.unpivot("n", list(columns.values()), "field", "present").select(
         "field", "n", "present", F.round(F.col("present") * 100.0 / F.col("n"), 1).alias("percent"))
 
 

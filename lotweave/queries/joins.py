@@ -98,15 +98,19 @@ def _county_layer(d):
     return _zones(d, USEREG="usereg", HEIGHT="height", MAXFLR="far")
 
 
+def _zoned(d):
+    return zoning.place_zoning(d.parcels.select("pos", "parcel_id", "geom"), _city_layer(d), _county_layer(d), _zones(d, Name="name"))
+
+
 @query("j03_city_zoning_join", CITY)
 def _(d):
-    out = zoning.city_zoning(_placed(d), _city_layer(d))
+    out = zoning.city_zoning(_zoned(d))
     return out.select("pos", F.col("JURISDICTION").alias("jurisdiction"), F.col("ZONING_CODE").alias("zoning_code"))
 
 
 @query("j04_county_zoning_join", COUNTY)
 def _(d):
-    out = zoning.county_zoning(_placed(d), _county_layer(d))
+    out = zoning.county_zoning(_zoned(d))
     return out.select("pos", F.col("JURISDICTION").alias("jurisdiction"), F.col("ZONING_CODE").alias("zoning_code"),
                       F.col("MAX_HEIGHT").alias("max_height"), F.col("MAX_FAR").alias("max_far"))
 
@@ -316,10 +320,17 @@ def _(d):
 
 @query("u01_union_common_columns", f"SELECT pos, jurisdiction, zoning_code FROM ({CITY}) c UNION ALL SELECT pos, jurisdiction, zoning_code FROM ({COUNTY}) k")
 def _(d):
-    out = zoning.assign_zoning(d.parcels.select("pos", "parcel_id", "geom"), _city_layer(d), _county_layer(d), _zones(d, Name="name"))
+    zoned = _zoned(d)
+    out = zoning.union_common(zoning.city_zoning(zoned), zoning.county_zoning(zoned))
     return out.select("pos", F.col("JURISDICTION").alias("jurisdiction"), F.col("ZONING_CODE").alias("zoning_code"))
 
 
+@query("j03_j04_assign_zoning", f"SELECT pos, jurisdiction, zoning_code, NULL::DOUBLE AS max_far FROM ({CITY}) c UNION ALL SELECT pos, jurisdiction, zoning_code, max_far FROM ({COUNTY}) k")
+def _(d):
+    out = zoning.assign_zoning(d.parcels.select("pos", "parcel_id", "geom"), _city_layer(d), _county_layer(d), _zones(d, Name="name"))
+    return out.select("pos", F.col("JURISDICTION").alias("jurisdiction"), F.col("ZONING_CODE").alias("zoning_code"), F.col("MAX_FAR").alias("max_far"))
+
+
 @query("u02_id_union", "SELECT parcel_id FROM {lots} UNION SELECT apn FROM {zoning_attrs}")
 def _(d):
     return d.view("lots").select("parcel_id").union(d.view("zoning_attrs").select("apn")).distinct()

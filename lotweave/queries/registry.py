@@ -22,7 +22,7 @@ def _comparable(df: DataFrame) -> DataFrame:
             c = F.round(c.cast("double"), 6)
         elif kind == "array":
             c = F.array_join(c.cast("array<string>"), ",")
-        elif kind == "tinyint":
+        elif kind == "byte":
             c = c.cast("int")
         out.append(c.alias(f.name))
     return df.select(*out)
