@@ -21,6 +21,7 @@ def session(cpus: int) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]").appName("lotweave")
         .config("spark.sql.shuffle.partitions", str(cpus)).config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -31,3 +31,13 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, out:
 def running_number(df: DataFrame, keys: Sequence[str], order: str, out: str, block: int = BLOCK) -> DataFrame:
     """1, 2, 3, ... per key in ``order``."""
     return running_sum(df.withColumn("_one", F.lit(1)), keys, order, "_one", out, block=block).drop("_one")
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
+    """Inclusive running maximum of ``value`` per key in ``order`` (an integer column)."""
+    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    tops = blocked.groupBy(*keys, "_block").agg(F.max(value).alias("_top"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = tops.withColumn("_base", F.max("_top").over(before)).drop("_top")
+    inner = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return blocked.join(base, [*keys, "_block"]).withColumn(out, F.greatest("_base", F.max(value).over(inner))).drop("_block", "_base")

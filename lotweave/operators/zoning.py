@@ -136,7 +136,7 @@ def collapse_rows(df: DataFrame, row_id: str, order: str) -> DataFrame:
 
 def coverage(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """One row per column: rows, non-null rows and percent."""
-    stats = df.agg(F.count("*").alias("n"), *[F.count(c).alias(name) for name, c in columns.items()])
+    stats = df.agg(F.count("*").alias("n"), *[F.count(c).alias(name) for c, name in columns.items()])
     return stats.unpivot("n", list(columns.values()), "field", "present").select(
         "field", "n", "present", F.round(F.col("present") * 100.0 / F.col("n"), 1).alias("percent"))
 

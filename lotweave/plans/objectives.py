@@ -121,9 +121,11 @@ def compatibility(weight: float = 0.15) -> Callable[[DataFrame, Context], DataFr
         from lotweave.operators.compat import objective, plan_scores
 
         keys = list(ctx.keys)
-        named = rows.select(F.to_json(F.struct(*keys)).alias("plan"), *keys, "parcel_id", use_label(F.col("use_code"), ctx.labels).alias("use"))
+        named = rows.select(F.to_json(F.struct(*keys)).alias("plan"), F.struct(*keys).alias("_k"), "parcel_id",
+                            use_label(F.col("use_code"), ctx.labels).alias("use"))
         scored = objective(plan_scores(ctx.pairs, named.select("plan", "parcel_id", "use"), ctx.risks), weight)
-        return named.select("plan", *keys).distinct().join(scored, "plan").select(*keys, F.col("penalty").alias("value"))
+        found = named.select("plan", "_k").distinct().join(scored, "plan")
+        return found.select(*[F.col("_k")[c].alias(c) for c in keys], F.col("penalty").alias("value"))
     return build
 
 

@@ -69,7 +69,8 @@ def retained_jobs(jobs: DataFrame, now: Column, hours: int = 24, most: int = 200
 def timeline(events: DataFrame) -> DataFrame:
     """Ordered events per job with seconds since the start and since the previous event."""
     w = Window.partitionBy("job_id").orderBy("ts", "event_id")
-    since = lambda a, b: F.round((F.unix_micros(a) - F.unix_micros(b)) / 1e6, 3)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    since = lambda a, b: F.round((micros(a) - micros(b)) / 1e6, 3)
     first = F.min("ts").over(Window.partitionBy("job_id"))
     return events.select(
         "job_id", "event_id", "step", F.row_number().over(w).alias("place"), since(F.col("ts"), first).alias("elapsed_seconds"),

@@ -52,7 +52,7 @@ def check(spark, con, folder, name):
     want = rows_of([d[0] for d in cur.description], cur.fetchall())
     if got[0] != want[0]:
         return "COLUMNS", f"{got[0]} / {want[0]}", took
-    names = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP"}
+    names = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
     odd = [f"{c}:{t}/{types[c]}" for c, t in df.dtypes if names.get(t, t) != types[c]]
     if got[1] != want[1]:
         a, b = set(got[1]) - set(want[1]), set(want[1]) - set(got[1])
