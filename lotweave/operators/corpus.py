@@ -55,7 +55,7 @@ def _closes(s: np.ndarray, first: int, step: int) -> np.ndarray:
         out.append(nxt)
 
 
-def _block_exits(step: int):
+def _block_exits(step: int, origin: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         s = np.sort(pdf["s"].to_numpy())
         start = int(pdf["block_start"].iloc[0])
@@ -65,7 +65,7 @@ def _block_exits(step: int):
             if nexts[i] < len(s):
                 last[i] = last[nexts[i]]
         before = np.concatenate([[start - 1], s[:-1]])
-        entry = np.nonzero(before < start + step)[0]
+        entry = np.nonzero(before < start + step + origin)[0]
         return pd.DataFrame({
             "source": pdf["source"].iloc[0], "block": pdf["block"].iloc[0],
             "first_close": s[entry], "last_close": s[last[entry]]})
@@ -95,7 +95,7 @@ def _assign(step: int):
         first = int(np.searchsorted(s, entered + step))
         closes = _closes(s, first, step) if first < len(s) else np.array([], dtype=int)
         edges = np.concatenate([[entered], s[closes]]) if len(closes) else np.array([entered])
-        opened = edges[np.searchsorted(edges, s, side="left") - 1]
+        opened = edges[np.maximum(np.searchsorted(edges, s, side="left") - 1, 0)]
         return pd.DataFrame({"source": pdf["source"].iloc[0], "s": s, "opened": opened})
     return run
 
@@ -113,7 +113,7 @@ def chunk_texts(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int =
     marks = para.select("source", "s", F.floor(F.col("s") / block_chars).alias("block"))
     numbered = marks.withColumn("block_start", F.col("block") * block_chars)
     exits = numbered.groupBy("source", "block").applyInPandas(
-        _block_exits(step), "source string, block bigint, first_close bigint, last_close bigint")
+        _block_exits(step, origin), "source string, block bigint, first_close bigint, last_close bigint")
     entered = exits.groupBy("source").applyInPandas(_chain(step, origin), "source string, block bigint, entered bigint")
     opened = marks.join(entered, ["source", "block"]).groupBy("source", "block").applyInPandas(
         _assign(step), "source string, s bigint, opened bigint")
