@@ -23,6 +23,7 @@ from lotweave.functions import vocab
 from lotweave.functions.coerce import kept
 from lotweave.operators.prefix import running_sum
 from lotweave.operators.ranking import top_k
+from lotweave.session import cut_lineage
 
 CHUNK_CHARS = 1500
 OVERLAP = 300
@@ -110,7 +111,8 @@ def chunk_texts(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int =
     step = chunk_chars - overlap
     origin = overlap + len(JOINT)  # the first chunk has no overlap before it
     para = running_sum(paragraphs(pages), ["source"], "page_num", "width", "s", tiebreak=["para_no"])
-    marks = para.select("source", "s", F.floor(F.col("s") / block_chars).alias("block"))
+    # positions only, a few bytes per paragraph: kept once instead of splitting the texts for every step
+    marks = cut_lineage(para.select("source", "s", F.floor(F.col("s") / block_chars).alias("block")))
     numbered = marks.withColumn("block_start", F.col("block") * block_chars)
     exits = numbered.groupBy("source", "block").applyInPandas(
         _block_exits(step, origin), "source string, block bigint, first_close bigint, last_close bigint")

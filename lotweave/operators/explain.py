@@ -34,36 +34,38 @@ def suitability_rank(scores: Mapping[str, Column]) -> Column:
         for i, (u, c) in enumerate(scores.items())]))
 
 
-def assignment_facts(rows: DataFrame, target: Mapping[str, float] | None = None) -> DataFrame:
-    """Add score, rank, best use, risk, hazards, zoning and target columns to (feature, use) rows.
-
-    A use outside the four labels is an error.
-    """
-    rows = rk.staged(rows)
+def parcel_facts(features: DataFrame, key: str = "parcel_id") -> DataFrame:
+    """What an explanation needs to know about a parcel; worked out once per parcel, not per plan."""
+    rows = rk.staged(features)
     f = Fields(rows)
-    use = F.lower(F.trim("use"))
-    checked = F.when(use.isin(*vocab.LAND_USES), use).otherwise(F.raise_error(F.concat(F.lit("Unsupported assigned use: "), F.col("use"))))
     rows = rows.withColumn("risk_norm", rk.strict_risk(f, vocab.RISK_KEYS_EXPLANATION))
     scores = rk.explanation_suitability(f, F.col("risk_norm"))
-    flags = flag_columns(f)
     signal = reduce(lambda a, b: a | b, [F.coalesce(f.get(n) != "", F.lit(False)) for n in (
         "allowed_uses", "ZONING_CODE", "GP_LAND_USE", "zoning_code", "gp_land_use")])
+    base = rows.select(
+        key, "risk_norm", *[c.alias(f"s_{u}") for u, c in scores.items()], rk.active_labels(flag_columns(f)).alias("hazards"),
+        signal.alias("zoning_signal"), planner_allowed_uses(f).alias("_allowed"))
+    ranked = suitability_rank({u: F.col(f"s_{u}") for u in vocab.LAND_USES})
+    return base.select("*", F.when(F.col("zoning_signal"), F.col("_allowed")).alias("allowed"), ranked.alias("ranked")).drop("_allowed")
+
+
+def assignment_facts(assignments: DataFrame, facts: DataFrame, target: Mapping[str, float] | None = None) -> DataFrame:
+    """Assignments (plan, parcel_id, use) with score, rank, best use, gap and target share.
+
+    A use outside the four labels is an error.
+    """
+    use = F.lower(F.trim("use"))
+    checked = F.when(use.isin(*vocab.LAND_USES), use).otherwise(F.raise_error(F.concat(F.lit("Unsupported assigned use: "), F.col("use"))))
     weights = {k.strip().lower(): float(v) for k, v in (target or {}).items() if float(v) > 0}
     total = sum(weights.values())
     share = when_in_order([(F.col("assigned") == u, F.lit(w / total)) for u, w in weights.items()]) if weights else F.lit(None).cast("double")
-    base = rows.select(
-        "*", checked.alias("assigned"), *[c.alias(f"s_{u}") for u, c in scores.items()],
-        rk.active_labels(flags).alias("hazards"),
-        signal.alias("zoning_signal"), F.when(signal, planner_allowed_uses(f)).alias("allowed"))
-    ranked = suitability_rank({u: F.col(f"s_{u}") for u in vocab.LAND_USES})
-    ranks = base.withColumn("ranked", ranked)
+    rows = assignments.select("plan", "parcel_id", checked.alias("assigned")).join(facts, "parcel_id")
     own = when_in_order([(F.col("assigned") == u, F.col(f"s_{u}")) for u in vocab.LAND_USES])
     best = F.get("ranked", F.lit(0))
     place = F.array_position(F.transform("ranked", lambda r: r["use"]), F.col("assigned"))
-    return ranks.select(
-        *[c for c in ranks.columns if c != "ranked"], own.alias("score"), best["use"].alias("best_use"),
-        (-best["neg"]).alias("best_score"), (-best["neg"] - own).alias("gap"), place.cast("int").alias("rank"),
-        share.alias("target_share"))
+    scored = rows.select("*", own.alias("score"), best["use"].alias("best_use"), (-best["neg"]).alias("best_score"),
+                         place.cast("int").alias("rank"), share.alias("target_share"))
+    return scored.withColumn("gap", F.col("best_score") - F.col("score"))
 
 
 def _texts() -> dict[str, Column]:
@@ -129,12 +131,13 @@ def _headline(spatial: bool) -> Column:
         .otherwise(F.concat(lead, F.lit(" based on the combined optimizer trade-off between suitability, risk, zoning, and target mix."))))
 
 
-def explain_assignments(rows: DataFrame, target: Mapping[str, float] | None = None, context: DataFrame | None = None) -> DataFrame:
-    """Explain (plan, parcel_id, use) rows that carry the parcel's props.
+def explain_assignments(assignments: DataFrame, features: DataFrame, target: Mapping[str, float] | None = None,
+                        context: DataFrame | None = None) -> DataFrame:
+    """Explain (plan, parcel_id, use) rows; ``features`` holds the parcels' properties by parcel_id.
 
     ``context`` is the output of ``compat.local_context``; its reasons and warnings are appended.
     """
-    facts = assignment_facts(rows, target)
+    facts = assignment_facts(assignments, parcel_facts(features), target)
     t = _texts()
     reasons = kept(*[v for k, v in t.items() if k.startswith("r_")])
     warnings = kept(*[v for k, v in t.items() if k.startswith("w_")])

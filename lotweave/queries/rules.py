@@ -489,8 +489,8 @@ FROM (SELECT plan, parcel_id, use AS assigned_use, s AS score, r, allowed, first
         f"WHEN {EXPLAIN_RISK} IS NOT NULL THEN {_XS[u]} ELSE 0e0 END AS s FROM {{genes}} g JOIN {{props}} p ON g.pos = p.pos" for i, u in enumerate(vocab.LAND_USES))
     + ") q WINDOW w AS (PARTITION BY plan, parcel_id ORDER BY s DESC, o)) z WHERE own")
 def _(d):
-    rows = d.view("genes").withColumn("use", landuse.use_label(F.col("use_code"))).join(d.by_lot.select("parcel_id", "props", "feature_id"), "parcel_id")
-    out = explain.explain_assignments(rows)
+    rows = d.view("genes").withColumn("use", landuse.use_label(F.col("use_code")))
+    out = explain.explain_assignments(rows, d.by_lot)
     trade = F.exists("warnings", lambda w: w.startswith("This looks like a plan-level trade-off"))
     return out.select("plan", "parcel_id", "assigned_use", "best_use", "rank", "score", "best_score", "risk_level", "environmental_risk",
                       F.exists("warnings", lambda w: w.contains("much higher suitability score")).alias("much_better_exists"), trade.alias("trade_off"),
@@ -505,5 +505,4 @@ def _(d):
 
     rows = d.view("genes").withColumn("use", landuse.use_label(F.col("use_code")))
     ctx = local_context(neighbour_pairs(d.parcels, 250.0), assignment_lookup(rows, use="use"), d.parcels.select("parcel_id", "risk"))
-    full = rows.join(d.by_lot.select("parcel_id", "props", "feature_id"), "parcel_id")
-    return explain.explain_assignments(full, {"residential": 40, "commercial": 20, "industrial": 10, "green": 30}, ctx)
+    return explain.explain_assignments(rows, d.by_lot, {"residential": 40, "commercial": 20, "industrial": 10, "green": 30}, ctx)
