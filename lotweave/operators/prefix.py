@@ -41,3 +41,13 @@ def running_max(df: DataFrame, keys: Sequence[str], order: str, value: str, out:
     base = tops.withColumn("_base", F.max("_top").over(before)).drop("_top")
     inner = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return blocked.join(base, [*keys, "_block"]).withColumn(out, F.greatest("_base", F.max(value).over(inner))).drop("_block", "_base")
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, tiebreak: Sequence[str] = (),
+                   block: int = BLOCK) -> DataFrame:
+    """``value`` of the row before, per key in ``order``; ``value`` must not fall along the order."""
+    blocked = df.withColumn("_block", F.floor(F.col(order) / block))
+    tops = blocked.groupBy(*keys, "_block").agg(F.max(value).alias("_top"))
+    base = tops.withColumn("_base", F.lag("_top").over(Window.partitionBy(*keys).orderBy("_block"))).drop("_top")
+    inner = Window.partitionBy(*keys, "_block").orderBy(order, *tiebreak)
+    return blocked.join(base, [*keys, "_block"]).withColumn(out, F.coalesce(F.lag(value).over(inner), "_base")).drop("_block", "_base")

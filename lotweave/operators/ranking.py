@@ -25,10 +25,18 @@ def most_frequent(df: DataFrame, keys: Sequence[str], value: str, pos: str, out:
 def exact_sample(df: DataFrame, key: str, limit: int, seed: int = 42) -> DataFrame:
     """Exactly ``limit`` rows when there are more, else all rows; the same rows on every run.
 
-    Part of the behaviour, not a shortcut: the layers are published at this size.
+    Part of the behaviour, not a shortcut: the layers are published at this size. Rows are drawn
+    by hash. A hash bound that lets a little more than ``limit`` rows through keeps the final
+    ordering small; when many rows share a key and too few pass, the ordering takes all rows.
     """
-    order = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
-    return df.withColumn("_draw", order).orderBy("_draw", key).limit(limit).drop("_draw")
+    total = df.count()
+    if total <= limit:
+        return df
+    drawn = df.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(key).cast("string")))
+    share = min(1.0, (limit + 10 * limit ** 0.5 + 100) / total)
+    few = drawn.filter(F.col("_draw") <= int(-(2 ** 63) + (2 ** 64 - 1) * share))
+    source = few if few.count() >= limit else drawn
+    return source.orderBy("_draw", key).limit(limit).drop("_draw")
 
 
 def distinct_in_order(df: DataFrame, key: str, pos: str = "pos") -> DataFrame:

@@ -5,10 +5,11 @@ Events: job_id, ts, event_id, step, status (pending, running, completed, failed,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotweave.functions import vocab
+from lotweave.operators.prefix import previous_value, running_sum
 
 STEPS = tuple(s for s, _ in vocab.JOB_STEPS)
 
@@ -66,15 +67,21 @@ def retained_jobs(jobs: DataFrame, now: Column, hours: int = 24, most: int = 200
     return young.orderBy(finished.asc(), F.desc("created_at"), F.desc("job_id")).limit(most)
 
 
+HOUR = 3_600_000_000  # microseconds
+
+
 def timeline(events: DataFrame) -> DataFrame:
-    """Ordered events per job with seconds since the start and since the previous event."""
-    w = Window.partitionBy("job_id").orderBy("ts", "event_id")
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    since = lambda a, b: F.round((micros(a) - micros(b)) / 1e6, 3)
-    first = F.min("ts").over(Window.partitionBy("job_id"))
-    return events.select(
-        "job_id", "event_id", "step", F.row_number().over(w).alias("place"), since(F.col("ts"), first).alias("elapsed_seconds"),
-        since(F.col("ts"), F.lag("ts").over(w)).alias("step_seconds"))
+    """Ordered events per job with seconds since the start and since the previous event.
+
+    Jobs are walked in one-hour blocks, so a job with most of the events still spreads over tasks.
+    """
+    rows = events.select("job_id", "event_id", "step", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.lit(1).alias("one"))
+    start = rows.groupBy("job_id").agg(F.min("us").alias("start"))
+    placed = running_sum(rows, ["job_id"], "us", "one", "place", tiebreak=["event_id"], block=HOUR)
+    with_last = previous_value(placed, ["job_id"], "us", "us", "before", tiebreak=["event_id"], block=HOUR).join(start, "job_id")
+    since = lambda c: F.round((F.col("us") - F.col(c)) / 1e6, 3)
+    return with_last.select("job_id", "event_id", "step", F.col("place").cast("int").alias("place"), since("start").alias("elapsed_seconds"),
+                            since("before").alias("step_seconds"))
 
 
 def protocol_rows(queries: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def session_history(events: DataFrame, keep: int = HISTORY) -> DataFrame:
     return top_k(events, ["session_id"], [F.desc("ts"), F.desc("event_id")], keep, "from_last")
 
 
-OUTPUT = "session_id string, parcel string, turns long, history array<string>, last_seen timestamp, expired boolean"
+OUTPUT = "parcel string, turns long, history array<string>, last_seen timestamp, expired boolean"
 STATE = "parcel string, turns long, history array<string>, last_ms long"
 
 
@@ -80,8 +80,9 @@ def session_stream(events: DataFrame, watermark: str = "1 hour", keep: int = HIS
     def step(key, batches, state):
         return _step(key, batches, state, keep, ttl_hours * 3_600_000)
 
+    kind = events.schema["session_id"].dataType.simpleString()
     return events.withWatermark("ts", watermark).groupBy("session_id").applyInPandasWithState(
-        step, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
+        step, f"session_id {kind}, {OUTPUT}", STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def write_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):

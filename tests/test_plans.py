@@ -136,11 +136,11 @@ def test_crossover_mutation_and_tournaments(spark):
 
 
 def features(spark):
-    half = 0.00008
-    def box(x, y):
-        pts = [(x - half, y - half), (x + half, y - half), (x + half, y + half), (x - half, y + half), (x - half, y - half)]
-        return [[pts]]
-    rows = [(i, f"f{i}", {"APN": f"A{i}", "environmental_risk": str(r)}, "Polygon", box(-117.0 + i * 2 * half, 32.8)) for i, r in enumerate((0.1, 0.7, 0.9))]
+    def box(i):
+        x0, x1, y0, y1 = (-117000 + i) / 1000, (-116999 + i) / 1000, 32.8, 32.801
+        return [[[(x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)]]]
+
+    rows = [(i, f"f{i}", {"APN": f"A{i}", "environmental_risk": str(r)}, "Polygon", box(i)) for i, r in enumerate((0.1, 0.7, 0.9))]
     return spark.createDataFrame(rows, f"pos bigint, feature_id string, props map<string,string>, geom_type string, geom {g.GEOM_TYPE}")
 
 
