@@ -12,7 +12,8 @@ other side. No link is lost. Candidates pass a 256-bit sketch (Hamming bound), t
 Groups. Documents with equal sets are one class at once, by aggregation. In a bucket of equal blocks
 each document is paired with the bucket's first one only (inside an Arrow batch before the shuffle,
 so a bucket of any size sends one row per batch). Buckets whose documents do not all end in one
-component are then paired across components, so every link between components is tested.
+component are then compared across components in tiles of bounded size, by sketch inside the task;
+only pairs that the sketches allow become rows. So every link between components is tested.
 
 Defined results. Null, empty and word-less texts have no shingles and link with nothing. A null
 doc_id links with nothing and has a null component. Rows that repeat a doc_id are one document: a
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotweave.llm.common import NOT_SPACE, hash_words, list_column, lookup, mix, run_hashes, signed, text_column, text_slices, written
+from lotweave.llm.common import HOT_SHARE, NOT_SPACE, hash_words, list_column, lookup, mix, run_hashes, signed, text_column, text_slices, written
 from lotweave.llm.components import components
 
 SKETCH_BITS = 256
@@ -105,35 +106,23 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-FEATURES = "doc_id bigint, n bigint, h1 bigint, h2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, keys array<bigint>"
+FEATURES = "doc_id bigint, n bigint, h1 bigint, h2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
 
 
-def features(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """One row per document: set size, set hash, folded sketch and block keys."""
-    bands = Bands(percent)
-    blocks: dict[int, int] = {}
+def set_hash(tokens: np.ndarray) -> tuple[int, int]:
+    return int(signed(np.bitwise_xor.reduce(tokens, keepdims=True))[0]), int(signed(np.add.reduce(mix(tokens), keepdims=True))[0])
 
+
+def features(docs: DataFrame, words: int) -> DataFrame:
+    """One row per document: set size, set hash and folded sketch."""
     def run(batches):
         for batch in batches:
-            rows = {c: [] for c in ("n", "h1", "h2", "s0", "s1", "s2", "s3")}
-            keys = []
+            rows = [[] for _ in range(7)]
             for tokens in shingle_sets(text_column(batch, "text"), words):
-                n = len(tokens)
-                found = [np.zeros(0, np.uint64)]
-                if n:
-                    for band in bands.roles(n):
-                        m = blocks.get(band) or blocks.setdefault(band, bands.blocks(band))
-                        found.append(block_keys(tokens, band, m, bands.most(n)))
-                keys.append(signed(np.concatenate(found)))
-                one, two = (np.bitwise_xor.reduce(tokens), np.add.reduce(mix(tokens))) if n else (np.uint64(0), np.uint64(0))
-                rows["n"].append(n)
-                rows["h1"].append(int(np.int64(np.uint64(one).astype(np.int64))))
-                rows["h2"].append(int(np.uint64(two).astype(np.int64)))
-                for i, part in enumerate(sketch(tokens).tolist()):
-                    rows[f"s{i}"].append(part)
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(v, pa.int64()) for v in rows.values()], list_column(keys, pa.int64())],
-                                             names=["doc_id", *rows, "keys"])
+                for column, value in zip(rows, (len(tokens), *(set_hash(tokens) if len(tokens) else (0, 0)), *sketch(tokens).tolist()), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, pa.int64()) for v in rows]],
+                                             names=["doc_id", "n", "h1", "h2", "s0", "s1", "s2", "s3"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, FEATURES)
 
@@ -163,22 +152,35 @@ def _table(key, a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), b], names=["key", "a", "b"])
 
 
-def _spread(batches):
-    """(doc_id, keys) rows to (key, a): one row per key and batch; the batch's other documents of a key
-    leave as star pairs (key, a, b), which travel along."""
-    for batch in batches:
-        ids, keys = batch.column(0).to_numpy(), batch.column(1)
-        flat = keys.flatten().to_numpy()
-        if not len(flat):
-            continue
-        doc = np.repeat(ids, np.diff(keys.offsets.to_numpy()))
-        order = np.lexsort((doc, flat))
-        key, doc = flat[order], doc[order]
-        head, rep = _runs(key, doc)
-        yield _table(key[head], doc[head], pa.nulls(int(head.sum()), pa.int64()))
-        again = ~head & (doc != rep)
-        if again.any():
-            yield _table(key[again], rep[again], pa.array(doc[again], pa.int64()))
+def _spread(words: int, percent: int, hot: dict[tuple[int, int, int], int]):
+    """Texts to (key, a): one row per block key and batch. The batch's other documents of a key leave
+    as star pairs (key, a, b). Copies of ``hot`` sets other than their first emit nothing."""
+    bands = Bands(percent)
+    blocks: dict[int, int] = {}
+
+    def run(batches):
+        for batch in batches:
+            ids, keys = batch.column(0).to_pylist(), []
+            for doc_id, tokens in zip(ids, shingle_sets(text_column(batch, "text"), words), strict=True):
+                n, found = len(tokens), [np.zeros(0, np.uint64)]
+                if n and doc_id is not None and hot.get((*set_hash(tokens), n), doc_id) == doc_id:
+                    for band in bands.roles(n):
+                        m = blocks.get(band) or blocks.setdefault(band, bands.blocks(band))
+                        found.append(block_keys(tokens, band, m, bands.most(n)))
+                keys.append(signed(np.concatenate(found)))
+            flat = np.concatenate([np.zeros(0, np.int64), *keys])
+            if not len(flat):
+                continue
+            doc = np.repeat(np.array([i or 0 for i in ids], np.int64), [len(k) for k in keys])
+            order = np.lexsort((doc, flat))
+            key, doc = flat[order], doc[order]
+            head, rep = _runs(key, doc)
+            yield _table(key[head], doc[head], pa.nulls(int(head.sum()), pa.int64()))
+            again = ~head & (doc != rep)
+            if again.any():
+                yield _table(key[again], rep[again], pa.array(doc[again], pa.int64()))
+
+    return run
 
 
 def _stars(batches):
@@ -187,15 +189,14 @@ def _stars(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        b = batch.column(2)
-        lone = b.is_null().to_numpy(zero_copy_only=False)
+        lone = batch.column(2).is_null().to_numpy(zero_copy_only=False)
         pairs = batch.filter(pa.array(~lone))
         if pairs.num_rows:
             yield pairs
         key, a = batch.column(0).to_numpy()[lone], batch.column(1).to_numpy()[lone]
         if not len(key):
             continue
-        _, rep = _runs(key, a)
+        rep = _runs(key, a)[1].copy()
         if last_key is not None and key[0] == last_key:
             rep[key == last_key] = last_rep
         last_key, last_rep = key[-1], rep[-1]
@@ -204,14 +205,87 @@ def _stars(batches):
             yield _table(key[keep], rep[keep], pa.array(a[keep], pa.int64()))
 
 
-def star_pairs(bucketed: DataFrame) -> DataFrame:
-    """(key, a, b): documents that share a key, each with one earlier document of it. One shuffle."""
-    spread = bucketed.select("doc_id", "keys").mapInArrow(_spread, ROWS)
-    return spread.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_stars, ROWS)
+def star_pairs(docs: DataFrame, words: int, percent: int, hot: dict) -> DataFrame:
+    """(key, a, b): documents that share a key, each with one other document of it. One shuffle;
+    pairs made before it are spread over all tasks."""
+    spread = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_spread(words, percent, hot), ROWS)
+    home = F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("key", "b"))
+    return spread.repartition(home).sortWithinPartitions("key", "a").mapInArrow(_stars, ROWS)
+
+
+#: Members of a bucket that one task compares with as many others.
+TILE = 2048
+
+
+def _tiles(percent: int):
+    """Rows sorted by (key, i, j): in each tile, pairs of different components whose sizes and sketches allow the similarity."""
+    def compare(x, y, same_tile):
+        n, sketches = x["n"], x["s"]
+        for at in range(0, len(n), 256):
+            one = slice(at, at + 256)
+            apart = sum(np.bitwise_count(sketches[one, None, k] ^ y["s"][None, :, k]).astype(np.int64) for k in range(4))
+            total = n[one, None] + y["n"][None, :]
+            ok = (100 + percent) * apart <= (100 - percent) * total
+            ok &= 100 * np.minimum(n[one, None], y["n"]) >= percent * np.maximum(n[one, None], y["n"])
+            ok &= x["of"][one, None] != y["of"]
+            if same_tile:
+                ok &= x["id"][one, None] < y["id"]
+            l, r = np.nonzero(ok)
+            if len(l):
+                yield x["id"][at + l], y["id"][r]
+
+    def side(t, rows):
+        return {"id": t["id"][rows], "of": t["of"][rows], "n": t["n"][rows], "s": t["s"][rows]}
+
+    def tile(t, i, j):
+        if i == j:
+            x = side(t, slice(None))
+            yield from compare(x, x, True)
+        else:
+            yield from compare(side(t, t["block"] == i), side(t, t["block"] == j), False)
+
+    def run(batches):
+        held = None
+
+        def done(t):
+            for a, b in tile(t, t["i"][0], t["j"][0]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = {c: batch.column(k).to_numpy() for k, c in enumerate(("key", "i", "j", "block", "id", "of", "n"))}
+            t["s"] = np.stack([batch.column(7 + k).to_numpy() for k in range(4)], axis=1)
+            if held is not None:
+                t = {c: np.concatenate([held[c], t[c]]) for c in t}
+            new = (t["key"][1:] != t["key"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1])
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            for first, end in zip(cuts[:-1], cuts[1:], strict=True):
+                yield from done({c: v[first:end] for c, v in t.items()})
+            held = {c: v[cuts[-1]:] for c, v in t.items()}
+        if held is not None:
+            yield from done(held)
+
+    return run
+
+
+def across_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) of different components in a bucket that may be similar. A bucket is cut into
+    blocks of ``TILE`` members and every pair of blocks is a tile, so no task holds a bucket."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
+    cut = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "of", "n", "s0", "s1", "s2", "s3")
+    tiled = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return tiled.mapInArrow(_tiles(percent), "a bigint, b bigint").distinct()
 
 
 # ---------------------------------------------------------------- verification
 
+#: Ids whose set may be broadcast to pick texts; with more, texts and ids meet in a shuffled join.
+MOST_BROADCAST = 1_000_000
+
+
 def sketch_filter(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Of distinct (a, b), those whose sizes and folded sketches allow the similarity."""
     def side(name):
@@ -221,26 +295,27 @@ def sketch_filter(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame
     apart = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(4)), F.lit(0))
     na, nb = F.col("a_n"), F.col("b_n")
     close = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
-    return both.filter(close).select("a", "b")
+    return both.filter(close).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of distinct (a, b), those whose exact shingle sets have the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shingles(docs.join(ids, "doc_id", "left_semi"), words)
+    pairs = written(pairs, "pairs")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    picked = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    sets = shingles(docs.join(picked, "doc_id", "left_semi"), words)
     one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb"))
     total = F.size("ta") + F.size("tb") - common
-    return (pairs.join(one, "a").join(two, "b").filter((total > 0) & (100 * common >= percent * total)).select("a", "b").distinct())
+    return pairs.join(one, "a").join(two, "b").filter((total > 0) & (100 * common >= percent * total)).select("a", "b").distinct()
 
 
-def links(docs: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, stars: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
     """Verified links (a, b) that connect everything that any link connects.
 
-    ``known`` holds the features of one document per distinct set.
+    ``stars`` and ``known`` hold one document per distinct set.
     """
-    stars = written(star_pairs(known), "stars")
     first = written(verified(sketch_filter(stars.select("a", "b").distinct(), known, percent), docs, words, percent), "links")
     class_of = written(components(first), "classes")
     # keys whose documents are not all in one component yet
@@ -250,32 +325,32 @@ def links(docs: DataFrame, known: DataFrame, words: int, percent: int) -> DataFr
         ends = ends.join(at, c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
     open_keys = ends.filter("a_in <> b_in").select("key").distinct()
     open_ends = ends.join(open_keys, "key", "left_semi")
-    members = (open_ends.select("key", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a_in").alias("of")),
-                                                         F.struct(F.col("b").alias("id"), F.col("b_in").alias("of")))).alias("m"))
-               .select("key", "m.*").distinct())
-    members = written(members.join(known.select(F.col("doc_id").alias("id"), "n"), "id"), "members")
-    l, r = (members.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "of", "n")]) for side in "lr")
-    across = l.join(r, "key").filter((F.col("of_l") < F.col("of_r"))
-                                     & (100 * F.least("n_l", "n_r") >= percent * F.greatest("n_l", "n_r")))
-    pairs = across.select(F.least("id_l", "id_r").alias("a"), F.greatest("id_l", "id_r").alias("b")).distinct()
-    more = verified(sketch_filter(pairs, known, percent), docs, words, percent)
+    both = F.array(F.struct(F.col("a").alias("id"), F.col("a_in").alias("of")), F.struct(F.col("b").alias("id"), F.col("b_in").alias("of")))
+    members = open_ends.select("key", F.explode(both).alias("m")).select("key", "m.*").distinct()
+    members = written(members.join(known.withColumnRenamed("doc_id", "id"), "id"), "members")
+    more = verified(across_pairs(members, percent), docs, words, percent)
     return first.unionByName(more)
 
 
 def near_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links reach) for every document."""
-    every = written(features(docs, words, percent), "features")
+    every = written(features(docs, words), "features")
     filled = every.filter("n > 0 and doc_id is not null")
-    groups = filled.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    groups = written(groups, "sets")
+    groups = written(filled.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "sets")
     total = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    firsts = groups.select(F.col("first_id").alias("doc_id"), "h1", "h2", "n")
-    known = written(filled.join(firsts, ["doc_id", "h1", "h2", "n"], "left_semi").dropDuplicates(["doc_id", "h1", "h2", "n"]), "known")
-    rows = lookup(filled.select("doc_id", "n", "h1", "h2"), groups, ["h1", "h2", "n"], ["first_id"], "copies", total)
+    rows = written(lookup(filled, groups, ["h1", "h2", "n"], ["first_id"], "copies", total), "rows")
+    known = rows.filter("doc_id = first_id").select("doc_id", "n", "s0", "s1", "s2", "s3").dropDuplicates(["doc_id", "n", "s0", "s1", "s2", "s3"])
+    # fewer than HOT_SHARE sets
+    hot = {(r["h1"], r["h2"], r["n"]): r["first_id"] for r in groups.filter(F.col("copies") > max(1, total // HOT_SHARE)).collect()}
+    stars = star_pairs(docs, words, percent, hot)
+    for c in ("a", "b"):
+        at = rows.select(F.col("doc_id").alias(c), F.col("first_id").alias(f"{c}_first"))
+        stars = stars.join(at, c)
+    stars = written(stars.select("key", F.col("a_first").alias("a"), F.col("b_first").alias("b")).filter("a <> b").distinct(), "stars")
     # a repeated doc_id ties the sets of its rows together
     apart = rows.groupBy("doc_id").agg(F.min("first_id").alias("a"), F.max("first_id").alias("z")).filter("a < z")
     ties = rows.join(apart, "doc_id").select("a", F.col("first_id").alias("b"))
-    classes = written(components(links(docs, known, words, percent).unionByName(ties)), "components")
+    classes = written(components(links(docs, stars, known, words, percent).unionByName(ties)), "components")
     of = classes.select(F.col("id").alias("first_id"), F.col("component"))
     labelled = rows.join(of, "first_id", "left").select("doc_id", F.col("n").alias("n_shingles"),
                                                         F.coalesce("component", "first_id").alias("component_id"))

@@ -1,4 +1,4 @@
 """All queries of the subpackage."""
 
-from lotweave.llm import dedup_queries  # noqa: F401
+from lotweave.llm import corpus_queries, dedup_queries  # noqa: F401
 from lotweave.llm.registry import ORACLES, QUERIES  # noqa: F401
