@@ -35,6 +35,11 @@ def knapsack(value: np.ndarray, capacity: int) -> list[tuple[float, dict[int, in
     return found
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """A product in this thread alone; matrices this small lose by being shared out."""
+    return np.einsum("ij,j->i", matrix, vector)
+
+
 def solve(demand: np.ndarray, capacity: int, gap: float = 1e-3, pivots: int = 4_000) -> list[tuple[dict[int, int], float]]:
     """Patterns and how often each is used (fractional): sizes 1..len(demand), each demand met exactly.
 
@@ -57,7 +62,7 @@ def solve(demand: np.ndarray, capacity: int, gap: float = 1e-3, pivots: int = 4_
     table = np.zeros((0, m))
     for turn in range(pivots):
         price = inverse.sum(axis=0)
-        k = int(np.argmax(worth)) if len(worth := table @ price) else -1
+        k = int(np.argmax(worth)) if len(worth := _times(table, price)) else -1
         if k < 0 or worth[k] <= 1 + gap:
             value = np.zeros(capacity)
             value[sizes - 1] = price
@@ -69,8 +74,8 @@ def solve(demand: np.ndarray, capacity: int, gap: float = 1e-3, pivots: int = 4_
             for i, taken in enumerate(pool):
                 for size, n in taken.items():
                     table[i, row[size]] = n
-            k = int(np.argmax(table @ price))
-        step = inverse @ table[k]
+            k = int(np.argmax(_times(table, price)))
+        step = _times(inverse, table[k])
         up = step > 1e-9
         if not up.any():
             break
@@ -83,9 +88,9 @@ def solve(demand: np.ndarray, capacity: int, gap: float = 1e-3, pivots: int = 4_
         inverse -= np.outer(step, inverse[out])
         used = used - step * least
         used[out] = least
-        if turn % 500 == 499:  # fresh numbers
-            inverse = np.linalg.inv(columns)
-            used = inverse @ need
+        if turn % 500 == 499:  # a Newton step takes out what rounding has put in
+            inverse = 2 * inverse - np.einsum("ij,jk->ik", inverse, np.einsum("ij,jk->ik", columns, inverse))
+            used = _times(inverse, need)
     return [(p, float(max(u, 0))) for p, u in zip(patterns, used, strict=True)]
 
 

@@ -29,7 +29,9 @@ from lotweave.llm.string_kernel import SYMBOLS, Machine, fold, nystroem, plain,
 #: Most labelled documents of each class in a fit, about (chosen by a hash of doc_id).
 SAMPLE = {1: 2_000, 0: 4_000}
 #: Examples kept per toxic and clean document, landmarks, and rounds of training.
-EXAMPLES, LANDMARKS, ROUNDS = 4, 160, 3
+EXAMPLES, LANDMARKS, ROUNDS = 6, 200, 3
+#: Share of clean sampled documents whose best word an extra toxic example must beat.
+CLEAN_QUANTILE = 0.99
 MEMO = 300_000
 THRESHOLD = 0.3
 
@@ -189,15 +191,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
         machine = Machine(table, 0.0)
         for _ in range(ROUNDS):
             owners, words, scores = _examples(rows, machine)
-            best: dict[int, float] = {}
-            for (doc, _), s in zip(owners, scores, strict=True):
-                best[doc] = max(best.get(doc, -np.inf), s)
-            # a toxic document's best word is toxic; its others only when they score near it
+            best: dict[tuple[int, int], float] = {}
+            for owner, s in zip(owners, scores, strict=True):
+                best[owner] = max(best.get(owner, -np.inf), s)
+            # a toxic document's best word is toxic, and so are others that few clean documents reach
+            line = np.quantile([s for (_, toxic), s in best.items() if not toxic], CLEAN_QUANTILE)
             use, label = [], []
-            for i, ((doc, toxic), s) in enumerate(zip(owners, scores, strict=True)):
-                if not toxic or s >= best[doc]:
+            for i, (owner, s) in enumerate(zip(owners, scores, strict=True)):
+                if not owner[1] or s >= best[owner] or s > line:
                     use.append(i)
-                    label.append(toxic)
+                    label.append(owner[1])
             chosen, label = [words[i] for i in use], np.array(label)
             landmarks = _landmarks(chosen, label)
             features, root = nystroem(chosen, landmarks)
