@@ -1,11 +1,60 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
 
-STAGES = []
+Every stage works on all rows that its predecessor kept. All but the last return the columns of
+``documents``; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lotweave.llm import exact_dedup, near_join, packing, toxicity, winnowing
+from lotweave.llm.common import written
+from lotweave.llm.registry import table
+
+#: Near duplicates: word shingles of five words, similarity of 0.8 or more.
+SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model trained on ``labels`` does not call toxic."""
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The longest document of each text that is equal but for white space."""
+    return exact_dedup.dedup(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each class that near-duplicate links form."""
+    return near_join.keep_one(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    return winnowing.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack_documents),
+]
+
+#: A trained model and a tokenizer decide the rows; tests compare the stages with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
