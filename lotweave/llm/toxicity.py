@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotweave.llm.string_kernel import SYMBOLS, Machine, fold, nystroem, plain, train, triples, windows
@@ -177,6 +177,19 @@ def _landmarks(words: list[str], label: np.ndarray) -> list[str]:
     return sorted(set(out))
 
 
+def _trained(spark: SparkSession, words: list[str], label: np.ndarray) -> Machine:
+    """The machine for a bounded set of examples; the algebra runs in a task, with a task's one thread."""
+    def run(batches):
+        for _ in batches:
+            landmarks = _landmarks(words, label)
+            features, root = nystroem(words, landmarks)
+            machine = fold(landmarks, root, train(features, label))
+            yield pa.RecordBatch.from_arrays([pa.array([machine.table.tobytes()], pa.binary()), pa.array([machine.bias])], names=["weights", "bias"])
+
+    row = spark.range(0, 1, 1, 1).mapInArrow(run, "weights binary, bias double").first()
+    return Machine(np.frombuffer(row["weights"], np.float32), row["bias"])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Train on labelled rows that are not held out; None without both classes."""
     rows = sample(docs, labels).persist()
@@ -201,10 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
                 if not owner[1] or s >= best[owner] or s > line:
                     use.append(i)
                     label.append(owner[1])
-            chosen, label = [words[i] for i in use], np.array(label)
-            landmarks = _landmarks(chosen, label)
-            features, root = nystroem(chosen, landmarks)
-            machine = fold(landmarks, root, train(features, label))
+            machine = _trained(docs.sparkSession, [words[i] for i in use], np.array(label))
         pairs = _margins(rows.select("toxic", "text"), machine).toPandas()
         slope, shift = _logistic(pairs["margin"].to_numpy(), pairs["toxic"].to_numpy())
         return Model(machine, slope, shift)
