@@ -30,6 +30,8 @@ from lotweave.llm.cutting_stock import rounded
 from lotweave.llm.tokens import WordTokenizer, default_path
 
 LENGTH, END_ID, GRID = 2048, 1, 16
+#: Texts whose words are encoded together.
+TOGETHER = 256
 #: Pieces that one ranking block holds, about.
 BLOCK_ROWS = 100_000
 PIECES = "key bigint, doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint, ids binary"
@@ -45,13 +47,16 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
         tokenizer, serial = WordTokenizer(path), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = {c: [] for c in ("key", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(tokenizer.encode(text), np.array([end_id], tokenizer.kind))
-                for at in range(0, len(ids), length):
-                    own = ids[at:at + length]
-                    for c, v in zip(rows, (serial, doc_id, at, len(own), _crc(own), len(ids), own.tobytes()), strict=True):
-                        rows[c].append(v)
-                    serial += 1
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for first in range(0, len(texts), TOGETHER):
+                found = tokenizer.encode(texts.slice(first, TOGETHER).to_pylist())
+                for doc_id, ids in zip(doc_ids[first:first + TOGETHER], found, strict=True):
+                    ids = np.append(ids, np.array([end_id], tokenizer.kind))
+                    for at in range(0, len(ids), length):
+                        own = ids[at:at + length]
+                        for c, v in zip(rows, (serial, doc_id, at, len(own), _crc(own), len(ids), own.tobytes()), strict=True):
+                            rows[c].append(v)
+                        serial += 1
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
