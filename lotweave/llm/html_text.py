@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
+_MAY_HIDE = re.compile("hidden|none", re.I)
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -91,7 +92,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _hidden(raw: str) -> bool:
-    if "hidden" not in raw and "none" not in raw:
+    if not raw or not _MAY_HIDE.search(raw):
         return False
     attributes = _attributes(raw)
     style = attributes.get("style", "").lower().replace(" ", "")
@@ -225,7 +226,7 @@ class Page:
             rows, _ = self.tables.pop()
             for line in _cells([r for r in rows if r]):
                 sink.text(line, True)
-                sink.end()
+                sink.end(0, True)
             sink.end(1)
 
     def render(self) -> str:

@@ -33,7 +33,7 @@ LENGTH, END_ID, GRID = 2048, 1, 16
 #: Texts whose words are encoded together.
 TOGETHER = 256
 #: Pieces that one ranking block holds, about.
-BLOCK_ROWS = 100_000
+BLOCK_ROWS = 5_000
 PIECES = "key bigint, doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint, ids binary"
 
 

@@ -67,7 +67,7 @@ class Rollup:
         bases = self._listed("bases")
         if not bases:
             return None, set()
-        names = self.spark.read.text(f"{self.folder}/bases/{bases[-1]}-names").collect()  # one name per batch
+        names = self.spark.read.text(f"{self.folder}/names/{bases[-1]}").collect()  # one name per batch
         return f"{self.folder}/bases/{bases[-1]}", {r[0] for r in names}
 
     def batches(self) -> set[str]:
@@ -83,9 +83,8 @@ class Rollup:
     def compact(self) -> None:
         """Fold all committed batches into a new base; the names are written first, the base commits it."""
         names, number = sorted(self.batches()), len(self._listed("bases"))
-        base = f"{self.folder}/bases/{number:08d}"
-        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("overwrite").text(f"{base}-names")
-        self.totals().write.mode("overwrite").parquet(base)
+        self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/names/{number:08d}")
+        self.totals().write.mode("overwrite").parquet(f"{self.folder}/bases/{number:08d}")
 
 
 def space_words(text: Column) -> Column:
