@@ -104,6 +104,15 @@ def segments(geom: Column) -> Column:
     return F.flatten(F.transform(F.flatten(geom), _ring_segments))
 
 
+def self_crossing(geom: Column, geom_type: Column) -> Column:
+    """Whether two edges of one polygon ring cross; such a ring has no single inside."""
+    def crossed(ring: Column) -> Column:
+        return let(_ring_segments(ring), lambda edges: F.exists(
+            F.transform(edges, lambda p, i: F.exists(F.slice(edges, i + 2, F.size(edges)), lambda q: _cross_properly(p, q))), lambda hit: hit))
+
+    return geom_type.isin("Polygon", "MultiPolygon") & F.coalesce(F.exists(F.flatten(geom), crossed), F.lit(False))
+
+
 def bounds(geom: Column) -> Column:
     """Struct (xmin, ymin, xmax, ymax) over the finite vertices; null when there are none."""
     inf = float("inf")

@@ -95,12 +95,13 @@ def _nullif_empty(items: Column) -> Column:
 
 
 def planner_allowed_uses(fields: Fields, labels: Sequence[str] = vocab.LAND_USES) -> Column:
-    """Explicit list, else zoning keywords by substring, else every label; label order kept.
+    """Explicit list (commas or a JSON list), else zoning keywords by substring, else every label; label order kept.
 
     The keywords over-match (``i-`` hits "multi-family"); results depend on that.
     """
     explicit_text = F.coalesce(fields.get("allowed_uses"), F.lit(""))
-    tokens = F.transform(F.split(F.lower(explicit_text), ","), lambda t: F.trim(t))
+    listed = F.when(F.trim(explicit_text).startswith("["), F.from_json(F.lower(explicit_text), "array<string>")).otherwise(F.split(F.lower(explicit_text), ","))
+    tokens = F.transform(F.coalesce(listed, F.array().cast("array<string>")), lambda t: F.trim(t))
     explicit = _keep({u: F.array_contains(tokens, u) for u in labels}, labels)
     blob = F.lower(F.concat_ws(" ", *[F.coalesce(fields.get(f), F.lit("")) for f in vocab.PLANNER_ZONING_FIELDS]))
     mixed = blob.contains("mixed")

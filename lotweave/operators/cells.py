@@ -11,9 +11,9 @@ Two layouts are used:
   right point is copied to the cells its radius box covers.
 
 Each pair is produced in exactly one cell (the one holding the lower left corner of the overlap
-of the two boxes), so no distinct is needed. Cells that hold more than ``HOT_ROWS`` rows are
-split by a hash salt: the rows of the long side are spread and the short side is copied. The
-count behind the salt is skipped when the optimizer's size estimate is small.
+of the two boxes), so no distinct is needed. The joins are plain equi-joins between two shuffles,
+so adaptive execution splits a cell that holds many rows by its measured size, at every size of
+input and by the same plan.
 """
 
 from __future__ import annotations
@@ -23,10 +23,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotweave.session import planned_bytes
-
-HOT_ROWS = 100_000
-SALT_FROM_BYTES = 2 << 30
 FINEST_CLASS = -24  # smallest cell edge is 4 * 2**-24 coordinate units
 METRES_PER_DEGREE = math.pi * 6_371_000.0 / 180.0
 
@@ -61,29 +57,15 @@ def _spread(df: DataFrame, klass: Column, side: str) -> DataFrame:
     return sized
 
 
-def _salted(many: DataFrame, few: DataFrame, keys: list[str], row_key: Column, hot_rows: int, salt_from: int):
-    """Add ``_salt`` to both sides so that hot keys of ``many`` spread over several tasks."""
-    if planned_bytes(many) < salt_from:
-        return many, few, keys
-    parts = (many.groupBy(*keys).count().filter(F.col("count") > hot_rows)
-             .select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("_parts")))
-    parted = F.coalesce("_parts", F.lit(1))
-    many = many.join(parts, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(row_key), parted).cast("int")).drop("_parts")
-    few = (few.join(parts, keys, "left")
-           .withColumn("_salt", F.explode(F.sequence(F.lit(0), parted - 1))).drop("_parts"))
-    return many, few, [*keys, "_salt"]
-
-
-def _match(home: DataFrame, probe: DataFrame, probe_key: str, hot_rows: int, salt_from: int) -> DataFrame:
+def _match(home: DataFrame, probe: DataFrame) -> DataFrame:
     """Join filed shapes (``h_``) with probing shapes (``p_``) on class and cell."""
     keys = ["_k", "_cx", "_cy"]
-    probe, home, on = _salted(probe.drop("_edge"), home, keys, F.col(probe_key), hot_rows, salt_from)
     c = F.col
     overlap = ((c("h_xmin_") <= c("p_xmax_")) & (c("p_xmin_") <= c("h_xmax_"))
                & (c("h_ymin_") <= c("p_ymax_")) & (c("p_ymin_") <= c("h_ymax_")))
     first_cell = ((c("_cx") == F.floor(F.greatest("h_xmin_", "p_xmin_") / c("_edge")))
                   & (c("_cy") == F.floor(F.greatest("h_ymin_", "p_ymin_") / c("_edge"))))
-    return home.join(probe, on).filter(overlap & first_cell)
+    return home.join(probe.drop("_edge"), keys).filter(overlap & first_cell)
 
 
 def _probes(df: DataFrame, classes: DataFrame, strict: bool) -> DataFrame:
@@ -104,30 +86,27 @@ def _row(df: DataFrame, side: str) -> Column:
     return F.struct(*[F.col(f"{side}_{c}").alias(c) for c in df.columns])
 
 
-def box_pairs(left: DataFrame, right: DataFrame, box: str = "box", *, hot_rows: int = HOT_ROWS,
-              salt_from: int = SALT_FROM_BYTES) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, box: str = "box") -> DataFrame:
     """All (l, r) pairs whose boxes overlap, each once; ``l`` and ``r`` are row structs."""
     right_home, right_classes = _filed(_prefixed(right, box, "h"))
     left_home, left_classes = _filed(_prefixed(left, box, "h"))
-    small_left = _match(right_home, _probes(_prefixed(left, box, "p"), right_classes, strict=False), f"p_{left.columns[0]}", hot_rows, salt_from)
-    small_right = _match(left_home, _probes(_prefixed(right, box, "p"), left_classes, strict=True), f"p_{right.columns[0]}", hot_rows, salt_from)
+    small_left = _match(right_home, _probes(_prefixed(left, box, "p"), right_classes, strict=False))
+    small_right = _match(left_home, _probes(_prefixed(right, box, "p"), left_classes, strict=True))
     return small_left.select(_row(left, "p").alias("l"), _row(right, "h").alias("r")).unionAll(
         small_right.select(_row(left, "h").alias("l"), _row(right, "p").alias("r")))
 
 
-def self_box_pairs(df: DataFrame, order: str, box: str = "box", *, hot_rows: int = HOT_ROWS,
-                   salt_from: int = SALT_FROM_BYTES) -> DataFrame:
+def self_box_pairs(df: DataFrame, order: str, box: str = "box") -> DataFrame:
     """Unordered pairs of one table with overlapping boxes; ``l`` has the smaller ``order``."""
     home, classes = _filed(_prefixed(df, box, "h"))
-    found = _match(home, _probes(_prefixed(df, box, "p"), classes, strict=False), f"p_{order}", hot_rows, salt_from)
+    found = _match(home, _probes(_prefixed(df, box, "p"), classes, strict=False))
     h, p = F.col(f"h_{order}"), F.col(f"p_{order}")
     once = ((F.col("h_class_") != F.col("p_class_")) & (h != p)) | (h < p)
     first, second = F.when(h < p, _row(df, "h")).otherwise(_row(df, "p")), F.when(h < p, _row(df, "p")).otherwise(_row(df, "h"))
     return found.filter(once).select(first.alias("l"), second.alias("r"))
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, lon: str = "lon", lat: str = "lat", *,
-                 hot_rows: int = HOT_ROWS, salt_from: int = SALT_FROM_BYTES) -> DataFrame:
+def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """(l, r, distance_m) for points within ``radius_m``; longitudes wrap at 180 degrees."""
     from lotweave.functions.geometry import haversine_m
 
@@ -146,8 +125,7 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, lon: str =
     b = (b.withColumn("_cy", F.explode(F.sequence(F.floor((y - step) / edge), F.floor((y + step) / edge))))
          .withColumn("_gx", F.explode(F.sequence(low, high)))
          .withColumn("_cx", F.pmod(F.col("_gx"), F.lit(columns))).drop("_gx"))
-    a, b, on = _salted(a, b, ["_cx", "_cy"], F.col(f"h_{left.columns[0]}"), hot_rows, salt_from)
     distance = haversine_m(F.col(f"h_{lon}"), F.col(f"h_{lat}"), x, y)
     near = F.abs(F.col(f"h_{lat}") - y) <= step
-    return (a.join(b, on).filter(near).withColumn("distance_m", distance).filter(F.col("distance_m") <= radius_m)
+    return (a.join(b, ["_cx", "_cy"]).filter(near).withColumn("distance_m", distance).filter(F.col("distance_m") <= radius_m)
             .select(_row(left, "h").alias("l"), _row(right, "p").alias("r"), "distance_m"))

@@ -38,44 +38,55 @@ def _count(flag: Column) -> Column:
     return F.coalesce(F.sum(flag.cast("bigint")), F.lit(0))
 
 
+def scenario_keys(*frames: DataFrame) -> list[str]:
+    """``scenario_id`` when every frame carries it."""
+    return ["scenario_id"] if all("scenario_id" in f.columns for f in frames) else []
+
+
 def scored_pairs(pairs: DataFrame, assignments: DataFrame, risks: DataFrame) -> DataFrame:
     """One row per (plan, pair). Both ends use the same lookup, ids without assignment are unknown.
 
-    Risks join once per pair, before the plans multiply the rows.
+    Risks join once per pair, before the plans multiply the rows. Where pairs and assignments carry
+    ``scenario_id``, a pair meets the plans of its own scenario only.
     """
-    r = risks.select("parcel_id", "risk")
+    within = scenario_keys(pairs, assignments)
+    own = [c for c in within if c in risks.columns]
+    r = risks.select("parcel_id", "risk", *own)
     with_risk = (
-        pairs.join(r.withColumnsRenamed({"parcel_id": "left_id", "risk": "_lr"}), "left_id", "left")
-        .join(r.withColumnsRenamed({"parcel_id": "right_id", "risk": "_rr"}), "right_id", "left")
+        pairs.join(r.withColumnsRenamed({"parcel_id": "left_id", "risk": "_lr"}), ["left_id", *own], "left")
+        .join(r.withColumnsRenamed({"parcel_id": "right_id", "risk": "_rr"}), ["right_id", *own], "left")
         .withColumn("max_risk", F.greatest(F.coalesce("_lr", F.lit(0.0)), F.coalesce("_rr", F.lit(0.0))))
         .drop("_lr", "_rr"))
-    plans = assignments.select("plan").distinct()
-    uses = assignments.groupBy("parcel_id").agg(
+    plans = assignments.select(*within, "plan").distinct()
+    uses = assignments.groupBy("parcel_id", *within).agg(
         F.map_from_entries(F.collect_list(F.struct("plan", compatibility_use(F.col("use"))))).alias("uses"))
     both = (
-        with_risk.join(uses.withColumnsRenamed({"parcel_id": "left_id", "uses": "_lu"}), "left_id", "left")
-        .join(uses.withColumnsRenamed({"parcel_id": "right_id", "uses": "_ru"}), "right_id", "left"))
-    every = plans.agg(F.sort_array(F.collect_list("plan")).alias("_plans"))
-    rows = both.crossJoin(F.broadcast(every)).withColumn("plan", F.explode("_plans"))
+        with_risk.join(uses.withColumnsRenamed({"parcel_id": "left_id", "uses": "_lu"}), ["left_id", *within], "left")
+        .join(uses.withColumnsRenamed({"parcel_id": "right_id", "uses": "_ru"}), ["right_id", *within], "left"))
+    every = plans.groupBy(*within).agg(F.sort_array(F.collect_list("plan")).alias("_plans"))  # a scenario's plans
+    met = both.join(every, within) if within else both.crossJoin(F.broadcast(every))
+    rows = met.withColumn("plan", F.explode("_plans"))
     pick = lambda m: F.coalesce(F.col(m)[F.col("plan")], F.lit("unknown"))
-    return rows.select("plan", "left_id", "right_id", "distance_m", "max_risk",
+    return rows.select(*within, "plan", "left_id", "right_id", "distance_m", "max_risk",
                        pick("_lu").alias("left_use"), pick("_ru").alias("right_use"))
 
 
 def plan_scores(pairs: DataFrame, assignments: DataFrame, risks: DataFrame) -> DataFrame:
     """Per plan: score (0-1, 4 dp), raw score and the five pair counts; plans without pairs score 0."""
     rows = scored_pairs(pairs, assignments, risks)
+    keys = [*scenario_keys(rows), "plan"]
     t = _pair_terms(F.col("left_use"), F.col("right_use"), F.col("max_risk"), whole_plan=True)
-    s = rows.withColumn("_s", t["score"]).groupBy("plan").agg(
+    s = rows.withColumn("_s", t["score"]).groupBy(*keys).agg(
         F.count("*").alias("neighbor_pairs_evaluated"),
         _count(F.col("_s") > 0).alias("compatible_pairs"), _count(F.col("_s") < 0).alias("conflict_pairs"),
         _count(t["buffer"]).alias("green_buffer_pairs"), _count(t["clash"]).alias("industrial_residential_conflicts"),
         F.sum("_s").alias("_raw"))
     mean = F.col("_raw") / F.col("neighbor_pairs_evaluated")
     scaled = F.least(F.greatest((mean + 5.0) / 9.0, F.lit(0.0)), F.lit(1.0))
-    scored = s.select("plan", F.round(scaled, 4).alias("score"), F.round("_raw", 4).alias("raw_score"),
-                      *[c for c in s.columns if c not in ("plan", "_raw")])
-    return assignments.select("plan").distinct().join(scored, "plan", "left").fillna(0)
+    scored = s.select(*keys, F.round(scaled, 4).alias("score"), F.round("_raw", 4).alias("raw_score"),
+                      *[c for c in s.columns if c not in (*keys, "_raw")])
+    counts = [c for c in scored.columns if c not in keys]
+    return assignments.select(*keys).distinct().join(scored, keys, "left").fillna(0, counts)
 
 
 def objective(scores: DataFrame, weight: float | None = 0.15) -> DataFrame:
@@ -85,7 +96,7 @@ def objective(scores: DataFrame, weight: float | None = 0.15) -> DataFrame:
     except (TypeError, ValueError):
         w = 0.15
     idle = (F.col("neighbor_pairs_evaluated") == 0) | F.lit(w <= 0)
-    return scores.select("plan", F.when(idle, 0.0).otherwise((F.lit(1.0) - F.col("score")) * w).alias("penalty"))
+    return scores.select(*scenario_keys(scores), "plan", F.when(idle, 0.0).otherwise((F.lit(1.0) - F.col("score")) * w).alias("penalty"))
 
 
 def _plural(n: Column, one: str, many: str) -> Column:

@@ -98,15 +98,15 @@ def _badge_text() -> Column:
     return F.when(F.size("badges") > 0, F.array_join("badges", ", ")).otherwise("None")
 
 
-def comparison_rows(bundle: DataFrame, names: Sequence[str], shown: int = 10) -> DataFrame:
-    """First ten plans: label, badges, mix percents, review counts and the three named objectives."""
+def comparison_rows(bundle: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Every plan: label, badges, mix percents, review counts and the three named objectives."""
     from lotweave.operators.badges import objective_index
 
     picks = []
     for key, out in (("risk", "risk_objective"), ("zoning", "zoning_objective"), ("compact", "fragmentation_objective")):
         i = objective_index(names, vocab.OBJECTIVE_TOKENS[key])
         picks.append((F.col(names[i]) if i >= 0 else F.lit(None).cast("double")).alias(out))
-    return bundle.filter(F.col("plan") < shown).select(
+    return bundle.select(
         F.concat(F.lit("Plan "), (F.col("plan") + 1).cast("string")).alias("plan_label"), _badge_text().alias("badges"),
         *[F.col(f"pct_{u}") for u in vocab.LAND_USES], "deviation", "high_risk_built", "zoning_conflicts", *picks)
 

@@ -109,18 +109,23 @@ def neighbour_lists(edges: DataFrame, parcels: DataFrame, order: str = "pos") ->
         order, F.coalesce("neighbours", F.array().cast("array<bigint>")).alias("neighbours"))
 
 
-def neighbour_pairs(parcels: DataFrame, radius_m: float | None, order: str = "pos", key: str = "parcel_id") -> DataFrame:
-    """Unique (left_id, right_id, distance_m) with centroids within the radius, left first in order."""
+def neighbour_pairs(parcels: DataFrame, radius_m: float | None, order: str = "pos", key: str = "parcel_id", within: str | None = None) -> DataFrame:
+    """Unique (left_id, right_id, distance_m) with centroids within the radius, left first in order.
+
+    With ``within`` only pairs that agree in that column, which comes first.
+    """
+    own = [within] if within else []
     try:
         radius = float(radius_m)
     except (TypeError, ValueError):
         radius = 0.0
-    pts = parcels.select(order, key, "lon", "lat")
+    pts = parcels.select(order, key, "lon", "lat", *own)
     if not radius > 0.0:
         return pts.filter(F.lit(False)).select(
-            F.col(key).alias("left_id"), F.col(key).alias("right_id"), F.lit(0.0).alias("distance_m"))
-    return (radius_pairs(pts, pts, radius).filter(F.col(f"l.{order}") < F.col(f"r.{order}"))
-            .select(F.col(f"l.{key}").alias("left_id"), F.col(f"r.{key}").alias("right_id"), "distance_m"))
+            *own, F.col(key).alias("left_id"), F.col(key).alias("right_id"), F.lit(0.0).alias("distance_m"))
+    agree = F.col(f"l.{within}").eqNullSafe(F.col(f"r.{within}")) if within else F.lit(True)
+    return (radius_pairs(pts, pts, radius).filter((F.col(f"l.{order}") < F.col(f"r.{order}")) & agree)
+            .select(*[F.col(f"l.{c}").alias(c) for c in own], F.col(f"l.{key}").alias("left_id"), F.col(f"r.{key}").alias("right_id"), "distance_m"))
 
 
 def nearby(centres: DataFrame, parcels: DataFrame, radius_m: float) -> DataFrame:

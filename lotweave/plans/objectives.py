@@ -121,9 +121,10 @@ def compatibility(weight: float = 0.15) -> Callable[[DataFrame, Context], DataFr
         from lotweave.operators.compat import objective, plan_scores
 
         keys = list(ctx.keys)
-        named = rows.select(F.to_json(F.struct(*keys)).alias("plan"), F.struct(*keys).alias("_k"), "parcel_id",
+        own = [c for c in ("scenario_id",) if c in keys and c in ctx.pairs.columns]
+        named = rows.select(*own, F.to_json(F.struct(*keys)).alias("plan"), F.struct(*keys).alias("_k"), "parcel_id",
                             use_label(F.col("use_code"), ctx.labels).alias("use"))
-        scored = objective(plan_scores(ctx.pairs, named.select("plan", "parcel_id", "use"), ctx.risks), weight)
+        scored = objective(plan_scores(ctx.pairs, named.select(*own, "plan", "parcel_id", "use"), ctx.risks), weight).drop(*own)
         found = named.select("plan", "_k").distinct().join(scored, "plan")
         return found.select(*[F.col("_k")[c].alias(c) for c in keys], F.col("penalty").alias("value"))
     return build
@@ -176,12 +177,14 @@ def metric_facts(features: DataFrame) -> DataFrame:
 def planning_metrics(assignments: DataFrame, facts: DataFrame) -> DataFrame:
     """Per plan: housing, residents, green per resident, tax, hazard-exposed built parcels and areas.
 
-    Assignments without a parcel row count with 500 m2 and no hazard.
+    Assignments without a parcel row count with 500 m2 and no hazard. Plans of different scenarios
+    (``scenario_id``, if there) are counted apart.
     """
+    keys = [c for c in ("scenario_id", "plan") if c in assignments.columns]
     rows = assignments.join(facts, "parcel_id", "left")
     label = F.lower("use_label")
     area = F.coalesce("area", F.lit(vocab.DEFAULT_AREA_M2))
-    sums = rows.groupBy("plan").agg(
+    sums = rows.groupBy(*keys).agg(
         *[F.sum(F.when(label == u, area).otherwise(0.0)).alias(f"a_{u}") for u in vocab.LAND_USES],
         F.sum(((label != "green") & F.coalesce("hazard", F.lit(False))).cast("bigint")).alias("hazard_built_parcels"),
         F.count("*").alias("total_parcels"))
@@ -194,7 +197,7 @@ def planning_metrics(assignments: DataFrame, facts: DataFrame) -> DataFrame:
     out = out.withColumn("estimated_residents", (F.col("housing_units") * vocab.HOUSEHOLD_SIZE).cast("bigint"))
     green = F.when(F.col("estimated_residents") > 0, F.col("a_green") / F.col("estimated_residents")).otherwise(F.col("a_green"))
     return out.select(
-        "plan", "housing_units", "estimated_residents", F.round(green, 1).alias("green_space_per_resident_m2"),
+        *keys, "housing_units", "estimated_residents", F.round(green, 1).alias("green_space_per_resident_m2"),
         F.lit(vocab.GREEN_TARGET_M2).alias("green_target_m2"), "hazard_built_parcels", "total_parcels",
         tax.cast("bigint").alias("annual_tax"), *[F.round(f"a_{u}").alias(f"area_{u}") for u in vocab.LAND_USES],
         F.round(total).alias("area_total"))

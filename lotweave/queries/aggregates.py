@@ -96,7 +96,7 @@ SUMMARY = f"""SELECT n.centre_id, coalesce(round(avg(f.risk), 3), 0e0) AS averag
   count(*) FILTER (WHERE flood) AS hazard_flood, count(*) FILTER (WHERE fault) AS hazard_fault, count(*) FILTER (WHERE mscp) AS hazard_mscp, max(m.zoning) AS dominant_zoning
 FROM ({NEAR}) n JOIN ({FACTS}) f ON f.parcel_id = n.parcel_id LEFT JOIN (SELECT centre_id, zoning FROM (
   SELECT n2.centre_id, f2.zoning, row_number() OVER (PARTITION BY n2.centre_id ORDER BY count(*) DESC, min(n2.rank)) AS k FROM ({NEAR}) n2 JOIN ({FACTS}) f2 ON f2.parcel_id = n2.parcel_id
-  WHERE f2.zoning IS NOT NULL AND n2.rank <= 9 GROUP BY n2.centre_id, f2.zoning) q WHERE k = 1) m ON m.centre_id = n.centre_id WHERE n.rank <= 9 GROUP BY n.centre_id"""
+  WHERE f2.zoning IS NOT NULL AND n2.rank <= 150 GROUP BY n2.centre_id, f2.zoning) q WHERE k = 1) m ON m.centre_id = n.centre_id WHERE n.rank <= 150 GROUP BY n.centre_id"""
 INSIGHT = """CASE WHEN average_risk >= 0.6e0 OR high_risk_count >= greatest(3, ceil(total * 0.3e0)) THEN 'risk' WHEN use_industrial >= 2 AND use_residential >= 2 THEN 'mixed activity'
   WHEN use_commercial > 0 AND use_commercial >= greatest(use_residential, use_industrial, use_green) THEN 'commercial'
   WHEN use_residential > 0 AND use_residential >= greatest(use_commercial, use_industrial, use_green) AND average_risk <= 0.35e0 THEN 'residential'
@@ -104,7 +104,7 @@ INSIGHT = """CASE WHEN average_risk >= 0.6e0 OR high_risk_count >= greatest(3, c
 
 
 def _summaries(d):
-    return nearby.summaries(nearby.nearest(d.parcels, d.parcels, 400.0, 9), nearby.planning_facts(d.by_lot))
+    return nearby.summaries(nearby.nearest(d.parcels, d.parcels, 400.0, 150), nearby.planning_facts(d.by_lot))
 
 
 @query("a10_neighbourhood_summary", SUMMARY)

@@ -15,7 +15,7 @@ MY = "ln(tan(pi() / 4 + radians({0}) / 2)) * 6378137e0"
 
 
 def _geojson(d):
-    """Parcels as GeoJSON text: polygons, points, lines, multi-polygons and unreadable rows by turns."""
+    """Parcels as GeoJSON text: polygons (every second one a bow-tie), points, lines, multi-polygons and unreadable rows by turns."""
     return d.sql("""
 SELECT pos, concat('{{"type":"Feature","id":"', cast(pos AS string), '","properties":{{"k":', cast(pos % 9 AS string), '}},"geometry":',
   CASE pos % 6 WHEN 0 THEN concat('{{"type":"Point","coordinates":[', cast(lon AS string), ',', cast(lat AS string), ']}}')
@@ -24,12 +24,12 @@ SELECT pos, concat('{{"type":"Feature","id":"', cast(pos AS string), '","propert
       cast(x1 AS string), ',', cast(y1 AS string), '],[', cast(x0 AS string), ',', cast(y1 AS string), '],[', cast(x0 AS string), ',', cast(y0 AS string), ']]]]}}')
     WHEN 3 THEN 'null' WHEN 4 THEN '{{"type":"Polygon","coordinates":"bad"}}'
     ELSE concat('{{"type":"Polygon","coordinates":[[[', cast(x0 AS string), ',', cast(y0 AS string), '],[', cast(x0 AS string), ',', cast(y0 AS string), '],[', cast(x1 AS string), ',', cast(y0 AS string), '],[',
-      cast(x1 AS string), ',', cast(y1 AS string), '],[', cast(x0 AS string), ',', cast(y1 AS string), ']]]}}') END, '}}') AS value FROM {lots}""")
+      cast(CASE WHEN pos % 12 = 11 THEN x0 ELSE x1 END AS string), ',', cast(y1 AS string), '],[', cast(CASE WHEN pos % 12 = 11 THEN x1 ELSE x0 END AS string), ',', cast(y1 AS string), ']]]}}') END, '}}') AS value FROM {lots}""")
 
 
 @query("g01_parse_and_repair", """
 SELECT cast(pos AS string) AS feature_id, CASE pos % 6 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' WHEN 2 THEN 'MultiPolygon' WHEN 3 THEN NULL ELSE 'Polygon' END AS geom_type,
-  CASE pos % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 5 WHEN 5 THEN 5 END AS points, pos % 6 = 4 AS rejected, cast(pos % 9 AS string) AS k FROM {lots}""")
+  CASE pos % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 5 WHEN 5 THEN 5 END AS points, pos % 6 = 4 OR pos % 12 = 11 AS rejected, cast(pos % 9 AS string) AS k FROM {lots}""")
 def _(d):
     f = parse_features(_geojson(d))
     bad = invalid_features(f).select("feature_id", F.lit(True).alias("rejected"))

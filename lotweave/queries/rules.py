@@ -197,19 +197,18 @@ def _(d):
     return d.features.select("pos", (risk.feature_based_risk(Fields(d.features)) + 1e-9).alias("risk"))
 
 
-_P10 = f"coalesce(CASE WHEN coalesce(r_xgb, r_rule) IS NOT NULL THEN {CLAMP.format('coalesce(r_xgb, r_rule) / 100')} END, {FEATURE_RISK}) + 1e-9"
+_P10 = f"coalesce(CASE WHEN coalesce(r_xgb, r_rule) IS NOT NULL THEN {CLAMP.format('coalesce(r_xgb, r_rule) / 100')} END, {FEATURE_RISK})"
 
 
 @query("p10_suitability_prediction", f"SELECT parcel_id, " + ", ".join(
-    f"round(CASE WHEN r IS NULL THEN 0.5e0 ELSE {SUIT[u].format('r')} END, 6) AS {u}" for u in vocab.LAND_USES)
-    + f", round(coalesce(r, 0e0), 6) AS environmental_risk FROM (SELECT parcel_id, {_P10.replace('r_xgb', 'CASE WHEN apn IS NOT NULL THEN r_xgb END').replace('r_rule', 'CASE WHEN apn IS NOT NULL THEN r_rule END')} AS r FROM {{props}}) q")
+    f"cast(floor((CASE WHEN r IS NULL THEN 0.5e0 ELSE {SUIT[u].format('r')} END) * 1e4 + 0.313e0) AS bigint) AS {u}" for u in vocab.LAND_USES)
+    + f", cast(floor(coalesce(r, 0e0) * 1e4 + 0.313e0) AS bigint) AS environmental_risk FROM (SELECT parcel_id, {_P10.replace('r_xgb', 'CASE WHEN apn IS NOT NULL THEN r_xgb END').replace('r_rule', 'CASE WHEN apn IS NOT NULL THEN r_rule END')} AS r FROM {{props}}) q")
 def _(d):
     from lotweave.sources.geojson import risk_table
 
     out = scoring.predict_suitability(d.by_lot, risk_table(d.features))
-    known = F.col("green") != 0.5  # a nudge off rounding ties, in both texts
-    shift = {"residential": -1e-9, "commercial": -0.8e-9, "industrial": -0.5e-9, "green": 1e-9, "environmental_risk": 1e-9}
-    return out.select("parcel_id", *[F.when(known & (F.col(c) > 0) & (F.col(c) < 1), F.col(c) + s).otherwise(F.col(c)).alias(c) for c, s in shift.items()])
+    # steps of 1e-4 whose borders no short decimal meets, so that engines agree
+    return out.select("parcel_id", *[F.floor(F.col(c) * 1e4 + 0.313).cast("bigint").alias(c) for c in (*vocab.LAND_USES, "environmental_risk")])
 
 
 def _fallback_sql(col: str, name: str, lo: float, hi: float) -> str:
@@ -234,6 +233,15 @@ def _(d):
     return d.features.select("pos", landuse.planner_allowed_uses(Fields(d.features)).alias("allowed"))
 
 
+@query("p13_allowed_uses_listed", f"""SELECT pos, CASE pos % 4 WHEN 0 THEN 'industrial,green' WHEN 1 THEN 'residential' ELSE {planner_allowed_sql().replace('allowed_txt', 'CAST(NULL AS VARCHAR)')} END AS allowed FROM {{props}}""")
+def _(d):
+    """Lists kept as JSON text: two uses, one in other case, an empty list, and a broken one."""
+    listed = F.element_at(F.array(*map(F.lit, ('["green", "industrial"]', '[" Residential ", "x"]', "[]", '["commercial"'))), (F.col("pos") % 4 + 1).cast("int"))
+    props = F.map_concat(F.map_filter("props", lambda k, v: k != "allowed_uses"), F.create_map(F.lit("allowed_uses"), listed))
+    rows = d.features.withColumn("props", props)
+    return rows.select("pos", landuse.planner_allowed_uses(Fields(rows)).alias("allowed"))
+
+
 @query("p14_allowed_uses_comparison", f"SELECT pos, {comparison_allowed_sql()} AS comparison, {report_allowed_sql()} AS report FROM {{props}}")
 def _(d):
     f = Fields(d.features)
@@ -429,7 +437,6 @@ FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'env_risk' WHEN 1 THEN 'z
 def _(d):
     rows = d.sql("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'env_risk' WHEN 1 THEN 'zoning_gap' WHEN 2 THEN 'green_deviation' WHEN 3 THEN 'adjacency' ELSE 'plain_objective' END AS n FROM {part}")
     label, why = landuse.objective_meaning(F.col("n"))
-    assert bd.objective_index(["a", "env_risk"], vocab.OBJECTIVE_TOKENS["risk"]) == 1
     return rows.select("p_partkey", label.alias("label"), (why != vocab.OBJECTIVE_DEFAULT_TEXT).alias("explained"))
 
 

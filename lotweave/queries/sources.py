@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from lotweave.functions import vocab
 from lotweave.queries.joins import flagged
 from lotweave.queries.registry import query
+from lotweave.session import shared_folder
 from lotweave.sources import geojson, lookup, sinks
 
 
 def _folder(spark, name: str) -> str:
-    """A fresh folder next to the checkpoints on a cluster, else a temporary one."""
+    """A fresh folder next to the checkpoints, which all executors reach."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/lotweave-{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"lotweave-{name}-")
+    return f"{shared_folder(spark)}/lotweave-{name}-{uuid.uuid4().hex}"
 
 
 @query("s01_load_vector_layer", "SELECT pos, round(x0, 6) AS x0, round(y1, 6) AS y1, 'props' AS k, 3857 AS srid FROM {lots}")
@@ -103,11 +101,14 @@ def _(d):
     return geojson.with_planning_parameters(rows, {"aqi_mean": 60.0}).select("pos", "aqi_mean", "soil_clay_pct")
 
 
-@query("p38_wgs84_plausibility", "SELECT 'b' AS plan_id, TRUE AS used_fallback")
+@query("p38_wgs84_plausibility", """
+SELECT CASE WHEN (SELECT bool_and(x0 BETWEEN -180 AND 180 AND x1 BETWEEN -180 AND 180 AND y0 BETWEEN -90 AND 90 AND y1 BETWEEN -90 AND 90) FROM {lots}) THEN 'b' ELSE 'a' END AS plan_id,
+  (SELECT bool_and(x0 BETWEEN -180 AND 180 AND x1 BETWEEN -180 AND 180 AND y0 BETWEEN -90 AND 90 AND y1 BETWEEN -90 AND 90) FROM {lots}) AS used_fallback""")
 def _(d):
-    """A metric layer fails the check, so the lon/lat layer is used."""
+    """A layer whose last parcel alone is metric fails the check, so the lon/lat layer is used."""
     from lotweave.functions.geometry import mercator
 
     wgs = d.features
-    metric = wgs.withColumn("geom", mercator(F.col("geom")))
+    last = wgs.agg(F.max("pos").alias("_last"))
+    metric = wgs.crossJoin(F.broadcast(last)).withColumn("geom", F.when(F.col("pos") == F.col("_last"), mercator(F.col("geom"))).otherwise(F.col("geom"))).drop("_last")
     return geojson.resolve_overlay(metric, wgs, "a", "b")

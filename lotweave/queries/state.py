@@ -40,12 +40,11 @@ def _(d):
 
 
 @query("w03_job_retention", f"""
-SELECT job_id, status FROM (SELECT *, row_number() OVER (ORDER BY status IN ('completed', 'failed'), created_at DESC, job_id DESC) AS k FROM ({STATES}) s
-  WHERE created_at >= (SELECT max(created_at) FROM ({STATES}) t) - INTERVAL 24 HOURS) q WHERE k <= 40""")
+SELECT job_id, status FROM ({STATES}) s WHERE created_at >= (SELECT max(created_at) FROM ({STATES}) t) - INTERVAL 24 HOURS""")
 def _(d):
     jobs = progress.job_states(d.view("job_events"))
     newest = jobs.agg(F.max("created_at").alias("now"))
-    return progress.retained_jobs(jobs.crossJoin(F.broadcast(newest)), F.col("now"), 24, 40).select("job_id", "status")
+    return progress.retained_jobs(jobs.crossJoin(F.broadcast(newest)), F.col("now"), 24).select("job_id", "status")
 
 
 @query("w04_session_runs", """
@@ -55,11 +54,17 @@ def _(d):
     return sessions.session_runs(d.table("events").withColumnRenamed("user_id", "session_id"))
 
 
-@query("w04_live_sessions")
+@query("w04_live_sessions", """
+WITH g AS (SELECT user_id, ts, event_id, event_type, coalesce(ts - lag(ts) OVER w >= INTERVAL 24 HOURS, TRUE) AS gap FROM {events} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT *, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g),
+r AS (SELECT user_id, run, min(ts) AS started, max(ts) AS last_seen, count(*) AS turns, max_by(CASE WHEN event_type = 'view' THEN concat('APN-', cast(event_id AS string)) END, (ts, event_id)) FILTER (WHERE event_type = 'view') AS parcel
+  FROM n GROUP BY user_id, run),
+l AS (SELECT user_id, max(run) AS run FROM n GROUP BY user_id)
+SELECT r.user_id AS session_id, started, last_seen, turns, parcel FROM r JOIN l ON l.user_id = r.user_id AND l.run = r.run WHERE last_seen >= (SELECT max(ts) FROM {events}) - INTERVAL 24 HOURS""")
 def _(d):
     e = d.table("events").select(F.col("user_id").alias("session_id"), "ts", "event_id", F.when(F.col("event_type") == "view", F.concat(F.lit("APN-"), F.col("event_id"))).alias("parcel"))
     newest = e.agg(F.max("ts").alias("now"))
-    return sessions.live_sessions(e, F.lit(newest.first()["now"]), most=100)
+    return sessions.live_sessions(e, newest)
 
 
 @query("w04_session_history", """

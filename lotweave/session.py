@@ -21,12 +21,13 @@ def _checkpoint_dir_ready(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables; it raises where a cluster names none."""
+    _checkpoint_dir_ready(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back as a plan leaf."""
     _checkpoint_dir_ready(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df``; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -172,17 +172,14 @@ def with_planning_parameters(parcels: DataFrame, shared: dict[str, float] | None
 
 
 def invalid_features(features: DataFrame) -> DataFrame:
-    """Rows whose geometry text was given but could not be read."""
-    return features.filter(F.col("geom_type").isNotNull() & F.col("geom").isNull())
+    """Rows whose geometry text was given but could not be read, or whose polygon ring crosses itself."""
+    unread = F.col("geom_type").isNotNull() & F.col("geom").isNull()
+    return features.filter(unread | g.self_crossing(F.col("geom"), F.col("geom_type")))
 
 
-def plausible_layer(features: DataFrame, sample: int = 200) -> DataFrame:
-    """One row ``ok``: all sampled coordinates look like lon/lat; an empty layer is not ok.
-
-    The sample is part of the rule: the first 200 coordinates in feature order.
-    """
-    head = features.filter(F.col("geom").isNotNull()).orderBy("pos").limit(sample)
-    pts = head.select("pos", F.posexplode(g.vertices(F.col("geom"))).alias("i", "p")).orderBy("pos", "i").limit(sample)
+def plausible_layer(features: DataFrame) -> DataFrame:
+    """One row ``ok``: all coordinates look like lon/lat; an empty layer is not ok."""
+    pts = features.filter(F.col("geom").isNotNull()).select(F.explode(g.vertices(F.col("geom"))).alias("p"))
     return pts.agg(F.coalesce(F.bool_and(g.plausible_lonlat(F.col("p.x"), F.col("p.y"))), F.lit(False)).alias("ok"))
 
 

@@ -56,11 +56,9 @@ def write_features(df: DataFrame, path: str) -> None:
     as_features(df).write.mode("overwrite").text(path)
 
 
-def unified(df: DataFrame, limit: int = 50_000, key: str = "APN") -> DataFrame:
-    """Unknown zoning spelled out; above ``limit`` rows an exact-size sample."""
-    from lotweave.operators.ranking import exact_sample
-
-    return exact_sample(df.fillna({"ZONING_CODE": "UNKNOWN"}), key, limit)
+def unified(df: DataFrame) -> DataFrame:
+    """Every parcel, unknown zoning spelled out. A smaller layer is the caller's own ``exact_sample``."""
+    return df.fillna({"ZONING_CODE": "UNKNOWN"})
 
 
 def write_unified(df: DataFrame, path: str, by: str = "JURISDICTION") -> None:

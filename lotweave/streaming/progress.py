@@ -57,14 +57,9 @@ def dependency_states(steps: DataFrame, edges: DataFrame) -> DataFrame:
             .select("plan_id", "step_id", "status", F.coalesce("_ready", F.lit(True)).alias("can_run"), "plan_status"))
 
 
-def retained_jobs(jobs: DataFrame, now: Column, hours: int = 24, most: int = 2000) -> DataFrame:
-    """Jobs young enough, then at most ``most`` of them: finished ones go first, oldest first.
-
-    The cut is an ordered limit, which Spark takes per partition before merging.
-    """
-    young = jobs.filter(F.col("created_at") >= now - F.expr(f"INTERVAL {hours} HOURS"))
-    finished = F.col("status").isin("completed", "failed")
-    return young.orderBy(finished.asc(), F.desc("created_at"), F.desc("job_id")).limit(most)
+def retained_jobs(jobs: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """Jobs young enough to keep."""
+    return jobs.filter(F.col("created_at") >= now - F.expr(f"INTERVAL {hours} HOURS"))
 
 
 HOUR = 3_600_000_000  # microseconds

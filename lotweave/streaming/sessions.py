@@ -17,7 +17,6 @@ from lotweave.operators.ranking import top_k
 
 HISTORY = 20
 TTL_HOURS = 24
-MAX_SESSIONS = 5000
 
 
 def session_runs(events: DataFrame, ttl_hours: int = TTL_HOURS) -> DataFrame:
@@ -27,18 +26,17 @@ def session_runs(events: DataFrame, ttl_hours: int = TTL_HOURS) -> DataFrame:
         "session_id", F.col("session_window.start").alias("started"), "last_seen", "turns")
 
 
-def live_sessions(events: DataFrame, now, ttl_hours: int = TTL_HOURS, most: int = MAX_SESSIONS) -> DataFrame:
-    """Batch form: the run of each session that is still alive at ``now``, the newest ``most`` of them.
+def live_sessions(events: DataFrame, now, ttl_hours: int = TTL_HOURS) -> DataFrame:
+    """Batch form: the run of each session that is still alive at the one-row table ``now`` (column ``now``).
 
     Parcel context is the last one set inside the run.
     """
     runs = session_runs(events, ttl_hours)
     latest = runs.groupBy("session_id").agg(F.max_by(F.struct("started", "last_seen", "turns"), "last_seen").alias("r")).select("session_id", "r.*")
-    alive = latest.filter(F.col("last_seen") >= now - F.expr(f"INTERVAL {ttl_hours} HOURS"))
-    newest = alive.orderBy(F.desc("last_seen"), "session_id").limit(most)
-    inside = events.join(newest.select("session_id", "started"), "session_id").filter(F.col("ts") >= F.col("started"))
+    alive = latest.crossJoin(F.broadcast(now)).filter(F.col("last_seen") >= F.col("now") - F.expr(f"INTERVAL {ttl_hours} HOURS")).drop("now")
+    inside = events.join(alive.select("session_id", "started"), "session_id").filter(F.col("ts") >= F.col("started"))
     context = inside.filter(F.col("parcel").isNotNull()).groupBy("session_id").agg(F.max_by("parcel", F.struct("ts", "event_id")).alias("parcel"))
-    return newest.join(context, "session_id", "left")
+    return alive.join(context, "session_id", "left")
 
 
 def session_history(events: DataFrame, keep: int = HISTORY) -> DataFrame:

@@ -79,19 +79,17 @@ def hits(a, b):
     return ax <= bx1 and bx <= ax1 and ay <= by1 and by <= ay1
 
 
-@pytest.mark.parametrize("salt_from,hot", [(1 << 60, 10), (0, 10)])
-def test_box_pairs_match_brute_force_with_and_without_salt(spark, salt_from, hot):
+def test_box_pairs_match_brute_force(spark):
     a, b = boxes(spark, 150, 1), boxes(spark, 120, 2, big=0.3)
     left, right = spatial.with_box(frame(spark, a)), spatial.with_box(frame(spark, b))
-    got = cells.box_pairs(left, right, hot_rows=hot, salt_from=salt_from).select("l.pos", F.col("r.pos").alias("q")).collect()
+    got = cells.box_pairs(left, right).select("l.pos", F.col("r.pos").alias("q")).collect()
     want = {(i, j) for i, s in enumerate(a) for j, t in enumerate(b) if hits(s, t)}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
-@pytest.mark.parametrize("salt_from", [1 << 60, 0])
-def test_self_pairs_match_brute_force(spark, salt_from):
+def test_self_pairs_match_brute_force(spark):
     a = boxes(spark, 200, 3)
-    got = cells.self_box_pairs(spatial.with_box(frame(spark, a)), "pos", hot_rows=20, salt_from=salt_from).select("l.pos", F.col("r.pos").alias("q")).collect()
+    got = cells.self_box_pairs(spatial.with_box(frame(spark, a)), "pos").select("l.pos", F.col("r.pos").alias("q")).collect()
     want = {(i, j) for i in range(200) for j in range(i + 1, 200) if hits(a[i], a[j])}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
@@ -102,13 +100,12 @@ def haversine(a, b):
     return 6_371_000 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
 
 
-@pytest.mark.parametrize("salt_from", [1 << 60, 0])
-def test_radius_pairs_wrap_and_high_latitudes(spark, salt_from):
+def test_radius_pairs_wrap_and_high_latitudes(spark):
     rnd = random.Random(5)
     pts = [(rnd.choice([179.99, -179.99, 0.0, 10.0]) + rnd.uniform(-0.008, 0.008), rnd.choice([0.0, 60.0, 89.9, -89.95]) + rnd.uniform(-0.04, 0.04)) for _ in range(160)]
     pts = [((x + 180) % 360 - 180, max(min(y, 90.0), -90.0)) for x, y in pts]
     df = spark.createDataFrame([(i, f"p{i}", x, y) for i, (x, y) in enumerate(pts)], "pos bigint, parcel_id string, lon double, lat double")
-    got = {(r.a, r.b) for r in cells.radius_pairs(df, df, 3000.0, hot_rows=5, salt_from=salt_from).select(F.col("l.pos").alias("a"), F.col("r.pos").alias("b")).collect()}
+    got = {(r.a, r.b) for r in cells.radius_pairs(df, df, 3000.0).select(F.col("l.pos").alias("a"), F.col("r.pos").alias("b")).collect()}
     want = {(i, j) for i in range(160) for j in range(160) if haversine(pts[i], pts[j]) <= 3000.0}
     assert got == want
 

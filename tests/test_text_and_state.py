@@ -139,11 +139,11 @@ def test_job_states_batch_and_stream_agree(spark, tmp_path):
     assert {r.job_id: (r.status, r.progress, r.stage) for r in last.collect()} == batch
 
 
-def test_retention_drops_old_then_finished_then_oldest(spark):
+def test_retention_drops_old_jobs_only(spark):
     rows = [(1, "2024-01-01 00:00:00", "running"), (2, "2024-01-03 00:00:00", "completed"), (3, "2024-01-03 01:00:00", "running"), (4, "2024-01-03 02:00:00", "running")]
     df = spark.createDataFrame(rows, "job_id int, created_at string, status string").withColumn("created_at", F.col("created_at").cast("timestamp"))
-    kept = progress.retained_jobs(df, F.lit("2024-01-03 03:00:00").cast("timestamp"), most=2)
-    assert sorted(r.job_id for r in kept.collect()) == [3, 4]
+    kept = progress.retained_jobs(df, F.lit("2024-01-03 03:00:00").cast("timestamp"))
+    assert sorted(r.job_id for r in kept.collect()) == [2, 3, 4]
 
 
 def test_step_dependencies(spark):
@@ -178,5 +178,5 @@ def test_live_sessions_and_runs(spark):
     rows = [(1, t(0), 1, "A", ""), (1, t(30), 2, None, ""), (1, t(31), 3, "B", ""), (2, t(2), 4, "C", "")]
     df = spark.createDataFrame(rows, SESSIONS)
     assert sorted(r.turns for r in sessions.session_runs(df).collect()) == [1, 1, 2]
-    live = sessions.live_sessions(df, F.lit(t(32)))
+    live = sessions.live_sessions(df, spark.createDataFrame([(t(32),)], "now timestamp"))
     assert [(r.session_id, r.parcel, r.turns) for r in live.collect()] == [(1, "B", 2)]
