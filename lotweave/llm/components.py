@@ -11,30 +11,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotweave.llm.common import remove, written
+from lotweave.llm.common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b); the component is its smallest id."""
-    now = written(edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).filter("a <> b").distinct(), "edges")
-    steps = []
-    while not now.isEmpty():
+    now = edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).filter("a <> b").distinct()
+    steps: list[DataFrame] = []
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("id"))
         own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("id"))
         parent = both.groupBy("a").agg(F.min(rank).alias("p")).select(F.col("a").alias("id"), F.least("p", own)["id"].alias("to"))
-        parent = written(parent, "parents")
-        steps.append(parent)
         up = now
         for c in ("a", "b"):
             up = up.join(parent.select(F.col("id").alias(c), F.col("to").alias(f"{c}_to")), c)
-        lean = up.select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).filter("a <> b").distinct()
-        before, now = now, written(lean, "edges")
-        remove(before)
-    if not steps:
-        return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    names = steps[0].select("id", F.col("to").alias("root"))
+        # one table a round: its ends name the parents, its parents are the next round's edges
+        up = written(up.select("a", "b", "a_to", "b_to"), "contracted")
+        steps.append(up.select("a", F.col("a_to").alias("to")).unionByName(up.select(F.col("b").alias("a"), F.col("b_to").alias("to"))).distinct())
+        now = up.filter("a_to <> b_to").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b")).distinct()
+        if now.isEmpty():
+            break
+    names = steps[0].select(F.col("a").alias("id"), F.col("to").alias("root"))
     for step in steps[1:]:
-        names = names.join(step.select(F.col("id").alias("root"), "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+        names = names.join(step.select(F.col("a").alias("root"), "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
     least = names.groupBy("root").agg(F.min("id").alias("component"))
     return names.join(least, "root").select("id", "component")

@@ -301,8 +301,8 @@ def sketch_filter(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame
 def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of distinct (a, b), those whose exact shingle sets have the similarity."""
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    picked = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    picked = F.broadcast(ids) if 2 * pairs.count() <= MOST_BROADCAST else ids
     sets = shingles(docs.join(picked, "doc_id", "left_semi"), words)
     one = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
@@ -311,25 +311,42 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return pairs.join(one, "a").join(two, "b").filter((total > 0) & (100 * common >= percent * total)).select("a", "b").distinct()
 
 
-def links(docs: DataFrame, stars: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
-    """Verified links (a, b) that connect everything that any link connects.
+def linked(docs: DataFrame, stars: DataFrame, known: DataFrame, ties: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, component) of everything that a link or one of ``ties`` connects.
 
     ``stars`` and ``known`` hold one document per distinct set.
     """
-    first = written(verified(sketch_filter(stars.select("a", "b").distinct(), known, percent), docs, words, percent), "links")
+    first = verified(sketch_filter(stars.select("a", "b").distinct(), known, percent), docs, words, percent).unionByName(ties)
     class_of = written(components(first), "classes")
-    # keys whose documents are not all in one component yet
-    ends = stars
+    both = F.array(F.struct("key", F.col("a").alias("id")), F.struct("key", F.col("b").alias("id")))
+    members = stars.select(F.explode(both).alias("m")).select("m.*").distinct()
+    # Copies of one text share most keys. Each document's smallest open key alone links most of what
+    # is left; all open keys then have little to compare twice.
+    for first_key_only in (True, False):
+        placed = _open(members, class_of)
+        if first_key_only:
+            placed = placed.join(placed.groupBy("id").agg(F.min("key").alias("key")), ["key", "id"], "left_semi")
+        placed = placed.join(known.withColumnRenamed("doc_id", "id"), "id")
+        class_of = _merged(class_of, verified(across_pairs(placed, percent), docs, words, percent))
+    return class_of
+
+
+def _open(members: DataFrame, class_of: DataFrame) -> DataFrame:
+    """(key, id, of) of keys whose documents are not all in one component."""
+    placed = members.join(class_of, "id", "left").select("key", "id", F.coalesce("component", "id").alias("of"))
+    open_keys = placed.groupBy("key").agg(F.min("of").alias("x"), F.max("of").alias("y")).filter("x < y").select("key")
+    return placed.join(open_keys, "key", "left_semi")
+
+
+def _merged(class_of: DataFrame, more: DataFrame) -> DataFrame:
+    """Components after the links ``more``: components of the components."""
     for c in ("a", "b"):
-        at = class_of.select(F.col("id").alias(c), F.col("component").alias(f"{c}_in"))
-        ends = ends.join(at, c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
-    open_keys = ends.filter("a_in <> b_in").select("key").distinct()
-    open_ends = ends.join(open_keys, "key", "left_semi")
-    both = F.array(F.struct(F.col("a").alias("id"), F.col("a_in").alias("of")), F.struct(F.col("b").alias("id"), F.col("b_in").alias("of")))
-    members = open_ends.select("key", F.explode(both).alias("m")).select("key", "m.*").distinct()
-    members = written(members.join(known.withColumnRenamed("doc_id", "id"), "id"), "members")
-    more = verified(across_pairs(members, percent), docs, words, percent)
-    return first.unionByName(more)
+        at = class_of.select(F.col("id").alias(c), F.col("component").alias("_in"))
+        more = more.join(at, c, "left").withColumn(c, F.coalesce("_in", c)).drop("_in")
+    joined = written(components(more).select(F.col("id").alias("component"), F.col("component").alias("whole")), "joined")
+    inside = class_of.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    alone = joined.join(class_of.select(F.col("id").alias("component")), "component", "left_anti")
+    return written(inside.unionByName(alone.select(F.col("component").alias("id"), F.col("whole").alias("component"))), "classes")
 
 
 def near_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -350,8 +367,7 @@ def near_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # a repeated doc_id ties the sets of its rows together
     apart = rows.groupBy("doc_id").agg(F.min("first_id").alias("a"), F.max("first_id").alias("z")).filter("a < z")
     ties = rows.join(apart, "doc_id").select("a", F.col("first_id").alias("b"))
-    classes = written(components(links(docs, stars, known, words, percent).unionByName(ties)), "components")
-    of = classes.select(F.col("id").alias("first_id"), F.col("component"))
+    of = linked(docs, stars, known, ties, words, percent).select(F.col("id").alias("first_id"), F.col("component"))
     labelled = rows.join(of, "first_id", "left").select("doc_id", F.col("n").alias("n_shingles"),
                                                         F.coalesce("component", "first_id").alias("component_id"))
     rest = every.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
