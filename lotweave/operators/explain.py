@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lotweave.functions import risk as rk
 from lotweave.functions import vocab
-from lotweave.functions.coerce import Fields, fixed, kept, pct0, when_in_order
+from lotweave.functions.coerce import Fields, fixed, kept, when_in_order
 from lotweave.functions.landuse import planner_allowed_uses
 from lotweave.operators.scoring import flag_columns
 

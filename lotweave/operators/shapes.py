@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotweave.functions import geometry as g
-from lotweave.operators.cells import box_pairs
 from lotweave.operators.spatial import extent, with_box
 
 POLYGON = f"array<array<array<{g.POINT}>>>"
@@ -296,11 +295,3 @@ def _tile_regions(sites: DataFrame, edge: float, box, last: bool) -> DataFrame:
 
     return near.groupBy("tx", "ty").applyInPandas(
         run, f"spot {kind}, geom {POLYGON}, area double, final boolean, cutters array<{kind}>")
-
-
-def buffer_members(parcels: DataFrame, others: DataFrame, distance: float, key: str = "parcel_id") -> DataFrame:
-    """(key, other) pairs whose boxes come within ``distance``: buffer membership without the outline."""
-    grown = F.struct(*[(F.col(f"box.{a}") + d).alias(a) for a, d in (
-        ("xmin", -distance), ("ymin", -distance), ("xmax", distance), ("ymax", distance))])
-    left = with_box(parcels.select(key, "geom")).withColumn("box", F.when(F.col("box").isNotNull(), grown))
-    return box_pairs(left, with_box(others)).select(F.col(f"l.{key}").alias(key), "r")

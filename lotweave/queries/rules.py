@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lotweave.functions import coerce, landuse, risk, text, vocab
 from lotweave.functions.coerce import Fields, parcel_id
 from lotweave.operators import area, compare, explain, nearby, scoring
-from lotweave.operators import badges as bd
+
 from lotweave.queries.registry import query
 from lotweave.sources.lookup import with_zone_parameters
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lotweave.functions import vocab
-from lotweave.queries.joins import flagged
+from lotweave.queries.joins import FLAGGED, flagged
 from lotweave.queries.registry import query
 from lotweave.session import shared_folder
 from lotweave.sources import geojson, lookup, sinks
@@ -33,7 +33,12 @@ def _(d):
     return out.select(F.col("feature_id").cast("bigint").alias("pos"), F.col("b.xmin").alias("x0"), F.col("b.ymax").alias("y1"), F.lit("props").alias("k"), "srid")
 
 
-@query("s05_risk_layer_sink")
+_RULE = " + ".join(f"{w}e0 * f.{n}" for n, w in vocab.RISK_WEIGHTS.items())
+
+
+@query("s05_risk_layer_sink", f"""
+SELECT l.parcel_id AS apn, least(greatest(({_RULE}) * 100, 0e0), 100e0) AS rule_risk_score, cast(f.has_flood AS int) AS has_flood, cast({len(vocab.RISK_WEIGHTS) + 2} AS int) AS fields
+FROM ({FLAGGED}) f JOIN {{lots}} l ON l.pos = f.pos""")
 def _(d):
     """Rows of the risk layer after a round trip through GeoJSON text."""
     from lotweave.functions import risk
