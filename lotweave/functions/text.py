@@ -26,14 +26,18 @@ def section_number(text: Column) -> Column:
         F.when(text.rlike(p), F.regexp_extract(text, p, 1)) for p in vocab.SECTION_PATTERNS])
 
 
+def markers_found(text: Column, markers, over=lambda found: found) -> Column:
+    """How many of the markers the text holds; ``over`` may be an aggregate that looks at many texts."""
+    return reduce(lambda a, b: a + b, [F.coalesce(over(F.lower(text).contains(m).cast("int")), F.lit(0)) for m in markers])
+
+
 def document_jurisdiction(file_name: Column, sample: Column) -> Column:
-    """File name decides first, then the markers found in the sample; a tie is Unknown."""
-    name, text = F.lower(file_name), F.lower(sample)
+    """File name decides first, then the markers found in the text; a tie is Unknown."""
+    return marked_jurisdiction(file_name, markers_found(sample, vocab.COUNTY_MARKERS), markers_found(sample, vocab.CITY_MARKERS))
 
-    def found(markers) -> Column:
-        return reduce(lambda a, b: a + b, [text.contains(m).cast("int") for m in markers])
 
-    county, city = found(vocab.COUNTY_MARKERS), found(vocab.CITY_MARKERS)
+def marked_jurisdiction(file_name: Column, county: Column, city: Column) -> Column:
+    name = F.lower(file_name)
     return (F.when(contains_any(name, ("county", "unincorporated")), vocab.COUNTY)
             .when(contains_any(name, ("municipal", "city", "chapter")), vocab.CITY)
             .when(county > city, vocab.COUNTY).when(city > county, vocab.CITY).otherwise("Unknown"))

@@ -141,10 +141,10 @@ def chunk_id(stem: Column, start: Column, end: Column, text: Column) -> Column:
 
 
 def jurisdictions(pages: DataFrame) -> DataFrame:
-    """(source, jurisdiction): from the file name, else from the first three pages."""
-    first = pages.filter(F.col("page_num") <= 3).groupBy("source").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "text"))), lambda p: p["text"]), "\n").alias("sample"))
-    return first.select("source", tx.document_jurisdiction(F.col("source"), F.col("sample")).alias("jurisdiction"))
+    """(source, jurisdiction): from the file name, else from the markers on any of its pages."""
+    found = pages.groupBy("source").agg(*[tx.markers_found(F.col("text"), markers, F.max).alias(name)
+                                          for name, markers in (("county", vocab.COUNTY_MARKERS), ("city", vocab.CITY_MARKERS))])
+    return found.select("source", tx.marked_jurisdiction(F.col("source"), F.col("county"), F.col("city")).alias("jurisdiction"))
 
 
 def chunks(pages: DataFrame, ingested=None, **sizes) -> DataFrame:

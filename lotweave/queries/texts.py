@@ -49,8 +49,12 @@ def _(d):
 _CATS = "concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in vocab.ZONE_PATTERNS) + ")"
 
 
+_MARKS = lambda ms: " + ".join(f"max(cast(contains(lower(text), '{m}') AS int))" for m in ms)
+_BY_MARKS = f"(SELECT CASE WHEN k > c THEN '{vocab.COUNTY}' WHEN c > k THEN '{vocab.CITY}' ELSE 'Unknown' END FROM (SELECT {_MARKS(vocab.COUNTY_MARKERS)} AS k, {_MARKS(vocab.CITY_MARKERS)} AS c FROM {{reg_pages}} p WHERE p.source = chunks.source) m)"
+
+
 @query("c03_chunk_metadata", CHUNKS + f""" SELECT sha256(text) AS digest, source, {_CATS} AS zone_categories,
-  CASE WHEN contains(source, 'county') THEN '{vocab.COUNTY}' WHEN contains(source, 'city') THEN '{vocab.CITY}' ELSE '{vocab.CITY}' END AS jurisdiction FROM chunks""")
+  CASE WHEN contains(source, 'county') THEN '{vocab.COUNTY}' WHEN contains(source, 'city') THEN '{vocab.CITY}' ELSE {_BY_MARKS} END AS jurisdiction FROM chunks""")
 def _(d):
     return corpus.chunks(d.pages, "2024-01-01 00:00:00").select(F.sha2("text", 256).alias("digest"), "source", "zone_categories", "jurisdiction")
 
