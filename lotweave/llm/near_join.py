@@ -7,7 +7,7 @@ when these agree. Jaccard >= t allows at most d = (1-t)/(1+t) * (|A|+|B|) differ
 either document fills more than d blocks, one filled block has no differing token and is equal in
 both (pigeonhole). m is set per size band so that nearly all documents fill that many; the few that
 do not also emit every token as a block of its own, which meets the same kind of document on the
-other side. No link is lost. Candidates pass a 256-bit sketch (Hamming bound), then the exact sets.
+other side. No link is lost. Candidates pass a folded sketch (Hamming bound), then the exact sets.
 
 Groups. Documents with equal sets are one class at once, by aggregation. In a bucket of equal blocks
 each document is paired with the bucket's first one only (inside an Arrow batch before the shuffle,
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from lotweave.llm.common import HOT_SHARE, NOT_SPACE, hash_words, list_column, lookup, mix, run_hashes, signed, text_column, text_slices, written
 from lotweave.llm.components import components
 
-SKETCH_BITS = 256
+#: Bits of the folded sketch that candidates pass first; it tells apart sets of up to about twice as many tokens.
+SKETCH_BITS = 1024
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -100,13 +101,13 @@ def block_keys(tokens: np.ndarray, band: int, m: int, most: float) -> np.ndarray
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    """256 parity bits as four words."""
-    bit = tokens >> np.uint64(56)
+    """Parity bits in words of 64."""
+    bit = tokens >> np.uint64(54)
     odd = np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-FEATURES = "doc_id bigint, n bigint, h1 bigint, h2 bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint"
+FEATURES = "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>"
 
 
 def set_hash(tokens: np.ndarray) -> tuple[int, int]:
@@ -117,12 +118,13 @@ def features(docs: DataFrame, words: int) -> DataFrame:
     """One row per document: set size, set hash and folded sketch."""
     def run(batches):
         for batch in batches:
-            rows = [[] for _ in range(7)]
+            rows, sketches = [[] for _ in range(3)], []
             for tokens in shingle_sets(text_column(batch, "text"), words):
-                for column, value in zip(rows, (len(tokens), *(set_hash(tokens) if len(tokens) else (0, 0)), *sketch(tokens).tolist()), strict=True):
+                for column, value in zip(rows, (len(tokens), *(set_hash(tokens) if len(tokens) else (0, 0))), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, pa.int64()) for v in rows]],
-                                             names=["doc_id", "n", "h1", "h2", "s0", "s1", "s2", "s3"])
+                sketches.append(sketch(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, pa.int64()) for v in rows], list_column(sketches, pa.int64())],
+                                             names=["doc_id", "n", "h1", "h2", "sketch"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, FEATURES)
 
@@ -223,7 +225,7 @@ def _tiles(percent: int):
         n, sketches = x["n"], x["s"]
         for at in range(0, len(n), 256):
             one = slice(at, at + 256)
-            apart = sum(np.bitwise_count(sketches[one, None, k] ^ y["s"][None, :, k]).astype(np.int64) for k in range(4))
+            apart = sum(np.bitwise_count(sketches[one, None, k] ^ y["s"][None, :, k]).astype(np.int64) for k in range(SKETCH_BITS // 64))
             total = n[one, None] + y["n"][None, :]
             ok = (100 + percent) * apart <= (100 - percent) * total
             ok &= 100 * np.minimum(n[one, None], y["n"]) >= percent * np.maximum(n[one, None], y["n"])
@@ -255,7 +257,7 @@ def _tiles(percent: int):
             if not batch.num_rows:
                 continue
             t = {c: batch.column(k).to_numpy() for k, c in enumerate(("key", "i", "j", "block", "id", "of", "n"))}
-            t["s"] = np.stack([batch.column(7 + k).to_numpy() for k in range(4)], axis=1)
+            t["s"] = batch.column(7).flatten().to_numpy().reshape(batch.num_rows, -1)
             if held is not None:
                 t = {c: np.concatenate([held[c], t[c]]) for c in t}
             new = (t["key"][1:] != t["key"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1])
@@ -275,7 +277,7 @@ def across_pairs(members: DataFrame, percent: int) -> DataFrame:
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
     cut = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "of", "n", "s0", "s1", "s2", "s3")
+    tiled = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "of", "n", "sketch")
     tiled = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return tiled.mapInArrow(_tiles(percent), "a bigint, b bigint").distinct()
 
@@ -289,10 +291,10 @@ MOST_BROADCAST = 1_000_000
 def sketch_filter(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Of distinct (a, b), those whose sizes and folded sketches allow the similarity."""
     def side(name):
-        return known.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "s0", "s1", "s2", "s3")])
+        return known.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "sketch")])
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(4)), F.lit(0))
+    apart = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     na, nb = F.col("a_n"), F.col("b_n")
     close = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * apart <= (100 - percent) * (na + nb))
     return both.filter(close).select("a", "b").distinct()
@@ -356,7 +358,7 @@ def near_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     groups = written(filled.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "sets")
     total = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     rows = written(lookup(filled, groups, ["h1", "h2", "n"], ["first_id"], "copies", total), "rows")
-    known = rows.filter("doc_id = first_id").select("doc_id", "n", "s0", "s1", "s2", "s3").dropDuplicates(["doc_id", "n", "s0", "s1", "s2", "s3"])
+    known = rows.filter("doc_id = first_id").select("doc_id", "n", "sketch").dropDuplicates(["doc_id", "n"])
     # fewer than HOT_SHARE sets
     hot = {(r["h1"], r["h2"], r["n"]): r["first_id"] for r in groups.filter(F.col("copies") > max(1, total // HOT_SHARE)).collect()}
     stars = star_pairs(docs, words, percent, hot)
