@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from lotweave.llm.common import lookup, written
 
 LEAST, SHARD_BYTES, FILE_BYTES, BLOCKS = 100, 32 << 20, 16 << 20, 1 << 14
+#: Revisits whose plan may be broadcast.
+MOST_BROADCAST = 1_000_000
 DATE = "2020-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, shard bigint, records bigint, bytes bigint, sha256 string"
@@ -157,6 +159,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     blocks, first, width = shards(planned, shard_bytes)
     # rows with one key and digest are equal records, so the pair finds the row's plan
     plan = planned.filter("refers_to is not null").select(F.col("key").alias("_key"), F.col("digest").alias("_digest"), "refers_to").distinct()
+    if plan.count() <= MOST_BROADCAST:  # else payloads are shuffled for this join as well
+        plan = F.broadcast(plan)
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("bigint").alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"),
                         F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("bigint").alias("size"))
