@@ -52,23 +52,21 @@ class WordTokenizer:
     def _direct(self, word: bytes) -> str | None:
         """The word as the model reads it, if it is one pre-token of Latin letters."""
         if word.isalpha():
-            return word.decode()
+            return word.decode().lower()
         text = word.decode("utf-8", "replace")
-        if text.isalpha() and max(text) < "\u0180":
-            return text.lower().encode().decode("latin-1").translate(self.letters)
+        if text.isalpha() and max(text) < "\u0180" and (low := text.lower()).isalpha():
+            return low.encode().decode("latin-1").translate(self.letters)
         return None
 
     def _learn(self, words: list[bytes]) -> None:
-        if b"<|" not in b"".join(words):
-            rest, memo, tokenize, form = [], self.memo, self.model.tokenize, self.kind
-            for word in words:
-                direct = self._direct(word)
-                if direct is None:
-                    rest.append(word)
-                else:
-                    memo[word] = b"".join([t.id.to_bytes(form.itemsize, "little") for t in tokenize(direct)])
-            words = rest
-        self._encode(words)
+        rest, memo, tokenize, form = [], self.memo, self.model.tokenize, self.kind
+        for word in words:
+            direct = self._direct(word)
+            if direct is None:
+                rest.append(word)
+            else:
+                memo[word] = b"".join([t.id.to_bytes(form.itemsize, "little") for t in tokenize(direct)])
+        self._encode(rest)
 
     def _encode(self, words: list[bytes]) -> None:
         odd = [w for w in words if b"<|" in w] if self.mark is not None else words
@@ -88,7 +86,8 @@ class WordTokenizer:
         if not text:
             return []
         raw = text.encode("utf-8", "replace")
-        return (raw if b"<|" in raw else raw.lower()).split()
+        # added tokens are cased, and a combining mark may join a lower-case letter but not its capital
+        return (raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""

@@ -15,6 +15,15 @@ def test_tokenizer_gives_the_ids_of_whole_texts():
             assert ids.tolist() == own.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+def test_tokenizer_gives_the_ids_of_whole_texts_over_slices():
+    slices = [["<|im_start|>user Hello<|im_end|>", "plain words"], ["<|im_start|> World IJsberg, ÉCOLE. Straße", "more Plain"], ["World \u0130stanbul D\u0130Z", "\u0130"],
+              ["J\u030cI T\u0308 H\u0331 W\u030a Y\u030a E\u0301 T\u0344", "world"], [chr(c) + "a" + chr(c) for c in range(0x21, 0x250)], ["<|endoftext|> World <|ENDOFTEXT|> Again", "Again"]]
+    own = WordTokenizer(default_path())
+    for texts in slices:
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert ids.tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def check_packing(rows, placed):
     own = WordTokenizer(default_path())
     ids = {i: np.append(own.encode([t])[0], 1) for i, t in rows}
