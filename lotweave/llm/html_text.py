@@ -1,7 +1,7 @@
 """Layout-aware text of HTML pages.
 
-A tree builder with implied tags (an open paragraph ends at a block, list items, rows and cells end
-at the next one, rows are made where a cell lacks one) feeds a renderer that drops what a reader
+A tree builder with implied tags (a head ends at text or a tag that may not stand in it, an open
+paragraph ends at a block, list items, rows and cells end at the next one, rows are made where a cell lacks one) feeds a renderer that drops what a reader
 doesn't see (head, scripts, styles, templates, ``hidden``, ``display:none``, ``visibility:hidden``)
 and keeps all other text: blocks on lines of their own, paragraphs apart by an empty line, list
 marks with indents, preformatted text as it is, and table cells padded to their column.
@@ -33,6 +33,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 UNSEEN = frozenset("head script style template noscript title iframe object svg math select datalist audio video canvas noembed noframes".split())
 APART = frozenset("p blockquote ul ol dl pre table h1 h2 h3 h4 h5 h6 figure".split())
 BLOCK = APART | frozenset("address article aside body caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup hr html legend li main menu nav search section summary tr".split())
+#: What may stand in an open head; any other tag, or text, ends it.
+IN_HEAD = frozenset("head title meta link base basefont bgsound style script template noscript noframes".split())
 #: What an opening tag ends, and the elements that the search for it doesn't leave.
 _ITEM, _CELL = ("ul", "ol", "menu", "dir"), ("table",)
 ENDS = {"li": (("li",), _ITEM), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)), "tr": (("tr",), _CELL),
@@ -121,8 +123,15 @@ class Page:
     def __init__(self):
         self.open: list[tuple[str, bool]] = []  # tag, unseen here or above
         self.sinks, self.tables, self.lists, self.pre = [Sink()], [], [], 0
+        self.heads = self.templates = 0  # open ones
+
+    def _end_head(self) -> None:
+        if self.heads and not self.templates:
+            self._pop_to(("head",))
 
     def text(self, s: str) -> None:
+        if self.heads and s.strip(" \t\n\f\r"):
+            self._end_head()
         if s and not (self.open and self.open[-1][1]):
             self.sinks[-1].text(unescape(s) if "&" in s else s, self.pre > 0)
 
@@ -142,6 +151,10 @@ class Page:
                 return
 
     def start(self, tag: str, raw: str) -> None:
+        if self.heads and tag not in IN_HEAD:
+            self._end_head()
+        if self.heads and tag == "head":
+            return
         if tag in BLOCK and self._within(("p",), ("table", "td", "th", "caption", "button")):
             self._pop_to(("p",))
         if tag in ENDS:
@@ -161,6 +174,8 @@ class Page:
     def finish(self, tag: str) -> None:
         if tag == "br":
             self.start("br", "")
+        elif tag == "body" and self.heads:
+            self._end_head()
         elif tag == "p" and not self._within(("p",), ("table",)):
             self.start("p", "")
             self._pop_to(("p",))
@@ -170,6 +185,8 @@ class Page:
     def _enter(self, tag: str, raw: str) -> None:
         unseen = bool(self.open and self.open[-1][1]) or tag in UNSEEN or _hidden(raw)
         self.open.append((tag, unseen))
+        self.heads += tag == "head"
+        self.templates += tag == "template"
         if unseen:
             return
         sink = self.sinks[-1]
@@ -200,6 +217,8 @@ class Page:
 
     def _leave(self) -> None:
         tag, unseen = self.open.pop()
+        self.heads -= tag == "head"
+        self.templates -= tag == "template"
         if unseen:
             return
         if tag in ("td", "th") and self.tables and len(self.sinks) > self.tables[-1][1]:

@@ -83,6 +83,18 @@ def test_chats_of_an_empty_table(spark):
     assert chat_format.read_back(chat_format.format_chats(none)).count() == 0
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<html><head><title>T</title><body><p>Hello</p>", "Hello"),
+    ("<html><head><title>T</title><meta charset=utf-8><p>Hello<p>again</html>", "Hello\n\nagain"),
+    ("<head><style>x</style> \n <script>y</script>Hello <b>you</b>", "Hello you"),
+    ("<head><title>T</title>&nbsp;Hello</head><body>there", "\xa0Hello\nthere"),
+    ("<head><template><p>no</p></template><title>T</title><head><x-y>Hello</x-y></head>there", "Hellothere"),
+    ("<head><title>T</title></body>Hello", "Hello"),
+    ("<html><head><title>T</title></head><p>Hello", "Hello")])
+def test_head_without_an_end_tag(page, want):
+    assert html_text.render(page) == want
+
+
 def test_language_evidence(spark):
     known = spark.createDataFrame([("de", "der die das und nicht"), ("en", "the and of with that")] * 30 + [(None, "x"), ("en", None)], "lang string, text string")
     names, table = language.train(known)
