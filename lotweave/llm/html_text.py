@@ -2,10 +2,15 @@
 
 A tree builder with implied tags (a head ends at text or a tag that may not stand in it, an open
 paragraph ends at a block, list items, rows and cells end at the next one, rows are made where a cell lacks one) feeds a renderer that drops what a reader
-doesn't see (head, scripts, styles, templates, ``hidden``, ``display:none``, ``visibility:hidden``)
-and keeps all other text: blocks on lines of their own, paragraphs apart by an empty line, list
+doesn't see (head, scripts, styles, templates, ``hidden``, ``display:none``, ``visibility:hidden`` up to a
+``visibility:visible``; title, desc, metadata and annotations of drawings and formulas) and keeps all other text: blocks on lines of their own, paragraphs apart by an empty line, list
 marks with indents, preformatted text as it is, and table cells padded to their column.
 
+Nothing is run or loaded here: ``noscript`` and the fallback inside ``object`` are seen. Browsers never
+show what stands in audio, video, canvas, iframe, noembed and noframes, nor a datalist before one
+types; these go. All options of a list count as seen, a line each, and so do labels of a drawing.
+Numbers over, under and beside each other in a formula are kept apart by a space.
+
 Both work without recursion, so nesting of any depth is safe, and in one pass over the page. A page
 is one row; rows are spread by the scan.
 
@@ -25,19 +30,26 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
-_MAY_HIDE = re.compile("hidden|none", re.I)
+_MAY_HIDE = re.compile("hidden|none|visib", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)visibility:(hidden|visible)")
 _SPACES = re.compile(r"[ \t\n\f\r]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe object svg math select datalist audio video canvas noembed noframes".split())
+UNSEEN = frozenset("head script style template title iframe datalist audio video canvas noembed noframes".split())
 APART = frozenset("p blockquote ul ol dl pre table h1 h2 h3 h4 h5 h6 figure".split())
-BLOCK = APART | frozenset("address article aside body caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup hr html legend li main menu nav search section summary tr".split())
+BLOCK = APART | frozenset("address article aside body caption center dd details dialog dir div dt fieldset figcaption footer form header hgroup hr html legend li main menu nav optgroup option search section summary tr".split())
+#: Drawings and formulas: what isn't shown, what holds HTML again, what ends them, and formula parts set around each other.
+FOREIGN = frozenset(("svg", "math"))
+NOTES = frozenset("title desc metadata annotation annotation-xml".split())
+HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAK_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+AROUND = frozenset("mfrac mroot msub msup msubsup munder mover munderover mmultiscripts mtr".split())
 #: What may stand in an open head; any other tag, or text, ends it.
 IN_HEAD = frozenset("head title meta link base basefont bgsound style script template noscript noframes".split())
 #: What an opening tag ends, and the elements that the search for it doesn't leave.
 _ITEM, _CELL = ("ul", "ol", "menu", "dir"), ("table",)
-ENDS = {"li": (("li",), _ITEM), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)), "tr": (("tr",), _CELL),
+ENDS = {"li": (("li",), _ITEM), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "option": (("option",), ("select",)), "optgroup": (("optgroup",), ("select",)), "tr": (("tr",), _CELL),
         "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), **{t: (("thead", "tbody", "tfoot", "caption"), _CELL) for t in ("thead", "tbody", "tfoot")}}
 
 
@@ -93,12 +105,13 @@ def _attributes(raw: str) -> dict[str, str]:
     return found
 
 
-def _hidden(raw: str) -> bool:
+def _shown(raw: str) -> tuple[bool, str]:
+    """Whether an element is taken out with all below it, and its own visibility."""
     if not raw or not _MAY_HIDE.search(raw):
-        return False
+        return False, ""
     attributes = _attributes(raw)
-    style = attributes.get("style", "").lower().replace(" ", "")
-    return "hidden" in attributes or "display:none" in style or "visibility:hidden" in style
+    style = _SPACES.sub("", attributes.get("style", "").lower())
+    return "hidden" in attributes or "display:none" in style, (_VISIBILITY.findall(style) or [""])[-1]
 
 
 def _cells(rows: list[list[list[str]]]) -> list[str]:
@@ -121,7 +134,7 @@ class Page:
     """Tree builder and renderer in one pass: a stack of open elements and of text flows."""
 
     def __init__(self):
-        self.open: list[tuple[str, bool]] = []  # tag, unseen here or above
+        self.open: list[tuple[str, bool, bool, str]] = []  # tag, unseen here or above, invisible, drawing or formula around what follows
         self.sinks, self.tables, self.lists, self.pre = [Sink()], [], [], 0
         self.heads = self.templates = 0  # open ones
 
@@ -129,14 +142,18 @@ class Page:
         if self.heads and not self.templates:
             self._pop_to(("head",))
 
-    def text(self, s: str) -> None:
+    @property
+    def foreign(self) -> str:
+        return self.open[-1][3] if self.open else ""
+
+    def text(self, s: str, plain: bool = False) -> None:
         if self.heads and s.strip(" \t\n\f\r"):
             self._end_head()
-        if s and not (self.open and self.open[-1][1]):
-            self.sinks[-1].text(unescape(s) if "&" in s else s, self.pre > 0)
+        if s and not (self.open and (self.open[-1][1] or self.open[-1][2])):
+            self.sinks[-1].text(unescape(s) if "&" in s and not plain else s, self.pre > 0)
 
     def _within(self, tags, stops) -> bool:
-        for tag, _ in reversed(self.open):
+        for tag, _, _, _ in reversed(self.open):
             if tag in tags:
                 return True
             if tag in stops:
@@ -155,6 +172,11 @@ class Page:
             self._end_head()
         if self.heads and tag == "head":
             return
+        if tag in BREAK_OUT:
+            while self.foreign:
+                self._leave()
+        if tag == "optgroup" and self._within(("option",), ("select",)):
+            self._pop_to(("option",))
         if tag in BLOCK and self._within(("p",), ("table", "td", "th", "caption", "button")):
             self._pop_to(("p",))
         if tag in ENDS:
@@ -168,7 +190,7 @@ class Page:
         if tag in ("td", "th") and self.tables and not self._within(("tr",), _CELL):
             self._enter("tr", "")
         self._enter(tag, raw)
-        if tag in VOID or raw.endswith("/") and tag in ("svg", "math"):
+        if tag in VOID or raw.endswith("/") and (tag in FOREIGN or len(self.open) > 1 and self.open[-2][3]):
             self._leave()
 
     def finish(self, tag: str) -> None:
@@ -183,15 +205,20 @@ class Page:
             self._pop_to((tag,))
 
     def _enter(self, tag: str, raw: str) -> None:
-        unseen = bool(self.open and self.open[-1][1]) or tag in UNSEEN or _hidden(raw)
-        self.open.append((tag, unseen))
+        _, above, invisible, around = self.open[-1] if self.open else ("", False, False, "")
+        gone, visibility = _shown(raw)
+        unseen = above or tag in UNSEEN or gone or bool(around) and tag in NOTES
+        invisible = visibility == "hidden" if visibility else invisible
+        self.open.append((tag, unseen, invisible, tag if tag in FOREIGN else "" if tag in HTML_AGAIN else around))
         self.heads += tag == "head"
         self.templates += tag == "template"
         if unseen:
             return
         sink = self.sinks[-1]
         if tag == "br":
-            sink.end(0, not sink.line)
+            sink.end(0, not sink.line and not invisible)
+        elif tag == "text" and around == "svg":
+            sink.end()
         elif tag in ("td", "th") and self.tables:
             self.sinks.append(Sink())
             return
@@ -216,7 +243,7 @@ class Page:
             self.tables[-1][0].append([])
 
     def _leave(self) -> None:
-        tag, unseen = self.open.pop()
+        tag, unseen, _, _ = self.open.pop()
         self.heads -= tag == "head"
         self.templates -= tag == "template"
         if unseen:
@@ -228,6 +255,10 @@ class Page:
             self.tables[-1][0][-1].append(lines)
             return
         sink = self.sinks[-1]
+        if (around := self.foreign) and (tag == "text" and around == "svg" or tag == "mtr"):
+            sink.end()
+        elif around == "math" and self.open[-1][0] in AROUND and not self.open[-1][2]:
+            sink.text(" ", False)
         if tag in BLOCK:
             sink.end(1 if tag in APART and not (tag in ("ul", "ol") and len(self.lists) > 1) else 0)
         if tag in ("ul", "ol", "menu", "dir"):
@@ -266,9 +297,14 @@ def render(html: str | None) -> str:
         at = m.end()
         if m[1]:
             page.finish(m[1].lower())
+        elif page.foreign and html.startswith("<![CDATA[", m.start()):
+            close = html.find("]]>", m.start() + 9)
+            page.text(html[m.start() + 9:close if close >= 0 else n], True)
+            at = close + 3 if close >= 0 else n
         elif tag := (m[2] or m[4] or "").lower():
+            foreign = page.foreign
             page.start(tag, m[3] or m[5] or "")
-            if tag in RAW:
+            if tag in RAW and not (foreign and (m[3] or m[5] or "").endswith("/")):
                 close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
                 if tag in ("textarea", "xmp"):
                     page.text(html[at:close.start() if close else n])

@@ -95,6 +95,21 @@ def test_head_without_an_end_tag(page, want):
     assert html_text.render(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation encoding=tex>no</annotation></math>.", "Let x=1 2 ."),
+    ("<svg><title>no</title><desc>no</desc><style>no</style><path d='M0' style='display:none'/><text>North</text><text>So<tspan>uth</tspan></text><title/></svg>end", "North\nSouth\nend"),
+    ("<svg><text><![CDATA[a < b & c]]></text><metadata>no</metadata><foreignObject><p>In</p></foreignObject></svg>", "a < b & c\n\nIn"),
+    ("<svg style='display:none'><symbol><text>no</text><p>out", "out"),
+    ("<label>City <select><option>Bonn<option selected>Kiel</select></label> go", "City\nBonn\nKiel\ngo"),
+    ("<select><optgroup hidden><option>no<optgroup><option>yes</select>", "yes"),
+    ("<object data=a.swf><param name=x><p>Fallback</p></object><noscript>No <b>scripts</b></noscript><canvas>no</canvas>", "Fallback\n\nNo scripts"),
+    ("<div style='visibility: hidden'>no<b style='visibility:visible'>yes<i style='visibility:hidden'>no</i></b></div>", "yes"),
+    ("<div style='display:none'>no<b style='visibility:visible'>no</b></div><desc>yes</desc>", "yes"),
+    ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>", "  yes")])
+def test_all_that_readers_see(page, want):
+    assert html_text.render(page) == want
+
+
 def test_language_evidence(spark):
     known = spark.createDataFrame([("de", "der die das und nicht"), ("en", "the and of with that")] * 30 + [(None, "x"), ("en", None)], "lang string, text string")
     names, table = language.train(known)
