@@ -35,13 +35,12 @@ def _(d):
 
 @query("m03_risk_model_metrics")
 def _(d):
-    """Twenty trees keep this run short; the default of the model is four hundred."""
-    return scoring.train_risk(frame(d), "parcel_id", trees=20)[1]
+    return scoring.train_risk(frame(d), "parcel_id")[1]
 
 
 @query("m04_risk_model_scores")
 def _(d):
-    scored, _metrics = scoring.train_risk(frame(d), "parcel_id", trees=20)
+    scored, _metrics = scoring.train_risk(frame(d), "parcel_id")
     return scored.select("parcel_id", "rule_risk_score", "xgb_risk_score")
 
 
