@@ -220,7 +220,8 @@ def _fallback_sql(col: str, name: str, lo: float, hi: float) -> str:
     f"{_fallback_sql(c, n, *vocab.FALLBACK_RANGES[n])} AS {n}" for c, n in (
         ("sand", "soil_sand_pct"), ("clay", "soil_clay_pct"), ("aqi", "aqi_mean"), ("imperv", "impervious_mean"))) + " FROM {props} WHERE feature_id IS NOT NULL")
 def _(d):
-    return scoring.attach_features(d.features.filter(F.col("feature_id").isNotNull()))
+    """All features; the SQL still leaves out those without an id."""
+    return scoring.attach_features(d.features)
 
 
 @query("p12_rule_risk", f"SELECT pos, round(least(greatest(({RULE_TOTAL}) * 100, 0e0), 100e0), 6) AS rule_risk_score FROM {{props}}")
