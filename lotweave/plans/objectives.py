@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from lotweave.functions import vocab
 from lotweave.functions.coerce import Fields, number
 from lotweave.functions.geometry import geodesic_area
 from lotweave.functions.landuse import use_label
+from lotweave.plans import genes
 
 GREEN_TARGET = 0.30
 
@@ -36,12 +38,14 @@ class Context:
 class Objective:
     """A named objective: either an aggregate over gene rows or a function of the rows and context.
 
-    ``table`` returns the plan keys and a ``value`` column.
+    ``table`` returns the plan keys and a ``value`` column. ``arrays``, if there, gives the same
+    objective over gene arrays for the use labels; searches take it where they can.
     """
 
     name: str
     aggregate: Callable[[Context], Column] | None = None
     table: Callable[[DataFrame, Context], DataFrame] | None = None
+    arrays: Callable[[Sequence[str]], genes.ArrayForm] | None = None
 
 
 def _area() -> Column:
@@ -85,11 +89,17 @@ def suitability_loss(ctx: Context) -> Column:
     return _ratio(weighted, F.sum(_area()), F.coalesce(F.avg(F.when(known, loss)), F.lit(0.0)))
 
 
-def balance(target: Mapping[str, float]) -> Callable[[Context], Column]:
+def mix_weights(target: Mapping[str, float]) -> dict[str, float]:
+    """Weights by use that are not negative; at least one must be above zero."""
     weights = {str(k).strip().lower(): float(v) for k, v in target.items() if float(v) >= 0}
-    total = sum(weights.values())
-    if total <= 0:
+    if sum(weights.values()) <= 0:
         raise ValueError("target_mix must contain at least one positive value")
+    return weights
+
+
+def balance(target: Mapping[str, float]) -> Callable[[Context], Column]:
+    weights = mix_weights(target)
+    total = sum(weights.values())
 
     def build(ctx: Context) -> Column:
         gap = F.lit(0.0)
@@ -134,16 +144,17 @@ def default_objectives(green_target: float = GREEN_TARGET, target_mix: Mapping[s
                        compatibility_weight: float | None = None) -> tuple[Objective, ...]:
     """Zoning, suitability, green area, risk, fragmentation; balance with a target; compatibility when weighted."""
     chosen = [
-        Objective("zoning_violation_penalty", aggregate=zoning_violations),
-        Objective("mean_suitability_loss", aggregate=suitability_loss),
-        Objective("green_area_deviation", aggregate=green_deviation(green_target)),
-        Objective("environmental_risk_exposure", aggregate=risk_exposure),
-        Objective("fragmentation_penalty", table=fragmentation),
+        Objective("zoning_violation_penalty", aggregate=zoning_violations, arrays=genes.zoning_form),
+        Objective("mean_suitability_loss", aggregate=suitability_loss, arrays=genes.suitability_form),
+        Objective("green_area_deviation", aggregate=green_deviation(green_target), arrays=partial(genes.green_form, green_target)),
+        Objective("environmental_risk_exposure", aggregate=risk_exposure, arrays=genes.risk_form),
+        Objective("fragmentation_penalty", table=fragmentation, arrays=genes.fragmentation_form),
     ]
     if target_mix:
-        chosen.append(Objective("land_use_balance_penalty", aggregate=balance(target_mix)))
+        chosen.append(Objective("land_use_balance_penalty", aggregate=balance(target_mix), arrays=partial(genes.balance_form, mix_weights(target_mix))))
     if compatibility_weight is not None:
-        chosen.append(Objective("spatial_compatibility_penalty", table=compatibility(compatibility_weight)))
+        chosen.append(Objective("spatial_compatibility_penalty", table=compatibility(compatibility_weight),
+                                arrays=partial(genes.compatibility_form, compatibility_weight)))
     return tuple(chosen)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lotweave.functions import geometry as g
 from lotweave.operators import badges, compat
+from lotweave.plans import genes as gene_arrays
 from lotweave.plans import jobs, objectives, pareto, search
 from lotweave.plans.objectives import Context
 
@@ -110,6 +111,39 @@ def test_search_keeps_its_promises(spark):
     assert all(fresh[(r.scenario_id, r.plan)].mean_suitability_loss == pytest.approx(r.mean_suitability_loss) for r in ranks)
 
 
+def test_array_objectives_equal_gene_rows(spark):
+    parcels = search._with_places(scenario(spark))
+    pop = search.random_population(parcels, search.SearchConfig(population_size=7))
+    edges = spark.createDataFrame([(100 * s + i, 100 * s + j) for s in (0, 1) for i in range(12) for j in range(i + 1, 12) if (i * j) % 3 == 1] + [(0, 101)], "a bigint, b bigint")
+    pairs = spark.createDataFrame([(s, f"s{s}p{i}", f"s{s}p{i + k}", 10.0) for s in (0, 1) for i in range(9) for k in (1, 2, 3)], "scenario_id int, left_id string, right_id string, distance_m double")
+    ctx = Context(("scenario_id", "plan"), edges=edges, pairs=pairs, risks=parcels.select("scenario_id", "parcel_id", "risk"))
+    chosen = objectives.default_objectives(target_mix={"green": 1, "residential": 2}, compatibility_weight=0.3)
+    rows = {(r.scenario_id, r.plan): r for r in objectives.evaluate(search.gene_rows(pop), chosen, ctx).collect()}
+    arrays = search.evaluate_population(pop, chosen, ctx).collect()
+    assert len(arrays) == len(rows) == 14
+    for r in arrays:
+        for o in chosen:
+            assert r[o.name] == pytest.approx(rows[(r.scenario_id, r.plan)][o.name]), o.name
+
+
+def test_search_with_edges_and_own_objective(spark, monkeypatch):
+    edges = spark.createDataFrame([(100 * s + i, 100 * s + i + 1) for s in (0, 1) for i in range(11)], "a bigint, b bigint")
+    share = objectives.Objective("industrial", aggregate=lambda ctx: F.avg((F.col("use_code") == 2).cast("double")))
+    chosen = [*objectives.default_objectives(), share]
+    config = search.SearchConfig(population_size=6, generations=5)
+    runs = []
+    for replayed, seats in ((10, 50_000), (2, 50_000), (10, 6)):  # neither the writing of carriers nor waves change the result
+        monkeypatch.setattr(gene_arrays, "REPLAYED", replayed)
+        monkeypatch.setattr(search, "SEATS", seats)
+        population, ranked = search.evolve(scenario(spark), config, chosen, Context(edges=edges))
+        runs.append(sorted(map(tuple, ranked.collect())))
+        ctx = Context(("scenario_id", "plan"), edges=edges)
+        fresh = {(r.scenario_id, r.plan): r for r in objectives.evaluate(search.gene_rows(population), chosen, ctx).collect()}
+        for r in ranked.collect():
+            assert all(fresh[(r.scenario_id, r.plan)][o.name] == pytest.approx(r[o.name]) for o in chosen)
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_best_never_gets_worse(spark):
     small = search.SearchConfig(population_size=10, generations=1)
     longer = search.SearchConfig(population_size=10, generations=4)
@@ -118,16 +152,20 @@ def test_best_never_gets_worse(spark):
 
 
 def test_crossover_mutation_and_tournaments(spark):
-    pop = search.random_population(search._with_places(scenario(spark)), search.SearchConfig(population_size=4))
-    mates = spark.createDataFrame([(0, [(0, 0, 1, 5, True), (1, 1, 0, 5, True)]), (1, [(0, 2, 3, 5, False)])],
-                                  "scenario_id int, mates array<struct<child:int,a:int,b:int,split:int,mixed:boolean>>")
-    out = search.offspring(pop, mates, search.SearchConfig(population_size=4, mutation_rate=0.0), 1).collect()
-    for r in out:
-        if r.scenario_id == 0:
-            want = [r.genes[0], r.genes[1]] if r.place < 5 else [r.genes[1], r.genes[0]]
-            assert r.children == want
-        else:
-            assert r.children == [r.genes[2]]
+    options = np.array([[0, 3, -1], [1, 2, -1], [3, -1, -1], [0, 1, 2]] * 5)
+    start = np.stack([options[np.arange(20), k % (options >= 0).sum(axis=1)] for k in range(4)], axis=1)
+    place = np.arange(20)
+    mates = gene_arrays.Mates(np.array([0, 1, 2]), np.array([1, 0, 3]), np.array([5, 5, 9]), np.array([True, True, False]))
+    out = gene_arrays.children(start, place, place, options, mates, 1, 1, -1.0)
+    late = place >= 5
+    assert (out[:, 0] == np.where(late, start[:, 1], start[:, 0])).all() and (out[:, 1] == np.where(late, start[:, 0], start[:, 1])).all()
+    assert (out[:, 2] == start[:, 2]).all()
+    every = gene_arrays.children(start, place, place, options, mates, 1, 1, 1.0)  # each gene with a choice changes, to an allowed code
+    assert ((every != out) == ((options >= 0).sum(axis=1) > 1)[:, None]).all()
+    assert (options[:, :, None] == every[:, None, :]).any(axis=1).all()
+    assert (every[7:9] == gene_arrays.children(start[7:9], place[7:9], place[7:9], options[7:9], mates, 1, 1, 1.0)).all()  # rows do not depend on each other
+    wrong = gene_arrays.children(np.full((20, 4), 9), place, place, options, mates, 1, 1, -1.0)
+    assert (options[:, :, None] == wrong[:, None, :]).any(axis=1).all()
     ranked = spark.createDataFrame([(0, i, i % 3, float(i)) for i in range(9)], "scenario_id int, plan int, rank int, crowding double")
     wins = search.tournaments(ranked, search.SearchConfig(population_size=9, tournament_size=9), 1).collect()
     assert len(wins) == 10 and all(w.winner % 3 == min(w.winner % 3, 2) for w in wins)
