@@ -212,15 +212,14 @@ def _(d):
 
 
 def _fallback_sql(col: str, name: str, lo: float, hi: float) -> str:
-    h = f"('0x' || substr(sha256(concat(coalesce(feature_id, ''), ':{name}')), 1, 8))::BIGINT"
+    h = f"('0x' || substr(sha256(concat(coalesce(feature_id, 'None'), ':{name}')), 1, 8))::BIGINT"
     return f"round(coalesce({col}, {lo}e0 + {hi - lo}e0 * ({h} / 4294967295e0)), 6)"
 
 
 @query("p11_attach_features", "SELECT feature_id AS parcel_id, cast(NULL AS double) AS lon, cast(NULL AS double) AS lat, " + ", ".join(
     f"{_fallback_sql(c, n, *vocab.FALLBACK_RANGES[n])} AS {n}" for c, n in (
-        ("sand", "soil_sand_pct"), ("clay", "soil_clay_pct"), ("aqi", "aqi_mean"), ("imperv", "impervious_mean"))) + " FROM {props} WHERE feature_id IS NOT NULL")
+        ("sand", "soil_sand_pct"), ("clay", "soil_clay_pct"), ("aqi", "aqi_mean"), ("imperv", "impervious_mean"))) + " FROM {props}")
 def _(d):
-    """All features; the SQL still leaves out those without an id."""
     return scoring.attach_features(d.features)
 
 

@@ -7,6 +7,7 @@ import pytest
 
 from lotweave.operators import scoring
 from lotweave.queries import QUERIES
+from tools.check_oracles import check, connect
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -27,5 +28,7 @@ def test_features_without_id_and_with_centroid(spark):
 def test_query_returns_every_feature(spark):
     if not os.path.isdir(FOLDER):
         pytest.skip("driver tables not present")
+    status, note, _ = check(spark, connect(FOLDER), FOLDER, "p11_attach_features")
+    assert status == "ok", note
     rows = QUERIES["p11_attach_features"](spark, FOLDER)
     assert rows.count() == spark.read.parquet(f"{FOLDER}/customer.parquet").count() and rows.filter("parcel_id IS NULL").count() > 0
