@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lotweave.functions import geometry as g
 from lotweave.functions import vocab
 from lotweave.operators.cells import box_pairs, radius_pairs, self_box_pairs
+from lotweave.session import cut_lineage
 
 HAZARD_LAYERS = ("has_flood", "has_fault", "has_liquefaction", "is_fire_zone", "is_steep", "in_esa", "in_mscp")
 
@@ -24,10 +25,16 @@ def _exact_intersects(l: Column, r: Column) -> Column:
     return (l["boxy"] & r["boxy"]) | g.intersects(l["geom"], r["geom"])
 
 
+def all_boxes(*layers: DataFrame) -> bool:
+    """Whether every shape equals its box, so that comparing boxes is exact."""
+    return all(layer.filter("NOT boxy").isEmpty() for layer in layers)
+
+
 def intersecting(left: DataFrame, right: DataFrame) -> DataFrame:
     """(l, r) row pairs whose geometries intersect."""
-    pairs = box_pairs(with_box(left), with_box(right))
-    return pairs.filter(_exact_intersects(F.col("l"), F.col("r")))
+    left, right = cut_lineage(with_box(left)), cut_lineage(with_box(right))
+    pairs = box_pairs(left, right, written=True)
+    return pairs if all_boxes(left, right) else pairs.filter(_exact_intersects(F.col("l"), F.col("r")))
 
 
 def extent(df: DataFrame) -> DataFrame:
@@ -88,16 +95,17 @@ def adjacency(parcels: DataFrame, predicate: str = "touches", order: str = "pos"
     """Edges (a, b) with a < b; rows without geometry have none."""
     if predicate not in ("touches", "intersects"):
         raise ValueError("predicate must be touches or intersects")
-    pairs = self_box_pairs(with_box(parcels.select(order, "geom")), order)
+    flat = cut_lineage(with_box(parcels.select(order, "geom")))
+    pairs, plain = self_box_pairs(flat, order, written=True), all_boxes(flat)
     l, r = F.col("l"), F.col("r")
     if predicate == "intersects":
-        test = _exact_intersects(l, r)
+        test = F.lit(True) if plain else _exact_intersects(l, r)
     else:
         both = l["boxy"] & r["boxy"]
         a, b = l["box"], r["box"]
         edge_only = ((a["xmin"] == b["xmax"]) | (a["xmax"] == b["xmin"])
                      | (a["ymin"] == b["ymax"]) | (a["ymax"] == b["ymin"]))
-        test = F.when(both, edge_only).otherwise(g.touches(l["geom"], r["geom"]))
+        test = edge_only if plain else F.when(both, edge_only).otherwise(g.touches(l["geom"], r["geom"]))
     return pairs.filter(test).select(l[order].alias("a"), r[order].alias("b"))
 
 

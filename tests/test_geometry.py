@@ -79,7 +79,9 @@ def hits(a, b):
     return ax <= bx1 and bx <= ax1 and ay <= by1 and by <= ay1
 
 
-def test_box_pairs_match_brute_force(spark):
+@pytest.mark.parametrize("leaf", [2048, 5])
+def test_box_pairs_match_brute_force(spark, monkeypatch, leaf):
+    monkeypatch.setattr(cells, "LEAF", leaf)  # with 5, most cells are crowded
     a, b = boxes(spark, 150, 1), boxes(spark, 120, 2, big=0.3)
     left, right = spatial.with_box(frame(spark, a)), spatial.with_box(frame(spark, b))
     got = cells.box_pairs(left, right).select("l.pos", F.col("r.pos").alias("q")).collect()
@@ -87,20 +89,52 @@ def test_box_pairs_match_brute_force(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
-def test_self_pairs_match_brute_force(spark):
+@pytest.mark.parametrize("leaf", [2048, 5])
+def test_self_pairs_match_brute_force(spark, monkeypatch, leaf):
+    monkeypatch.setattr(cells, "LEAF", leaf)  # with 5, most cells are crowded
     a = boxes(spark, 200, 3)
     got = cells.self_box_pairs(spatial.with_box(frame(spark, a)), "pos").select("l.pos", F.col("r.pos").alias("q")).collect()
     want = {(i, j) for i in range(200) for j in range(i + 1, 200) if hits(a[i], a[j])}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_stacked_boxes(spark, monkeypatch):
+    """Many shapes on one spot, which no quadtree can part."""
+    monkeypatch.setattr(cells, "LEAF", 4)
+    a = [[[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]]]] * 30 + boxes(spark, 20, 6)
+    flat = spatial.with_box(frame(spark, a))
+    got = cells.self_box_pairs(flat, "pos").select("l.pos", F.col("r.pos").alias("q")).collect()
+    want = {(i, j) for i in range(50) for j in range(i + 1, 50) if hits(a[i], a[j])}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_one_crowded_cell_is_spread(spark):
+    """400,000 points of one cell against a few centres: more than 100 tasks, a bounded part each."""
+    n = 400_000
+    pts = spark.range(n).select(F.col("id").alias("pos"), (F.lit(0.0001) + (F.col("id") % 1000) * 2e-6).alias("lon"), (F.lit(0.0001) + F.floor(F.col("id") / 1000) * 5e-6).alias("lat"))
+    centres = spark.createDataFrame([(k, 0.0003 * k, 0.0002 * k) for k in range(1, 6)], "pos bigint, lon double, lat double")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for c, v in zip(before, ("400", "false", "-1"), strict=True):
+        spark.conf.set(c, v)
+    try:
+        found = cells.radius_pairs(pts, centres, 600.0).withColumn("task", F.spark_partition_id())
+        per = found.groupBy("task").agg(F.count_distinct("l.pos").alias("n")).collect()
+        assert found.count() == 5 * n
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert len(per) > 100 and max(r.n for r in per) <= 8 * cells.LEAF
+
+
 def haversine(a, b):
     p1, p2 = math.radians(a[1]), math.radians(b[1])
     h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
     return 6_371_000 * 2 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
 
 
-def test_radius_pairs_wrap_and_high_latitudes(spark):
+@pytest.mark.parametrize("leaf", [2048, 5])
+def test_radius_pairs_wrap_and_high_latitudes(spark, monkeypatch, leaf):
+    monkeypatch.setattr(cells, "LEAF", leaf)  # with 5, most cells are crowded
     rnd = random.Random(5)
     pts = [(rnd.choice([179.99, -179.99, 0.0, 10.0]) + rnd.uniform(-0.008, 0.008), rnd.choice([0.0, 60.0, 89.9, -89.95]) + rnd.uniform(-0.04, 0.04)) for _ in range(160)]
     pts = [((x + 180) % 360 - 180, max(min(y, 90.0), -90.0)) for x, y in pts]
