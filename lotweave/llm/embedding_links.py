@@ -2,9 +2,11 @@
 
 Only vectors of one label and one length are compared. Equal vectors are one entry with a count. Then
 
-1. Balls. The entries of one own key (first table) share a leader, the one with the smallest number;
-   those within half the link's angle of it are its ball. Any two of a ball are linked, by the
-   triangle inequality of angles, so a group of near copies of any size is settled by one aggregation.
+1. Balls. The entries that share an own key look at one leader; those within half the link's angle
+   of it are its ball. Any two of a ball are linked, by the triangle inequality of angles, so a group
+   of near copies of any size is settled by aggregations. The first round has fine keys and leaders
+   with the smallest number; the next ones have coarse keys and the leader whose ball is largest
+   there, so the balls of one tight group flow together.
 2. Buckets. Every entry files its probe keys. Buckets whose entries are all of one ball are dropped.
    In the others entries of different balls are compared in tiles of bounded size: a ball that fills
    more than a tile has blocks of its own, which are not compared with each other.
@@ -39,6 +41,8 @@ from lotweave.llm.cross_polytope import Hasher
 FUNCTIONS, TABLES, PROBES = 3, 3, 8
 #: Entries of one block of a bucket; a task compares two blocks at a time.
 TILE = 2048
+#: (hash functions, table) of the own keys of each round of balls.
+ROUNDS = ((FUNCTIONS, 0), (1, 0), (1, 1), (1, 2))
 #: Keeps the ball's bound safe from rounding.
 MARGIN = 1e-9
 
@@ -80,28 +84,31 @@ def entries(vectors: DataFrame) -> DataFrame:
                           F.when(usable, two).alias("h2"), F.when(usable, F.col("embedding")).alias("embedding"))
 
 
-def _own_keys(shape):
+PLACED = "node bigint, id bigint, lab bigint, copies bigint, embedding {}, ball bigint"
+
+
+def _own_keys(functions: int, table: int):
+    """Placed entries with their own key of a table."""
     def run(batches):
-        keys = _Keys((shape[0], 1, 1))
+        keys = _Keys((functions, table + 1, 1))
         for batch in batches:
             home = np.zeros(batch.num_rows, np.int64)
-            label = batch.column(1).to_numpy()
-            for rows, unit in _units(batch.column(2)):
-                home[rows] = keys(unit, label[rows])[:, 0, 0]
+            label = batch.column(2).to_numpy()
+            for rows, unit in _units(batch.column(4)):
+                home[rows] = keys(unit, label[rows])[:, table, 0]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home)], names=[*batch.schema.names, "home"])
 
     return run
 
 
 def _in_ball(cosine: float):
-    """Entries with their leader's vector: the leader's number if the angle is at most half the link's."""
+    """Entries with a leader's vector: in its ball if the angle is at most half the link's, else where they were."""
     least = math.cos(math.acos(cosine) / 2) + MARGIN
 
     def run(batches):
         for batch in batches:
-            node, leader = batch.column(0).to_numpy(), batch.column(5).to_numpy()
-            ball = node.copy()
-            own, other = batch.column(4), batch.column(6)
+            leader, ball = batch.column(6).to_numpy(), batch.column(5).to_numpy().copy()
+            own, other = batch.column(4), batch.column(7)
             same = np.diff(own.offsets.to_numpy()) == np.diff(other.offsets.to_numpy())
             for rows, unit in _units(own):
                 rows_same = same[rows]
@@ -116,16 +123,18 @@ def _in_ball(cosine: float):
     return run
 
 
-def balls(distinct: DataFrame, cosine: float, shape: tuple[int, int, int], total: int) -> DataFrame:
-    """node, id, lab, copies, embedding, ball (the leader's node) for every distinct vector."""
-    homes = written(distinct.select("node", "lab", "embedding").mapInArrow(_own_keys(shape), "node bigint, lab bigint, embedding " + _kind(distinct) + ", home bigint"), "homes")
-    leaders = homes.groupBy("lab", "home").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size"))
-    vectors = homes.select(F.col("node").alias("leader"), F.col("embedding").alias("lead"))
-    leaders = leaders.join(vectors, "leader")
-    rows = homes.select("node", "lab", "home").join(distinct.select("node", "id", "copies", "embedding"), "node")
-    met = lookup(rows, leaders, ["lab", "home"], ["leader", "lead"], "size", total)
-    out = f"node bigint, id bigint, lab bigint, copies bigint, embedding {_kind(distinct)}, ball bigint"
-    return met.select("node", "id", "lab", "copies", "embedding", "leader", "lead").mapInArrow(_in_ball(cosine), out)
+def balls(distinct: DataFrame, cosine: float, total: int) -> DataFrame:
+    """node, id, lab, copies, embedding, ball (its leader's node) for every distinct vector."""
+    form = PLACED.format(_kind(distinct))
+    placed = distinct.select("node", "id", "lab", "copies", "embedding", F.col("node").alias("ball"))
+    for functions, table in ROUNDS:
+        homes = written(placed.mapInArrow(_own_keys(functions, table), form + ", home bigint"), "homes")
+        held = homes.groupBy("lab", "home", "ball").agg(F.count(F.lit(1)).alias("held"))
+        leaders = held.groupBy("lab", "home").agg(F.max_by("ball", F.struct("held", -F.col("ball"))).alias("leader"), F.sum("held").alias("size"))
+        leaders = leaders.join(homes.select(F.col("node").alias("leader"), F.col("embedding").alias("lead")), "leader")
+        met = lookup(homes, leaders, ["lab", "home"], ["leader", "lead"], "size", total)
+        placed = met.select("node", "id", "lab", "copies", "embedding", "ball", "leader", "lead").mapInArrow(_in_ball(cosine), form)
+    return placed
 
 
 def _kind(df: DataFrame) -> str:
@@ -301,7 +310,7 @@ def near_classes(vectors: DataFrame, cosine: float = 0.93, functions: int = FUNC
     groups = rows.filter("h1 is not null").groupBy("lab", "h1", "h2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
     distinct = written(groups.withColumn("node", F.monotonically_increasing_id()), "vectors")
     total = distinct.count()
-    placed = written(balls(distinct, cosine, shape, total), "balls")
+    placed = written(balls(distinct, cosine, total), "balls")
     cut = tiles(placed, shape, total, tile).join(placed.select("node", "ball", "copies", "embedding"), "node")
     cut = cut.select("key", "lab", "i", "j", "block", "node", "ball", "copies", "embedding").repartition("key", "lab", "i", "j").sortWithinPartitions("key", "lab", "i", "j")
     found = written(cut.mapInArrow(_verified(cosine, shape), "node bigint, links bigint, a bigint, b bigint"), "links")

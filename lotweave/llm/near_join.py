@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotweave.llm.common import HOT_SHARE, NOT_SPACE, hash_words, list_column, lookup, mix, run_hashes, signed, text_column, text_slices, written
+from lotweave.llm.common import HOT_SHARE, NOT_SPACE, hash_words, list_column, lookup, mix, remove, run_hashes, signed, text_column, text_slices, written
 from lotweave.llm.components import components
 
 #: Bits of the folded sketch that candidates pass first; it tells apart sets of up to about twice as many tokens.
@@ -271,17 +271,25 @@ def _tiles(percent: int):
     return run
 
 
-def across_pairs(members: DataFrame, percent: int) -> DataFrame:
+def across_pairs(members: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b) of different components in a bucket that may be similar. A bucket is cut into
-    blocks of ``TILE`` members and every pair of blocks is a tile, so no task holds a bucket."""
+    blocks of ``TILE`` members and every pair of blocks is a tile, so no task holds a bucket. Sketches
+    join once the tiles are cut and travel in the tiles' shuffle alone."""
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("blocks"))
     cut = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "of", "n", "sketch")
+    tiled = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "of")
+    tiled = tiled.join(known.withColumnRenamed("doc_id", "id"), "id").select("key", "i", "j", "block", "id", "of", "n", "sketch")
     tiled = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return tiled.mapInArrow(_tiles(percent), "a bigint, b bigint").distinct()
 
 
+def once(members: DataFrame) -> DataFrame:
+    """Of buckets with the same members, one: the others hold no other pair."""
+    marks = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"x{k}") for k in (1, 2)])
+    return members.join(marks.groupBy("n", "x1", "x2").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 # ---------------------------------------------------------------- verification
 
 #: Ids whose set may be broadcast to pick texts; with more, texts and ids meet in a shuffled join.
@@ -328,8 +336,7 @@ def linked(docs: DataFrame, stars: DataFrame, known: DataFrame, ties: DataFrame,
         placed = _open(members, class_of)
         if first_key_only:
             placed = placed.join(placed.groupBy("id").agg(F.min("key").alias("key")), ["key", "id"], "left_semi")
-        placed = placed.join(known.withColumnRenamed("doc_id", "id"), "id")
-        class_of = _merged(class_of, verified(across_pairs(placed, percent), docs, words, percent))
+        class_of = _merged(class_of, verified(across_pairs(once(written(placed, "open")), known, percent), docs, words, percent))
     return class_of
 
 
@@ -370,6 +377,7 @@ def near_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     apart = rows.groupBy("doc_id").agg(F.min("first_id").alias("a"), F.max("first_id").alias("z")).filter("a < z")
     ties = rows.join(apart, "doc_id").select("a", F.col("first_id").alias("b"))
     of = linked(docs, stars, known, ties, words, percent).select(F.col("id").alias("first_id"), F.col("component"))
+    remove(stars)  # ``linked`` is written
     labelled = rows.join(of, "first_id", "left").select("doc_id", F.col("n").alias("n_shingles"),
                                                         F.coalesce("component", "first_id").alias("component_id"))
     rest = every.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -379,5 +387,6 @@ def near_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that another document of their class stands for (the smallest doc_id)."""
     classes = near_classes(docs, words, percent)
-    gone = classes.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(classes.filter("component_id < doc_id").select("doc_id").distinct(), "gone")
+    picked = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone  # texts are shuffled only beyond that
+    return docs.join(picked, "doc_id", "left_anti").select(*docs.columns)
