@@ -34,6 +34,8 @@ LENGTH, END_ID, GRID = 2048, 1, 16
 TOGETHER = 256
 #: Pieces that one ranking block holds, about.
 BLOCK_ROWS = 5_000
+#: Words whose ids a task remembers.
+MEMO_WORDS = 500_000
 PIECES = "key bigint, doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint, ids binary"
 
 
@@ -41,10 +43,10 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Full pieces and the remainder of every document; ``key`` is unique, ``ids`` little-endian."""
     def run(batches):
-        tokenizer, serial = WordTokenizer(path), TaskContext.get().partitionId() << 40
+        tokenizer, serial = WordTokenizer(path, memo_words), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = {c: [] for c in ("key", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -124,10 +126,14 @@ def _cut_rest(rest: DataFrame, total: int, first: int, length: int) -> DataFrame
     return rest.select("doc_id", "start", "length", "doc_tokens", "base", "ids").mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, grid: int = GRID, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ``ids`` (little-endian) on request."""
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, grid: int = GRID, with_ids: bool = False,
+         memo_words: int = MEMO_WORDS) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ``ids`` (little-endian) on request.
+
+    A task remembers the ids of at most ``memo_words`` words, about 200 bytes each.
+    """
     spark = docs.sparkSession
-    every = written(pieces(docs, path or default_path(), length, end_id), "pieces")
+    every = written(pieces(docs, path or default_path(), length, end_id, memo_words), "pieces")
     bare = every.drop("ids")
     rest = bare.filter(F.col("length") < length).withColumn("class", F.ceil(F.col("length") / grid).cast("int"))
     histogram = rest.groupBy("class").count().collect()  # one row per class
