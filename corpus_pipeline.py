@@ -14,6 +14,8 @@ from lotweave.llm.registry import table
 
 #: Near duplicates: word shingles of five words, similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
+#: Words that a packing task remembers; Python workers still hold memory of the stages before.
+MEMO_WORDS = 200_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 2048 tokens."""
-    return packing.pack(docs)
+    return packing.pack(docs, memo_words=MEMO_WORDS)
 
 
 STAGES = [
