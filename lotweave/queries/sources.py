@@ -9,6 +9,7 @@ from lotweave.queries.joins import FLAGGED, flagged
 from lotweave.queries.registry import query
 from lotweave.session import shared_folder
 from lotweave.sources import geojson, lookup, sinks
+from lotweave.sources.feature_collections import collection_rows
 
 
 def _folder(spark, name: str) -> str:
@@ -33,6 +34,22 @@ def _(d):
     return out.select(F.col("feature_id").cast("bigint").alias("pos"), F.col("b.xmin").alias("x0"), F.col("b.ymax").alias("y1"), F.lit("props").alias("k"), "srid")
 
 
+@query("s01_feature_collection", "SELECT pos, parcel_id, round(x0, 6) AS x0, round(y1, 6) AS y1, TRUE AS several_tasks FROM {lots}")
+def _(d):
+    """Collections of 500 parcels each, written and read back by ranges of a few kilobytes."""
+    from lotweave.functions.geometry import bounds
+
+    path = _folder(d.spark, "collections") + "/layer"
+    lines = sinks.as_features(d.parcels.select("pos", "parcel_id", "geom"), "pos").withColumn("bucket", F.floor(F.get_json_object("value", "$.id").cast("bigint") / 500))
+    whole = lines.groupBy("bucket").agg(F.concat(F.lit('{"type":"FeatureCollection","name":"a {\\"[","bbox":[[1],[{"features":[{}]}]],"features":['),
+                                                 F.array_join(F.collect_list("value"), ",\n"), F.lit(']}')).alias("value"))
+    whole.write.mode("overwrite").partitionBy("bucket").text(path)
+    rows = geojson.parse_features(collection_rows(d.spark, path, 1 << 14).select("pos", "value"))
+    tasks = collection_rows(d.spark, path, 1 << 14).select(F.spark_partition_id().alias("task")).distinct().agg((F.count("*") > 1).alias("several_tasks"))
+    out = rows.withColumn("b", bounds(F.col("geom"))).crossJoin(F.broadcast(tasks))
+    return out.select(F.col("feature_id").cast("bigint").alias("pos"), F.col("props")["parcel_id"].alias("parcel_id"), F.col("b.xmin").alias("x0"), F.col("b.ymax").alias("y1"), "several_tasks")
+
+
 _RULE = " + ".join(f"{w}e0 * f.{n}" for n, w in vocab.RISK_WEIGHTS.items())
 
 

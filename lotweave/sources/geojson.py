@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lotweave.functions import geometry as g
 from lotweave.functions import vocab
 from lotweave.functions.coerce import Fields, collapse_first, number, parcel_id
+from lotweave.sources.feature_collections import collection_rows
 
 FEATURE_SCHEMA = f"feature_id string, pos bigint, props map<string,string>, geom_type string, geom {g.GEOM_TYPE}, srid int"
 
@@ -19,16 +20,12 @@ class SourceError(ValueError):
 
 
 def read_geojson(spark: SparkSession, path: str, collection: bool = False, srid: int = 4326) -> DataFrame:
-    """Read newline-delimited features, or whole FeatureCollection files with ``collection=True``.
+    """Read newline-delimited features, or FeatureCollection files with ``collection=True``.
 
-    Newline-delimited input splits over tasks and numbers rows in file order per split; a whole
-    collection file is one row until its features are exploded, so use it for small layers.
+    Both split over tasks by bytes; ``pos`` grows in file order and has gaps.
     """
     if collection:
-        files = spark.read.text(path, wholetext=True)
-        items = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
-        return parse_features(files.select(F.posexplode(items).alias("pos", "value")).select(
-            F.col("pos").cast("bigint").alias("pos"), "value"), srid)
+        return parse_features(collection_rows(spark, path), srid)
     lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("pos", F.monotonically_increasing_id())
     return parse_features(lines, srid)
 
