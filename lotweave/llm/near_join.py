@@ -142,6 +142,8 @@ def shingles(docs: DataFrame, words: int) -> DataFrame:
 # ---------------------------------------------------------------- buckets
 
 ROWS = "key bigint, a bigint, b bigint"
+#: Documents whose keys a task sorts at a time; each has some hundreds.
+SPREAD_ROWS = 2_000
 
 
 def _runs(key: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +163,7 @@ def _spread(words: int, percent: int, hot: dict[tuple[int, int, int], int]):
     blocks: dict[int, int] = {}
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, SPREAD_ROWS) for whole in batches for at in range(0, whole.num_rows, SPREAD_ROWS)):
             ids, keys = batch.column(0).to_pylist(), []
             for doc_id, tokens in zip(ids, shingle_sets(text_column(batch, "text"), words), strict=True):
                 n, found = len(tokens), [np.zeros(0, np.uint64)]
