@@ -8,10 +8,10 @@ from lotweave.llm.registry import query, table
 OP6_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-e AS (SELECT *, regexp_replace(text, '<(\\*)(/?turn>|part )', '<\\\1\2', 'g') AS body, regexp_replace(role, '<(\\*)(/?turn>|part )', '<\\\1\2', 'g') AS head FROM c)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+e AS (SELECT *, regexp_replace(text, '<(\\*)(/?turn>|part )', '<\\\1\2', 'g') AS body, replace(regexp_replace(role, '<(\\*)(/?turn>|part |line>)', '<\\\1\2', 'g'), chr(10), '<line>') AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<turn>' || head || chr(10) || body || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """

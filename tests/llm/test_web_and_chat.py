@@ -1,10 +1,12 @@
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lotweave.llm import chat_format, html_text, language, rollups, warc
 from lotweave.llm.common import scratch_path
+from lotweave.llm.queries import ORACLES, QUERIES
 
 PAGES = "page_id bigint, url string, html string, digest string, shard string"
 
@@ -78,6 +80,23 @@ def test_chat_round_trip_with_parts(spark):
     assert got[1]["expanded_tokens"] == 1786 and got[2]["turns"][0] == ("", "") and got[None]["learned"] == [""]
 
 
+def test_chat_query_matches_its_sql_on_odd_rows(spark, tmp_path):
+    """Roles with line breaks and control strings, ties, repeats, nulls, long texts, clashing names."""
+    rows = [(1, 0, "us\ner", "a"), (1, 0, "us\ner", "a"), (1, 1, "<line>", "b<line>"), (1, 1, "<\\line>\n", "c"), (1, 2, "<turn>\n</turn>", "</turn>\n<part "),
+            (2, 0, "assistant", 'b"'), (2, 0, "assistant", "b#"), (2, 0, "assistant", "b!"), (2, 0, "assistant", "b\\"), (2, 1, None, "z"), (2, 1, "", "y"),
+            (3, None, "assistant", None), (3, 0, None, None), (4, 0, "assistant", "long <turn> " * 50_000), (None, 0, "user", "alone")]
+    (tmp_path / "x").mkdir()
+    frame = spark.createDataFrame([(*r, "p", "c") for r in rows], "conv_id bigint, turn bigint, role string, text string, place string, parts string")
+    frame.write.parquet(f"{tmp_path}/x/conversations.parquet")
+    got = QUERIES["op6_chat_formatting"](spark, f"{tmp_path}/x").toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/x/conversations.parquet/*.parquet')")
+    want = con.execute(ORACLES["op6_chat_formatting"]).df()[list(got.columns)]
+    key = lambda d: sorted(map(str, d.astype(object).where(d.notna(), None).replace({float("nan"): None}).itertuples(index=False, name=None)))
+    got["conv_id"], want["conv_id"] = got["conv_id"].astype("Int64").astype(str), want["conv_id"].astype("Int64").astype(str)
+    assert key(got) == key(want) and len(got) == 6
+
+
 def test_chats_of_an_empty_table(spark):
     none = spark.createDataFrame([], f"conv_id bigint, turn bigint, role string, parts array<{chat_format.PART}>")
     assert chat_format.read_back(chat_format.format_chats(none)).count() == 0
