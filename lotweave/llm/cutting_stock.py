@@ -13,24 +13,22 @@ def knapsack(value: np.ndarray, capacity: int) -> list[tuple[float, dict[int, in
     """For each size of positive value, the best filling of ``capacity`` that holds it: its value and counts."""
     sizes = np.flatnonzero(value > 0) + 1
     gain = value[sizes - 1]
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    best, last, root = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
     fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for w in range(1, capacity + 1):
-        best[w] = best[w - 1]
+        best[w], root[w] = best[w - 1], root[w - 1]  # root: the filled weight that a weight without its own piece falls back to
         if fits[w]:
             total = best[w - sizes[:fits[w]]] + gain[:fits[w]]
             k = total.argmax()
             if total[k] > best[w]:
-                best[w], last[w] = total[k], sizes[k]
+                best[w], last[w], root[w] = total[k], sizes[k], w
     found = []
+    last, root = last.tolist(), root.tolist()
     for size, own in zip(sizes.tolist(), gain, strict=True):
-        taken, w = {size: 1}, capacity - size
+        taken, w = {size: 1}, root[capacity - size]
         while w > 0:
-            if size_here := int(last[w]):
-                taken[size_here] = taken.get(size_here, 0) + 1
-                w -= size_here
-            else:
-                w -= 1
+            taken[last[w]] = taken.get(last[w], 0) + 1
+            w = root[w - last[w]]
         found.append((float(own + best[capacity - size]), taken))
     return found
 
@@ -94,9 +92,13 @@ def solve(demand: np.ndarray, capacity: int, gap: float = 1e-3, pivots: int = 4_
     return [(p, float(max(u, 0))) for p, u in zip(patterns, used, strict=True)]
 
 
-def rounded(demand: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
-    """Whole-number uses of the patterns, and the demand they leave (bounded by patterns and capacity alone)."""
-    found = solve(demand, capacity)
+def rounded(demand: np.ndarray, capacity: int, least_fill: float = 0.0) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
+    """Whole-number uses of the patterns, and the demand they leave.
+
+    Without ``least_fill`` the rest is bounded by patterns and capacity alone; with it, the pieces of patterns
+    that fill a smaller share of a sequence are left too.
+    """
+    found = [f for f in solve(demand, capacity) if sum(s * k for s, k in f[0].items()) >= least_fill * capacity]
     left = demand.astype(np.int64).copy()
     uses = []
     for pattern, use in sorted(found, key=lambda f: -f[1]):
@@ -107,7 +109,7 @@ def rounded(demand: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int
     # once more for the largest fractions while the rest still holds the whole pattern, if it fills the sequence
     for entry in sorted(uses, key=lambda u: -u[2]):
         pattern = entry[0]
-        if sum(s * k for s, k in pattern.items()) >= capacity - 1 and all(left[s - 1] >= k for s, k in pattern.items()):
+        if sum(s * k for s, k in pattern.items()) >= 0.99 * capacity and all(left[s - 1] >= k for s, k in pattern.items()):
             entry[1] += 1
             for s, k in pattern.items():
                 left[s - 1] -= k

@@ -1,12 +1,14 @@
 """Packing documents into training sequences by cutting-stock column generation.
 
 A document's ids (with the end id) are cut into full sequences and one remainder. The remainders'
-lengths form a histogram of at most length / GRID classes; a linear program over patterns of classes,
-solved by column generation on the driver, says how often each pattern is used. Its size depends on
-the sequence length only, never on the data. Documents are ranked inside their class (counts per
-block, then numbers inside blocks, so a class may hold any share of the rows) and rank decides the
-sequence. What rounding leaves, fewer pieces than patterns times the pieces of a pattern, is strung
-together and cut to fill sequences without padding; the last one is cut at powers of two.
+lengths form a histogram of classes, named after their greatest length: one token wide up to 64 tokens,
+then wider in proportion, so that rounding a length up to its class costs about one part in a hundred.
+A linear program over patterns of classes, solved by column generation on the driver, says how often
+each pattern is used. Its size depends on the sequence length only, never on the data. Documents are
+ranked inside their class (counts per block, then numbers inside blocks, so a class may hold any share
+of the rows) and rank decides the sequence. What rounding leaves, and what only patterns with over one
+part in fifty of padding would hold (texts of 1,100 tokens alone, say), is strung together in counted
+blocks and cut to fill sequences without padding; the last one is cut at powers of two.
 
 Ids are made once, in Arrow batches, and written to the shared folder; placing pieces reads lengths only.
 
@@ -21,7 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -29,13 +31,19 @@ from lotweave.llm.common import written
 from lotweave.llm.cutting_stock import rounded
 from lotweave.llm.tokens import WordTokenizer, default_path
 
-LENGTH, END_ID, GRID = 2048, 1, 16
+LENGTH, END_ID = 2048, 1
+#: Lengths up to FINE are classes of their own; beyond it each doubling is cut into as many classes as FINE halves to.
+FINE = 64
+#: A pattern that fills less of a sequence is not used; its pieces are strung together instead.
+LEAST_FILL = 0.98
 #: Texts whose words are encoded together.
 TOGETHER = 256
 #: Pieces that one ranking block holds, about.
 BLOCK_ROWS = 5_000
 #: Words whose ids a task remembers.
 MEMO_WORDS = 500_000
+#: Strung pieces (16 bytes each) that are broadcast; more of them meet their ids in a shuffled join.
+MOST_BROADCAST = 200_000
 PIECES = "key bigint, doc_id bigint, start bigint, length int, ids_crc32 bigint, doc_tokens bigint, ids binary"
 
 
@@ -75,9 +83,30 @@ def _ranked(rest: DataFrame, count: int) -> DataFrame:
     return cut.join(base, ["class", "block"]).withColumn("rank", F.col("base") + F.row_number().over(inner) - 1).drop("block", "base")
 
 
+def class_of(length: Column, most: int, fine: int = FINE) -> Column:
+    """The greatest length of a length's class; ``fine`` is a power of two."""
+    found, top, step = F.when(length <= fine, length), fine, 2
+    while top < most:
+        top *= 2
+        found = found.when(length <= top, F.ceil(length / step) * step)
+        step *= 2
+    return F.least(found, F.lit(most)).cast("int")
+
+
+def _strung(rest: DataFrame) -> DataFrame:
+    """``rest`` with ``base``, the tokens before each piece; blocks are counted first, so no window holds all pieces."""
+    blocks = max(1, rest.count() // BLOCK_ROWS)
+    cut = rest.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
+    line = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per BLOCK_ROWS pieces
+    before = cut.groupBy("block").agg(F.sum("length").alias("n")).select("block", F.coalesce(F.sum("n").over(line), F.lit(0)).alias("before"))
+    inner = Window.partitionBy("block").orderBy(F.col("class").desc(), "key").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("before") + F.coalesce(F.sum("length").over(inner), F.lit(0))
+    return cut.join(before, "block").select("key", "length", base.cast("bigint").alias("base"))
+
+
 def _plan(spark, demand: np.ndarray, capacity: int) -> tuple[DataFrame, DataFrame, int]:
     """Places of ranks (class, from_rank, to_rank, per, sequence, slot), the ranks placed per class, and the sequences used."""
-    uses, left = rounded(demand, capacity)
+    uses, _ = rounded(demand, capacity, LEAST_FILL)
     filled, places, sequence = np.zeros(len(demand), np.int64), [], 0
     for pattern, n in uses:
         slot = 0
@@ -126,7 +155,7 @@ def _cut_rest(rest: DataFrame, total: int, first: int, length: int) -> DataFrame
     return rest.select("doc_id", "start", "length", "doc_tokens", "base", "ids").mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, grid: int = GRID, with_ids: bool = False,
+def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False,
          memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; ``ids`` (little-endian) on request.
 
@@ -135,13 +164,12 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     spark = docs.sparkSession
     every = written(pieces(docs, path or default_path(), length, end_id, memo_words), "pieces")
     bare = every.drop("ids")
-    rest = bare.filter(F.col("length") < length).withColumn("class", F.ceil(F.col("length") / grid).cast("int"))
+    rest = bare.filter(F.col("length") < length).withColumn("class", class_of(F.col("length"), length))
     histogram = rest.groupBy("class").count().collect()  # one row per class
-    capacity = length // grid
-    demand = np.zeros(capacity, np.int64)
+    demand = np.zeros(length, np.int64)
     for r in histogram:
         demand[r["class"] - 1] = r["count"]
-    places, limits, sequences = _plan(spark, demand, capacity)
+    places, limits, sequences = _plan(spark, demand, length)
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     whole = bare.filter(F.col("length") == length).select("key", *columns[:5], (2 * F.col("key") + 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
@@ -155,10 +183,10 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id:
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("bigint")).drop("slot")
 
     over = ranked.join(F.broadcast(limits), "class").filter("rank >= placed")
-    line = Window.orderBy(F.col("class").desc(), "rank").rowsBetween(Window.unboundedPreceding, -1)  # bounded: what rounding leaves
-    over = written(over.select("key", "length", F.coalesce(F.sum("length").over(line), F.lit(0)).cast("bigint").alias("base")), "rest")
-    total = over.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    cut = _cut_rest(every.join(F.broadcast(over.select("key", "base")), "key"), total, sequences, length)
+    over = written(_strung(over), "rest")
+    strung, total = over.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    base = over.select("key", "base")
+    cut = _cut_rest(every.join(F.broadcast(base) if strung <= MOST_BROADCAST else base, "key"), total, sequences, length)
     if not with_ids:
         return whole.unionByName(placed).select(*columns).unionByName(cut.select(*columns)).withColumn("length", F.col("length").cast("bigint"))
     ids = every.select("key", "ids")

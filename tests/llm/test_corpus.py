@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lotweave.llm import cutting_stock, packing, string_kernel, toxicity, winnowing
 from lotweave.llm.tokens import WordTokenizer, default_path
@@ -55,6 +56,28 @@ def test_packing_places_every_id_once(spark, make_docs):
     assert all(zlib.crc32(np.frombuffer(r["ids"], "<u2").astype("<u4").tobytes()) == r["ids_crc32"] for r in with_ids)
 
 
+@pytest.mark.parametrize("words", [
+    lambda i: 1 + i * 7 % 19, lambda i: 1099, lambda i: (1 + i * 7 % 12) if i % 3 else 200 + i * 31 % 2500])
+def test_packing_pads_little(spark, make_docs, words):
+    rows = [(i, "tall " * words(i)) for i in range(1500)]
+    found, padding = check_packing(rows, packing.pack(make_docs(rows)).collect())
+    assert found == {i for i, _ in rows} and padding < 0.03
+
+
+def test_strung_pieces_meet_their_ids_in_a_shuffled_join(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 10)
+    rows = [(i, "tall " * 1099) for i in range(100)]
+    found, padding = check_packing(rows, packing.pack(make_docs(rows)).collect())
+    assert found == set(range(100)) and padding < 0.01
+
+
+def test_classes_hold_their_lengths(spark):
+    got = {r[0]: r[1] for r in spark.range(1, 2049).select("id", packing.class_of(F.col("id"), 2048)).collect()}
+    assert all(got[n] == n for n in range(1, 65)) and all(0 <= c - n < n / 32 for n, c in got.items())
+    assert len(set(got.values())) == 224 and got[65] == 66 and got[129] == 132 and got[2047] == 2048
+
+
 def test_packing_odd_rows(spark, odd_docs, make_docs):
     rows = packing.pack(odd_docs).collect()
     assert sum(r["doc_id"] == 4 for r in rows) == 2 and sum(r["doc_id"] is None for r in rows) >= 1
