@@ -168,12 +168,12 @@ def grid_overlay(parcels: DataFrame, cell_size: float = 100.0) -> DataFrame:
     return hit.groupBy("gx", "gy").agg(F.any_value("cell").alias("geom"))
 
 
-def number_cells(cells: DataFrame, block: int = 1024) -> DataFrame:
+def number_cells(cells: DataFrame) -> DataFrame:
     """cell_id 0, 1, 2, ... column by column, without sorting all cells in one task."""
     from lotweave.operators.prefix import running_sum
 
     one = cells.withColumn("_one", F.lit(1)).withColumn("_all", F.lit(0))
-    return running_sum(one, ["_all"], "gx", "_one", "_n", tiebreak=["gy"], block=block).withColumn(
+    return running_sum(one, ["_all"], "gx", "_one", "_n", tiebreak=["gy"]).withColumn(
         "cell_id", F.col("_n") - 1).drop("_one", "_all", "_n")
 
 

@@ -114,7 +114,7 @@ def require_usable(centroids: DataFrame) -> DataFrame:
 def regulation_pages(documents: DataFrame, file: str = "source", order: str = "page_id", text: str = "text") -> DataFrame:
     """(source, page_num, text): pages numbered from 1 inside each document; unreadable text is ''.
 
-    Numbering counts per block of rows first, so a document with most of the pages is not
+    Numbering goes by equal parts of an order index, so a document with most of the pages is not
     sorted in one task.
     """
     from lotweave.operators.prefix import running_number

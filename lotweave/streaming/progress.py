@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotweave.functions import vocab
-from lotweave.operators.prefix import previous_value, running_sum
+from lotweave.operators.prefix import carried, order_index
 
 STEPS = tuple(s for s, _ in vocab.JOB_STEPS)
 
@@ -62,18 +62,15 @@ def retained_jobs(jobs: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     return jobs.filter(F.col("created_at") >= now - F.expr(f"INTERVAL {hours} HOURS"))
 
 
-HOUR = 3_600_000_000  # microseconds
-
-
 def timeline(events: DataFrame) -> DataFrame:
     """Ordered events per job with seconds since the start and since the previous event.
 
-    Jobs are walked in one-hour blocks, so a job with most of the events still spreads over tasks.
+    Events are cut into equal parts of a written order index, so a job with most of them spreads over all tasks.
     """
     rows = events.select("job_id", "event_id", "step", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.lit(1).alias("one"))
     start = rows.groupBy("job_id").agg(F.min("us").alias("start"))
-    placed = running_sum(rows, ["job_id"], "us", "one", "place", tiebreak=["event_id"], block=HOUR)
-    with_last = previous_value(placed, ["job_id"], "us", "us", "before", tiebreak=["event_id"], block=HOUR).join(start, "job_id")
+    walk = ["job_id"], "us", ["event_id"]
+    with_last = carried(order_index(rows, *walk), *walk, [("sum", "one", "place"), ("previous", "us", "before")]).join(start, "job_id")
     since = lambda c: F.round((F.col("us") - F.col(c)) / 1e6, 3)
     return with_last.select("job_id", "event_id", "step", F.col("place").cast("int").alias("place"), since("start").alias("elapsed_seconds"),
                             since("before").alias("step_seconds"))

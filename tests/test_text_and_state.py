@@ -77,11 +77,11 @@ def test_zone_preference_falls_back(spark):
     assert sorted(r.chunk_id for r in corpus.prefer_zone(hits).collect()) == ["a", "c", "d"]
 
 
-@pytest.mark.parametrize("block", [1, 3, 1 << 16])
-def test_running_numbers_over_blocks(spark, block):
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_running_numbers_over_parts(spark, parts):
     rows = [(k, i, i % 5) for k in "ab" for i in range(0, 40, 3)]
     df = spark.createDataFrame(rows, "k string, i int, v int")
-    got = {(r.k, r.i): (r.n, r.s) for r in prefix.running_sum(prefix.running_number(df, ["k"], "i", "n", block), ["k"], "i", "v", "s", block=block).collect()}
+    got = {(r.k, r.i): (r.n, r.s) for r in prefix.running_sum(prefix.running_number(df, ["k"], "i", "n", parts=parts), ["k"], "i", "v", "s", parts=parts).collect()}
     for k in "ab":
         total = 0
         for n, i in enumerate(range(0, 40, 3), 1):
@@ -89,6 +89,27 @@ def test_running_numbers_over_blocks(spark, block):
             assert got[(k, i)] == (n, total)
 
 
+def test_one_key_spreads_over_all_parts_and_carries_across(spark):
+    """Crowded order values, ties, nulls in value, key and order, names that clash with none."""
+    rows = [("hot", i // 3 if i < 2900 else 10 ** 12, i, None if i % 7 == 0 else i % 11, {"a": i}) for i in range(3000)]
+    rows += [(None, 1, 1, 5, {}), (None, 2, 2, 6, {}), ("x", None, 1, 4, {}), ("x", 0, 2, None, {})]
+    df = spark.createDataFrame(rows, "k string, o bigint, t bigint, v bigint, m map<string,bigint>")
+    index = prefix.order_index(df, ["k"], "o", ["t"], parts=12)
+    sizes = {r["_part"]: r["count"] for r in index.filter("k = 'hot'").groupBy("_part").count().collect()}
+    assert len(sizes) >= 10 and max(sizes.values()) <= 600
+    outs = [("sum", "v", "s"), ("max", "v", "top"), ("previous", "v", "last")]
+    got = {(r.k, r.o, r.t): (r.s, r.top, r.last) for r in prefix.carried(index, ["k"], "o", ["t"], outs).collect()}
+    assert len(got) == len(rows)
+    for key in ("hot", None, "x"):
+        total, top, last = 0, None, None
+        for _, o, t, v, _ in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            total += v or 0
+            top = v if top is None else top if v is None else max(top, v)
+            assert got[(key, o, t)] == (total, top, last)
+            last = v
+    assert prefix.running_max(df.limit(0), ["k"], "o", "v", "top").count() == 0
+
+
 def test_merge_keeps_rows_and_skips_repeated_and_null_keys(spark):
     env = spark.createDataFrame([(0, " A1 ", 1.0), (1, "A2", 2.0), (2, None, 3.0)], "pos int, APN string, score double")
     z = spark.createDataFrame([("A1", "RS", 9.0), ("A2", "x", 8.0), ("A2 ", "y", 7.0), (None, "n", 6.0)], "APN string, ZONING_CODE string, score double")
