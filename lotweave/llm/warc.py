@@ -33,6 +33,8 @@ LEAST, SHARD_BYTES, FILE_BYTES, BLOCKS = 100, 32 << 20, 16 << 20, 1 << 14
 #: Revisits whose plan may be broadcast.
 MOST_BROADCAST = 1_000_000
 DATE = "2020-01-01T00:00:00Z"
+#: Hadoop's names of object stores, and those that Arrow knows.
+HADOOP_NAMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss"}
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, shard bigint, records bigint, bytes bigint, sha256 string"
 
@@ -87,13 +89,18 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 # ---------------------------------------------------------------- writing
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme; without one it lies where Spark's own writers would put it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _open(folder: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a folder address (file, hdfs, s3, gs or a plain path)."""
-    if "://" not in folder and not folder.startswith("file:"):
-        return pafs.LocalFileSystem(), folder
-    if folder.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + folder[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(folder)
+    """File system and path of a qualified folder (file, hdfs, s3, gs and their Hadoop names)."""
+    scheme, _, rest = folder.partition(":")
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pafs.FileSystem.from_uri(f"{HADOOP_NAMES.get(scheme, scheme)}:{rest}")
 
 
 class _Roller:
@@ -155,6 +162,7 @@ def _block(key: Column, first: int, width: int) -> Column:
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = LEAST,
           shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write one record per row below ``folder`` and commit the manifest, which is returned."""
+    folder = qualified(pages.sparkSession, folder)
     planned = written(plan_records(pages, key, payload, least), "records")
     blocks, first, width = shards(planned, shard_bytes)
     # rows with one key and digest are equal records, so the pair finds the row's plan
@@ -194,6 +202,8 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
 
 # ---------------------------------------------------------------- reading
 
+#: Tasks of a reading stage, at most; beyond it a task reads several files.
+MOST_TASKS = 50_000
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
 
@@ -203,6 +213,8 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records of all files that the manifest names; every length and digest is checked on the way."""
+    folder = qualified(spark, folder)
+
     def run(batches):
         fs, path = _open(folder)
         for batch in batches:
@@ -227,7 +239,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     yield _rows(rows)
 
     files = manifest(spark, folder).select("file", "sha256")
-    return files.repartition("file").mapInArrow(run, RECORDS)
+    # a number of its own keeps a table of few small rows from being coalesced into one task
+    tasks = min(MOST_TASKS, max(1, files.count()))
+    return files.repartitionByRange(tasks, "file").mapInArrow(run, RECORDS)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
