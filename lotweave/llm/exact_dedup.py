@@ -94,10 +94,11 @@ def dedup(docs: DataFrame, table: str | None = None) -> DataFrame:
     """The documents that stay, with all their columns; the texts are shuffled once."""
     index = DigestIndex(docs.sparkSession, table or f"digests_{uuid.uuid4().hex}")
     index.add(digests(docs))
-    keep = index.rows().select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("points").alias("_points"))
-    marked = docs.select("*", F.unhex(F.sha2(normal_text(F.col("text")).cast("binary"), 256)).alias("_digest"),
-                         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("_points"), F.col("doc_id").alias("_keep"))
-    keys = ["_digest", "_keep", "_points"]
+    keep = index.rows().select("digest", F.col("keep_id").alias("keep"), "points")
+    # the row travels in one struct, so that no column of the documents meets a name used here
+    marked = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(normal_text(F.col("text")).cast("binary"), 256)).alias("digest"),
+                         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("points"), F.col("doc_id").alias("keep"))
+    keys = ["digest", "keep", "points"]
     best = marked.join(keep, same(marked, keep, keys), "left_semi")
     # rows that repeat the kept row's id and text
-    return best.dropDuplicates(keys).select(*docs.columns)
+    return best.dropDuplicates(keys).select("row.*")

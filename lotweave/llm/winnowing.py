@@ -178,5 +178,6 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns."""
     hit = scan(docs, benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_text_key", _text_key(F.col("text")))
-    return keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["_id"]) & (keyed["_text_key"] == hit["_key"]), "left_anti").select(*docs.columns)
+    # the row travels in one struct, so that no column of the documents meets a name used here
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), _text_key(F.col("text")).alias("text_key"))
+    return keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["_id"]) & (keyed["text_key"] == hit["_key"]), "left_anti").select("row.*")

@@ -144,6 +144,13 @@ def test_decontamination_odd_rows(spark, odd_docs, make_docs):
     assert winnowing.scan(make_docs([]), bench).count() == 0
 
 
+def test_decontamination_carries_columns_named_like_its_own(spark):
+    names = ["_text_key", "text_key", "_id", "_key", "row", "n_hit", "spots"]
+    docs = spark.createDataFrame([(1, "two words", *names), (2, "clean text", *names)], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = winnowing.clean(docs, spark.createDataFrame([(1, "two words")], "item_id bigint, text string"))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "clean text", *names)]
+
+
 def test_kernel_counts_gapped_triples():
     def brute(a, b):
         def phi(w):

@@ -116,3 +116,11 @@ def test_index_keeps_earlier_rows_and_ignores_a_batch_sent_twice(spark, make_doc
         assert sorted((r["keep_id"], r["group_size"]) for r in index.rows().collect()) == [(3, 2), (5, 1), (6, 1)]
     finally:
         index.drop()
+
+
+def test_dedup_carries_columns_named_like_its_own(spark):
+    names = ["_digest", "_keep", "_points", "digest", "keep", "points", "row", "keep_id", "group_size"]
+    docs = spark.createDataFrame([(1, "a b", *names), (2, "ab", *names), (3, None, *names)], "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = exact_dedup.dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect() if r["text"]) == [(1, "a b", *names)] and kept.count() == 2
