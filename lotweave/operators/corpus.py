@@ -168,62 +168,141 @@ def ingest(pages: DataFrame, stored: DataFrame | None) -> DataFrame:
 
 # ---- retrieval ---------------------------------------------------------------------------
 
-QUERY_BLOCK = 2048  # queries held by one task at a time
+PIVOTS = 64  # most chunk vectors that others are measured against; they and the rings bound what a question carries
+RINGS = 16  # most equal widths of distance around a pivot
+BLOCK_ROWS = 8192  # chunks of one ring compared in one piece
+QUERY_BLOCK = 2048  # questions compared with a block in one piece
 
 
-def _nearest_in_batch(queries: pd.DataFrame, k: int, metric: str):
-    q = np.stack(queries["embedding"].to_numpy()).astype(float)
-    wanted = queries["jurisdiction"].to_numpy(dtype=object)
-    ids = queries["query_id"].to_numpy()
-    q_norm = (q * q).sum(axis=1)
+def _placed(v: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in the space where the triangle inequality holds (the unit sphere for cosine), and which of them have a place."""
+    if metric != "cosine":
+        return v, np.ones(len(v), dtype=bool)
+    size = np.sqrt((v * v).sum(axis=1))
+    return v / np.where(size > 0, size, 1.0)[:, None], size > 0
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _vectors(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float)
+
+
+def pivot_index(store: DataFrame, metric: str = "l2") -> tuple[DataFrame, np.ndarray]:
+    """(chunk_id, embedding, jurisdiction, bucket, ring, sub, dist) and the pivots.
+
+    A chunk lies in the bucket of its nearest pivot, in the ring of its distance, and in one of as many
+    blocks of the ring as its count asks for. There are no more pivots and rings than full blocks to tell apart. Zero vectors have no direction: bucket -1 for cosine.
+    """
+    rows = cut_lineage(store.select("chunk_id", "embedding", "jurisdiction").filter(F.col("embedding").isNotNull()))
+    pieces = -(-rows.count() // BLOCK_ROWS)
+    first = rows.select("embedding", F.xxhash64("chunk_id").alias("h"), "chunk_id").orderBy("h", "chunk_id").limit(min(PIVOTS, max(1, pieces))).collect()
+    if not first:
+        return rows.selectExpr("*", "0 AS bucket", "0 AS ring", "0L AS sub", "0D AS dist"), np.zeros((0, 0))
+    pivots, usable = _placed(np.array([r["embedding"] for r in first], dtype=float), metric)
+    pivots = pivots[usable] if usable.any() else pivots
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if pdf.empty:
-                continue
-            v = np.stack(pdf["embedding"].to_numpy()).astype(float)
-            dots = q @ v.T
-            if metric == "cosine":
-                d = 1.0 - dots / (np.sqrt(q_norm)[:, None] * np.sqrt((v * v).sum(axis=1))[None, :] + 1e-12)
-            else:
-                d = np.maximum(q_norm[:, None] + (v * v).sum(axis=1)[None, :] - 2.0 * dots, 0.0)
-            place = pdf["jurisdiction"].to_numpy(dtype=object)
-            for i in range(len(ids)):
-                usable = np.arange(len(pdf)) if wanted[i] is None else np.nonzero(place == wanted[i])[0]
-                if not len(usable):
-                    continue
-                row = d[i, usable]
-                keep = usable if len(usable) <= k else usable[row <= np.partition(row, k - 1)[k - 1]]
-                yield pd.DataFrame({"query_id": ids[i], "chunk_id": pdf["chunk_id"].to_numpy()[keep], "distance": d[i, keep]})
+            if len(pdf):
+                v, there = _placed(_vectors(pdf["embedding"]), metric)
+                bucket = ((pivots * pivots).sum(axis=1)[None, :] - 2.0 * (v @ pivots.T)).argmin(axis=1)
+                dist = np.linalg.norm(v - pivots[bucket], axis=1)
+                yield pdf.assign(bucket=np.where(there, bucket, -1), dist=np.where(there, dist, 0.0))
+
+    near = cut_lineage(rows.mapInPandas(nearest, _schema_of(rows) + ", bucket int, dist double"))
+    span = near.groupBy("bucket").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"),
+                                      F.least(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(RINGS)).alias("rings"))  # a row per pivot
+    width = (F.col("hi") - F.col("lo")) / F.col("rings")
+    ring = F.when(width > 0, F.least(F.floor((F.col("dist") - F.col("lo")) / width), F.col("rings") - 1)).otherwise(0).cast("int")
+    ringed = near.join(F.broadcast(span), "bucket").withColumn("ring", ring).drop("lo", "hi", "rings")
+    blocks = ringed.groupBy("bucket", "ring").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))  # a row per ring
+    cut = ringed.join(F.broadcast(blocks), ["bucket", "ring"]).withColumn("sub", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")))
+    return cut.drop("blocks"), pivots
+
+
+def _schema_of(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def needed_rings(questions: DataFrame, index: DataFrame, pivots: np.ndarray, k: int, metric: str = "l2") -> DataFrame:
+    """(query_id, embedding, jurisdiction, bucket, ring): rings that may hold one of the k nearest chunks of a question.
+
+    Rings in order of their farthest possible chunk reach k chunks at some distance; a ring whose nearest
+    possible chunk is farther cannot matter. Counts and radii are those of the jurisdiction that is asked for.
+    """
+    rings = index.groupBy("jurisdiction", "bucket", "ring").agg(F.count("*").alias("n"), F.min("dist").alias("least"), F.max("dist").alias("most"))
+    one = F.collect_list(F.struct("bucket", "ring", "n", "least", "most")).alias("rings")  # at most (PIVOTS + 1) * RINGS entries
+    every = rings.groupBy("bucket", "ring").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+    asked = questions.select("query_id", "embedding", "jurisdiction").filter(F.col("embedding").isNotNull())
+    known = asked.join(rings.filter("jurisdiction is not null").groupBy("jurisdiction").agg(one), "jurisdiction").select("query_id", "embedding", "jurisdiction", "rings")
+    free = asked.filter("jurisdiction is null").crossJoin(F.broadcast(every.agg(one)))  # one row
+
+    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            if len(pdf):
+                q, there = _placed(_vectors(pdf["embedding"]), metric)
+                far = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2.0 * (q @ pivots.T), 0.0))
+                slack = 1e-6 * (1.0 + np.abs(q).max(axis=1) + np.abs(pivots).max()) * np.sqrt(q.shape[1])
+                for i, rings in enumerate(pdf["rings"]):
+                    bucket, n = np.array([r["bucket"] for r in rings]), np.array([r["n"] for r in rings])
+                    least, most = np.array([r["least"] for r in rings]), np.array([r["most"] for r in rings])
+                    placeless = bucket < 0
+                    to_pivot = np.where(placeless, 0.0, far[i, bucket])
+                    lower = np.where(placeless, 0.0, np.maximum(to_pivot - most, least - to_pivot))
+                    upper = np.where(placeless, 2.0, to_pivot + most)
+                    order = np.argsort(upper)
+                    reach = int(np.searchsorted(np.cumsum(n[order]), k))
+                    bound = upper[order[reach]] + slack[i] if there[i] and reach < len(order) else np.inf
+                    out.extend((i, rings[j]["bucket"], rings[j]["ring"]) for j in np.flatnonzero(lower <= bound))
+            if out:
+                at, buckets, found = zip(*out, strict=True)
+                yield pdf[["query_id", "embedding", "jurisdiction"]].iloc[list(at)].assign(bucket=buckets, ring=found)
+
+    return known.unionByName(free).mapInPandas(choose, _schema_of(asked) + ", bucket int, ring int")
+
+
+def _nearest_in_block(k: int, metric: str):
+    def run(asked: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": asked["query_id"].iloc[:0], "chunk_id": block["chunk_id"].iloc[:0], "distance": np.zeros(0)})
+        if asked.empty or block.empty:
+            return none
+        q, v = _vectors(asked["embedding"]), _vectors(block["embedding"])
+        q_norm, v_norm, dots = (q * q).sum(axis=1), (v * v).sum(axis=1), q @ v.T
+        if metric == "cosine":
+            d = 1.0 - dots / (np.sqrt(q_norm)[:, None] * np.sqrt(v_norm)[None, :] + 1e-12)
+        else:
+            d = np.maximum(q_norm[:, None] + v_norm[None, :] - 2.0 * dots, 0.0)
+        place, ids, parts = block["jurisdiction"].to_numpy(dtype=object), block["chunk_id"].to_numpy(), [none]
+        for i, (query, wanted) in enumerate(zip(asked["query_id"], asked["jurisdiction"], strict=True)):
+            usable = np.nonzero(place == wanted)[0] if isinstance(wanted, str) else np.arange(len(ids))
+            row = d[i, usable]
+            keep = np.arange(len(row)) if len(row) <= k else np.nonzero(row <= np.partition(row, k - 1)[k - 1])[0]
+            parts.append(pd.DataFrame({"query_id": query, "chunk_id": ids[usable[keep]], "distance": row[keep]}))
+        return pd.concat(parts[1:] or parts, ignore_index=True)
     return run
 
 
 def nearest_chunks(questions: DataFrame, store: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """(query_id, chunk_id, distance, rank): the k nearest per question, squared L2 by default.
 
-    The chunk table is read once per block of 2048 questions; each Arrow batch keeps only its own
-    k nearest per question (ties at the edge included), so no question-chunk product is ever
-    written. Ties are settled by chunk id.
+    An exact search over a pivot index: a question meets only the rings that the triangle inequality
+    leaves, in one pass for any number of questions. Blocks of chunks and slots of questions are of counted
+    size, and each keeps its own k nearest per question (ties at the edge included), so no
+    question-chunk product is ever written. Ties are settled by chunk id. Null vectors find and are
+    found by nothing; empty tables give no rows.
     """
-    cols = ["query_id", "embedding", "jurisdiction"]
-    asked = questions.select(*cols).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(1)))
-    blocks = max(1, -(-questions.count() // QUERY_BLOCK))
-    if blocks > 1:
-        asked = asked.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks)))
-        blocks = 2 * blocks
-    parts = []
-    chunk_cols = store.select("chunk_id", "embedding", "jurisdiction")
-    for b in range(blocks):
-        block = asked.filter(F.col("_b") == b).select(*cols).toPandas()
-        block["jurisdiction"] = [j if isinstance(j, str) else None for j in block["jurisdiction"]]
-        if len(block):
-            parts.append(chunk_cols.mapInPandas(
-                _nearest_in_batch(block, k, metric), f"query_id {_type(questions, 'query_id')}, chunk_id {_type(store, 'chunk_id')}, distance double"))
-    if not parts:
-        return chunk_cols.limit(0).select(F.lit(None).alias("query_id"), "chunk_id", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionAll(p)
+    index, pivots = pivot_index(store, metric)
+    kinds = f"query_id {_type(questions, 'query_id')}, chunk_id {_type(store, 'chunk_id')}, distance double"
+    if not len(pivots):
+        return questions.sparkSession.createDataFrame([], kinds + ", rank int")
+    needed = cut_lineage(needed_rings(questions, index, pivots, k, metric))
+    slots = needed.groupBy("bucket", "ring").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("slots"))  # a row per ring
+    key = ["bucket", "ring", "sub", "slot"]
+    subs = index.groupBy("bucket", "ring").agg(F.max("sub").alias("last"))
+    asked = needed.join(F.broadcast(slots), ["bucket", "ring"]).withColumn("slot", F.pmod(F.xxhash64("query_id"), F.col("slots"))).drop("slots")
+    asked = asked.join(F.broadcast(subs), ["bucket", "ring"]).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("bigint"), "last"))).drop("last")
+    blocks = index.join(F.broadcast(slots), ["bucket", "ring"]).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1)))
+    found = asked.groupBy(*key).cogroup(blocks.select(*key, "chunk_id", "embedding", "jurisdiction").groupBy(*key)).applyInPandas(_nearest_in_block(k, metric), kinds)
     return top_k(found, ["query_id"], ["distance", "chunk_id"], k)
 
 

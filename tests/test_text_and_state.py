@@ -57,6 +57,35 @@ def test_diversity_pick():
     assert corpus.pick_diverse(np.array([0.95, 0.90, 0.70]), v @ v.T, 2, 0.4) == [0, 2]
 
 
+def test_search_prunes_rings_and_stays_exact(spark, monkeypatch):
+    """Tight groups, a third of all chunks in one; zero and null vectors; a jurisdiction that no chunk has."""
+    monkeypatch.setattr(corpus, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(9, 8)) * 10
+    own = np.where(np.arange(1200) % 3 == 0, 0, rng.integers(0, 9, 1200))
+    vecs = centres[own] + rng.normal(size=(1200, 8)) * 0.05
+    vecs[[5, 77]] = 0.0
+    qs = centres[np.arange(12) % 9] + rng.normal(size=(12, 8)) * 0.05
+    qs[11] = 0.0
+    store = spark.createDataFrame([(i, v.tolist(), "a" if i % 2 else None) for i, v in enumerate(vecs)] + [(5000, None, "a")], "chunk_id bigint, embedding array<double>, jurisdiction string")
+    questions = spark.createDataFrame([(i, q.tolist(), "a" if i % 4 == 0 else None) for i, q in enumerate(qs)] + [(90, None, None), (91, qs[0].tolist(), "nowhere")],
+                                      "query_id int, embedding array<double>, jurisdiction string")
+    for metric in ("l2", "cosine"):
+        got = {}
+        for r in corpus.nearest_chunks(questions, store, 7, metric).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(round(r.distance, 9))
+        assert sorted(got) == list(range(12))
+        for i, q in enumerate(qs):
+            d = ((vecs - q) ** 2).sum(axis=1) if metric == "l2" else 1 - vecs @ q / (np.linalg.norm(vecs, axis=1) * np.linalg.norm(q) + 1e-12)
+            want = sorted(x for j, x in enumerate(d) if i % 4 or j % 2)[:7]
+            assert np.allclose(got[i], want, atol=1e-9), (metric, i)
+        index, pivots = corpus.pivot_index(store, metric)
+        rings = index.select("bucket", "ring").distinct().count()
+        asked = questions.filter("query_id < 11")
+        assert len(pivots) > 20 and corpus.needed_rings(asked, index, pivots, 7, metric).count() < 0.5 * rings * asked.count()
+    assert corpus.nearest_chunks(questions, store.limit(0), 3).count() == 0 and corpus.nearest_chunks(questions.limit(0), store, 3).count() == 0
+
+
 def test_nearest_matches_brute_force_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(corpus, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(4)
