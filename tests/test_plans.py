@@ -58,18 +58,28 @@ def brute_ranks(v):
     return out
 
 
-@pytest.mark.parametrize("group_rows,block", [(4096, 4096), (20, 16)])
-def test_fronts_match_brute_force(spark, group_rows, block):
+@pytest.mark.parametrize("block", [4096, 40])
+def test_fronts_match_brute_force(spark, block):
     rnd = random.Random(3)
     data = [(i, "hot" if i % 4 else "cold", float(rnd.randint(0, 12)), float(rnd.randint(0, 12)), float(rnd.randint(0, 3))) for i in range(260)]
     df = spark.createDataFrame(data, "id int, run string, x double, y double, z double")
-    got = {r.id: r["rank"] for r in pareto.pareto_ranks(df, "run", ["x", "y", "z"], group_rows, block).collect()}
+    got = {r.id: r["rank"] for r in pareto.pareto_ranks(df, "run", ["x", "y", "z"], block).collect()}
     for run in ("hot", "cold"):
         ids = [d[0] for d in data if d[1] == run]
         want = brute_ranks(np.array([d[2:] for d in data if d[1] == run]))
         assert {i: got[i] for i in ids} == {ids[k]: r for k, r in want.items()}
 
 
+def test_fronts_of_chains_null_and_empty(spark):
+    # one chain as long as the table: the rank of each row comes through every block before it
+    data = [(i, "r", float(i), float(i // 2)) for i in range(60)] + [(60, "r", None, 1.0), (61, None, 1.0, 1.0), (62, "r", 3.0, 1.0)]
+    df = spark.createDataFrame(data, "id int, run string, x double, y double")
+    got = {r.id: r["rank"] for r in pareto.pareto_ranks(df, "run", ["x", "y"], 16).collect()}
+    assert got == {**{i: i for i in range(60)}, 62: 3}
+    assert pareto.pareto_ranks(df.limit(0), "run", ["x", "y"]).count() == 0
+    assert {r.id: r["rank"] for r in pareto.pareto_ranks(df.filter("id < 9"), "run", ["x"], 4).collect()} == {i: i for i in range(9)}
+
+
 def test_skyline_with_many_blocks(spark):
     # an anti-chain: nothing dominates anything, so every row stays through the block comparison
     pts = [("r", float(i), float(200 - i), 0.0) for i in range(200)] + [("r", float(i) + 0.5, float(201 - i), 1.0) for i in range(200)]
