@@ -11,12 +11,15 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotweave.functions.rings import any_ring_crosses
+
 POINT = "struct<x:double,y:double>"
 GEOM_TYPE = f"array<array<array<{POINT}>>>"
 EARTH_RADIUS_M = 6_371_000.0  # haversine sphere
 MERCATOR_RADIUS_M = 6_378_137.0
 AUTHALIC_RADIUS_M = 6_371_007.180918
 WGS84_E = 0.0818191908426215
+SMALL_RING = 64
 
 
 def let(value: Column, body) -> Column:
@@ -105,12 +108,23 @@ def segments(geom: Column) -> Column:
 
 
 def self_crossing(geom: Column, geom_type: Column) -> Column:
-    """Whether two edges of one polygon ring cross; such a ring has no single inside."""
+    """Whether two edges of one polygon ring cross; such a ring has no single inside.
+
+    Small rings are compared edge by edge in the JVM; shapes with a ring beyond ``SMALL_RING``
+    corners go to :mod:`lotweave.functions.rings`, which halves the plane and does not compare all pairs.
+    Give the result a column of its own before filtering by it; a Python step inside a filter over
+    parsed geometry is not always planned.
+    """
     def crossed(ring: Column) -> Column:
         return let(_ring_segments(ring), lambda edges: F.exists(
             F.transform(edges, lambda p, i: F.exists(F.slice(edges, i + 2, F.size(edges)), lambda q: _cross_properly(p, q))), lambda hit: hit))
 
-    return geom_type.isin("Polygon", "MultiPolygon") & F.coalesce(F.exists(F.flatten(geom), crossed), F.lit(False))
+    rings = F.flatten(geom)
+    large = F.exists(rings, lambda r: F.size(r) > SMALL_RING)
+    flat = F.transform(rings, lambda r: F.flatten(F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+    polygonal = geom_type.isin("Polygon", "MultiPolygon")
+    in_task = any_ring_crosses(F.when(polygonal & large, flat))
+    return polygonal & F.coalesce(in_task, F.exists(F.filter(rings, lambda r: F.size(r) <= SMALL_RING), crossed), F.lit(False))
 
 
 def bounds(geom: Column) -> Column:

@@ -170,7 +170,8 @@ def with_planning_parameters(parcels: DataFrame, shared: dict[str, float] | None
 def invalid_features(features: DataFrame) -> DataFrame:
     """Rows whose geometry text was given but could not be read, or whose polygon ring crosses itself."""
     unread = F.col("geom_type").isNotNull() & F.col("geom").isNull()
-    return features.filter(unread | g.self_crossing(F.col("geom"), F.col("geom_type")))
+    tested = features.withColumn("_crossing", g.self_crossing(F.col("geom"), F.col("geom_type")))
+    return tested.filter(unread | F.col("_crossing")).drop("_crossing")
 
 
 def plausible_layer(features: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lotweave.functions import geometry as g
+from lotweave.functions.rings import ring_crosses
 from lotweave.operators import cells, shapes, spatial
 
 
@@ -186,3 +189,42 @@ def test_voronoi_matches_nearest_point_areas(spark):
     xs, ys = [x for x, _ in pts], [y for _, y in pts]
     total = (max(xs) + 0.5 - min(xs)) * (max(ys) + 0.5 - min(ys))
     assert sum(got.values()) == pytest.approx(total, rel=1e-6)
+
+
+def brute_crossing(points):
+    turn = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    edges = list(zip(points[:-1], points[1:], strict=True))
+    return any(turn(*e, f[0]) * turn(*e, f[1]) < 0 and turn(*f, e[0]) * turn(*f, e[1]) < 0 for i, e in enumerate(edges) for f in edges[i + 1:])
+
+
+def star(n, rnd, wobble=0.0):
+    pts = [(math.cos(2 * math.pi * (i + wobble * rnd.random()) / n) * (r := 1 + rnd.random()), math.sin(2 * math.pi * i / n) * r) for i in range(n)]
+    return [*pts, pts[0]]
+
+
+def test_large_rings_cross_like_all_pairs():
+    rnd = random.Random(5)
+    seen = set()
+    for n in (3, 70, 150, 300):
+        for wobble in (0.0, 0.5, 3.0):
+            ring = star(n, rnd, wobble)
+            seen.add(want := brute_crossing(ring))
+            assert ring_crosses(np.array(ring)) == want, (n, wobble)
+    assert seen == {True, False}
+    grid = [(float(i % 2 * 50), float(i)) for i in range(200)]  # long edges side by side
+    assert not ring_crosses(np.array([*grid, (60.0, 200.0), (60.0, -1.0), grid[0]]))
+    assert ring_crosses(np.array([*grid, (25.0, -1.0), grid[0]]))
+
+
+def test_ring_of_a_hundred_thousand_corners(spark):
+    ring = star(100_000, random.Random(1))
+    bad = [*ring[:50_000], (0.0, 9.0), *ring[50_000:]]
+    begin = time.time()
+    assert not ring_crosses(np.array(ring)) and ring_crosses(np.array(bad))
+    assert time.time() - begin < 30
+    small = poly((0, 0), (1, 1), (1, 0), (0, 1))
+    shapes_ = [[[ring]], [[bad]], square(0, 0), small, [[star(90, random.Random(2)), small[0][0]]]]
+    df = frame(spark, shapes_)
+    got = {r.pos: r.bad for r in df.select("pos", g.self_crossing(F.col("geom"), F.lit("Polygon")).alias("bad")).collect()}
+    assert got == {0: False, 1: True, 2: False, 3: True, 4: True}
+    assert not df.filter(g.self_crossing(F.col("geom"), F.lit("LineString"))).count()
