@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lotweave.functions import geometry as g
 from lotweave.operators.spatial import extent, with_box
 
+CELLS = 256  # cells of a parcel that one row of a subdivision holds
 POLYGON = f"array<array<array<{g.POINT}>>>"
 
 
@@ -75,36 +76,44 @@ def buffer_zones(parcels: DataFrame, distance: float = 50.0, units: str = "meter
     return done, made.filter(F.col("geom").isNull()).select(key)
 
 
-def clip_to_box(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
-    """Part of a ring inside an axis-aligned box, one box side at a time."""
-    pts = ring
-    for axis, bound, keep_low in ((0, x0, False), (0, x1, True), (1, y0, False), (1, y1, True)):
-        if not len(pts):
-            break
-        inside = (pts[:, axis] <= bound) if keep_low else (pts[:, axis] >= bound)
-        out = []
-        for i in range(len(pts)):
-            a, b, a_in, b_in = pts[i - 1], pts[i], inside[i - 1], inside[i]
-            if a_in != b_in:
-                out.append(a + (b - a) * ((bound - a[axis]) / (b[axis] - a[axis])))
-            if b_in:
-                out.append(b)
-        pts = np.array(out).reshape(-1, 2)
-    return pts
-
-
-def _area(pts: np.ndarray) -> float:
+def _beyond(pts: list, axis: int, bound: float, keep_low: bool) -> list:
+    """Part of an open ring on one side of a line, corner by corner."""
+    out = []
+    inside = [(p[axis] <= bound) if keep_low else (p[axis] >= bound) for p in pts]
+    for i, (b, b_in) in enumerate(zip(pts, inside)):
+        if inside[i - 1] != b_in:
+            a = pts[i - 1]
+            share = (bound - a[axis]) / (b[axis] - a[axis])
+            out.append((a[0] + (b[0] - a[0]) * share, a[1] + (b[1] - a[1]) * share))
+        if b_in:
+            out.append(b)
+    return out
+
+
+def _between(pts: list, axis: int, low: float, high: float) -> list:
+    return _beyond(_beyond(pts, axis, low, False), axis, high, True)
+
+
+def _area(pts) -> float:
     if len(pts) < 3:
         return 0.0
-    x, y = pts[:, 0] - pts[0, 0], pts[:, 1] - pts[0, 1]
+    if len(pts) < 8:  # a plain loop, which numpy also adds in this order
+        x0, y0 = pts[0]
+        at = [(float(x) - float(x0), float(y) - float(y0)) for x, y in pts]
+        return abs(sum(x * at[(i + 1) % len(at)][1] - at[(i + 1) % len(at)][0] * y for i, (x, y) in enumerate(at))) / 2
+    x, y = (np.array(pts) - np.array(pts[0])).T
     return abs(float((x * np.roll(y, -1) - np.roll(x, -1) * y).sum())) / 2
 
 
+def _closed(pts: list) -> list[dict]:
+    return [{"x": x, "y": y} for x, y in (pts if pts[0] == pts[-1] else [*pts, pts[0]])]
+
+
 def subdivide(parcels: DataFrame, target_area: float = 1000.0, min_area: float = 100.0, key: str = "parcel_id") -> DataFrame:
     """Parcels below the target stay whole; others are cut by an n x n grid over their box.
 
-    The cells of one parcel are exploded in Spark and clipped per row, so a huge parcel spreads
-    over tasks. ``k`` numbers the kept cells of a parcel from the lower left.
+    Blocks of a parcel's cells are exploded in Spark and each clipped on its own; a block clips a column of
+    its cells once. ``k`` numbers the kept cells of a parcel from the lower left.
     """
     if target_area <= 0 or min_area <= 0:
         raise ValueError("areas must be greater than zero")
@@ -115,30 +124,39 @@ def subdivide(parcels: DataFrame, target_area: float = 1000.0, min_area: float =
     whole = m.filter(F.col("area") < target_area).select(
         key, "geom", "area", F.lit(None).cast("string").alias("subdivision_id"), F.lit(None).cast(m.schema[key].dataType).alias("parent_id"))
     n = F.greatest(F.lit(1), F.floor(F.sqrt(F.col("area") / target_area)).cast("int"))
-    cut = (m.filter(F.col("area") >= target_area).withColumn("n", n)
-           .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-           .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-           .withColumn("k", F.col("i") * F.col("n") + F.col("j")))
-    cw, ch = (F.col("b.xmax") - F.col("b.xmin")) / F.col("n"), (F.col("b.ymax") - F.col("b.ymin")) / F.col("n")
-    x0, y0 = F.col("b.xmin") + F.col("j") * cw, F.col("b.ymin") + F.col("i") * ch
-    cells = cut.select(key, "geom", "k", x0.alias("x0"), y0.alias("y0"), (x0 + cw).alias("x1"), (y0 + ch).alias("y1"))
+    cut = m.filter(F.col("area") >= target_area).withColumn("n", n)
+    # a row per parcel and block of at most CELLS cells, numbered like the cells
+    blocks = cut.withColumn("at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n").cast("bigint") * F.col("n") - 1, F.lit(CELLS).cast("bigint"))))
+    rows = blocks.select(key, "geom", "n", "at", *[F.col(f"b.{e}").alias(e) for e in ("xmin", "ymin", "xmax", "ymax")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            geoms, areas = [], []
-            for geom, a, b, c, d in zip(pdf["geom"], pdf["x0"], pdf["y0"], pdf["x1"], pdf["y1"]):
-                polygons, total = [], 0.0
-                for poly in geom:
-                    rings = [clip_to_box(_open_ring([[r]]), a, b, c, d) for r in poly]
-                    if _area(rings[0]) > 0:
-                        kept_rings = [r for r in rings if _area(r) > 0]
-                        polygons.append([_ring(r)[0][0] for r in kept_rings])
-                        total += _area(rings[0]) - sum(_area(r) for r in kept_rings[1:])
-                geoms.append(polygons or None)
-                areas.append(total)
-            yield pd.DataFrame({key: pdf[key], "k": pdf["k"], "geom": geoms, "area": areas})
-
-    clipped = cells.mapInPandas(run, f"{key} {m.schema[key].dataType.simpleString()}, k int, geom {POLYGON}, area double")
+            keys, ks, geoms, areas = [], [], [], []
+            for own, geom, n, at, xmin, ymin, xmax, ymax in zip(*[pdf[c] for c in (key, "geom", "n", "at", "xmin", "ymin", "xmax", "ymax")]):
+                rings = [[[tuple(p) for p in _open_ring([[r]]).tolist()] for r in poly] for poly in geom]
+                n, at = int(n), int(at)
+                cw, ch, strips = (xmax - xmin) / n, (ymax - ymin) / n, {}
+                for k in range(at, min(at + CELLS, n * n)):
+                    i, j = divmod(k, n)
+                    if j not in strips:
+                        x0 = xmin + j * cw
+                        strips[j] = [[_between(r, 0, x0, x0 + cw) for r in poly] for poly in rings]
+                    y0 = ymin + i * ch
+                    polygons, total = [], 0.0
+                    for poly in strips[j]:
+                        parts = [_between(r, 1, y0, y0 + ch) for r in poly]
+                        if _area(parts[0]) > 0:
+                            kept_rings = [r for r in parts if _area(r) > 0]
+                            polygons.append([_closed(r) for r in kept_rings])
+                            total += _area(parts[0]) - sum(_area(r) for r in kept_rings[1:])
+                    keys.append(own), ks.append(k), geoms.append(polygons or None), areas.append(total)
+                if len(keys) >= 4 * CELLS:
+                    yield pd.DataFrame({key: keys, "k": ks, "geom": geoms, "area": areas})
+                    keys, ks, geoms, areas = [], [], [], []
+            if keys:
+                yield pd.DataFrame({key: keys, "k": ks, "geom": geoms, "area": areas})
+
+    clipped = rows.mapInPandas(run, f"{key} {m.schema[key].dataType.simpleString()}, k int, geom {POLYGON}, area double")
     pieces = clipped.filter(F.col("area") >= min_area).select(
         key, "geom", "area", F.concat_ws("_", F.col(key).cast("string"), F.col("k").cast("string")).alias("subdivision_id"), F.col(key).alias("parent_id"))
     return whole.unionByName(pieces)

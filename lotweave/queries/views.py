@@ -15,6 +15,11 @@ from lotweave.functions import geometry as g
 from lotweave.functions import risk as rk
 from lotweave.functions import vocab
 
+#: Tables whose rows pass through long row rules; a small file of them would be read by one task.
+DEALT = ("customer", "documents")
+#: Rows that one task may take before the rows are dealt to more.
+ROWS_A_TASK = 4096
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -155,9 +160,16 @@ class Data:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A driver table; compressed rows of a few megabytes are dealt to as many tasks as their number asks for."""
+        if name not in self._tables:
+            rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            parts = min(most, -(-rows.count() // ROWS_A_TASK)) if name in DEALT else 1
+            self._tables[name] = rows.repartition(parts) if parts > 1 else rows
+        return self._tables[name]
 
     def view(self, name: str) -> DataFrame:
         if name in TABLES:
