@@ -37,6 +37,7 @@ METRES_PER_DEGREE = math.pi * 6_371_000.0 / 180.0
 EDGES = ("xmin", "ymin", "xmax", "ymax")
 LEAF = 2048  # rows of the denser side that meet under one key
 DEPTH = 8  # a crowded cell has at most 4**DEPTH spots
+FEW_SHAPES = 10_000  # rows of a side, each with its shape, that are broadcast
 MOST_BROADCAST = 200_000  # cells, spots or leaves that are broadcast, each some 80 bytes; more are shuffled
 
 
@@ -67,6 +68,19 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
+def _equi(home: DataFrame, probe: DataFrame, keys: list[str]) -> DataFrame:
+    """Equi-join that broadcasts a side only when its rows were counted and are few.
+
+    Spark guesses a side's size from the compressed file under it and does not see the copies of an
+    explosion, so left to itself it collects millions of rows on the driver.
+    """
+    if home.count() <= FEW_SHAPES:
+        return F.broadcast(home).join(probe, keys)
+    if probe.count() <= FEW_SHAPES:
+        return home.join(F.broadcast(probe), keys)
+    return home.hint("merge").join(probe.hint("merge"), keys)
+
+
 def _hashable(df: DataFrame, keys: list[str]) -> list[Column]:
     return [F.col(f.name) for f in df.schema.fields if f.name not in keys and "map<" not in f.dataType.simpleString()]
 
@@ -110,12 +124,12 @@ def cell_join(home: DataFrame, probe: DataFrame, keys: list[str], leaf: int | No
     """
     leaf = leaf or LEAF
     h, p = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for df, n in ((home, "_h"), (probe, "_p")))
-    crowded = cut_lineage(h.join(p, keys).filter(F.greatest("_h", "_p") > leaf).select(*keys, (F.col("_h") >= F.col("_p")).alias("_home")))
+    crowded = cut_lineage(h.hint("merge").join(p.hint("merge"), keys).filter(F.greatest("_h", "_p") > leaf).select(*keys, (F.col("_h") >= F.col("_p")).alias("_home")))
     cells = crowded.count()
     if not cells:
-        return home.join(probe, keys)
+        return _equi(home, probe, keys)
     crowded = _small(crowded, cells)
-    out = home.join(crowded, keys, "left_anti").join(probe.join(crowded, keys, "left_anti"), keys)
+    out = _equi(home.join(crowded, keys, "left_anti"), probe.join(crowded, keys, "left_anti"), keys)
     names = out.columns
     for dense, other, d, o, which in ((home, probe, "h", "p", F.col("_home")), (probe, home, "p", "h", ~F.col("_home"))):
         cut = crowded.filter(which).select(*keys)
@@ -129,7 +143,7 @@ def cell_join(home: DataFrame, probe: DataFrame, keys: list[str], leaf: int | No
             meets = meets & (F.col(f"{axis}0") <= F.col(f"{o}_{axis}1")) & (F.col(f"{axis}1") >= F.col(f"{o}_{axis}0"))
         copies = other.join(_small(leaves, leaves.count()), keys).filter(meets).drop("u0", "v0", "u1", "v1")
         copies = copies.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        out = out.unionByName(rows.join(copies, [*keys, "level", "node", "block"]).select(*names))
+        out = out.unionByName(rows.hint("merge").join(copies.hint("merge"), [*keys, "level", "node", "block"]).select(*names))
     return out
 
 

@@ -40,7 +40,8 @@ def planning_facts(features: DataFrame, key: str = "parcel_id") -> DataFrame:
 
 def summaries(members: DataFrame, facts: DataFrame) -> DataFrame:
     """One summary per centre. ``members`` is (centre_id, parcel_id, rank)."""
-    rows = members.select("centre_id", "parcel_id", "rank").join(facts, "parcel_id")
+    # sides are as long as the parcels, whatever Spark guesses from the compressed file: none is broadcast
+    rows = members.select("centre_id", "parcel_id", "rank").hint("merge").join(facts.hint("merge"), "parcel_id")
     stats = rows.groupBy("centre_id").agg(
         F.coalesce(F.round(F.avg("risk"), 3), F.lit(0.0)).alias("average_risk"),
         F.sum(F.coalesce((F.col("risk") >= 0.6).cast("bigint"), F.lit(0))).alias("high_risk_count"),
@@ -51,7 +52,7 @@ def summaries(members: DataFrame, facts: DataFrame) -> DataFrame:
     counts = zones.groupBy("centre_id").agg(F.array_join(F.array_sort(F.collect_list(
         F.concat_ws("=", "zoning", F.col("n").cast("string")))), ",").alias("zoning_counts"))
     mode = most_frequent(rows, ["centre_id"], "zoning", "rank", "dominant_zoning")
-    full = stats.join(counts, "centre_id", "left").join(mode, "centre_id", "left").fillna("Unknown", ["dominant_zoning"]).fillna("", ["zoning_counts"])
+    full = stats.join(counts.hint("merge"), "centre_id", "left").join(mode.hint("merge"), "centre_id", "left").fillna("Unknown", ["dominant_zoning"]).fillna("", ["zoning_counts"])
     return full.withColumn("insight", insight())
 
 

@@ -3,10 +3,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lotweave.operators import shapes
+from lotweave.operators import cells, shapes
 from lotweave.queries import views
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture(scope="module")
 def one_file(spark, tmp_path_factory):
     """12,288 customers in one file, one of them without a key and two with the same one."""
@@ -26,6 +30,17 @@ def test_rows_of_one_file_are_dealt_to_several_tasks(spark, one_file):
     assert lots.filter("pos is null").count() == 1 and lots.filter("pos = 2").count() == 2
 
 
+def test_large_sides_of_a_radius_join_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(cells, "FEW_SHAPES", 10, raising=False)
+    points = spark.range(60).select(F.col("id").alias("pos"), (F.col("id") % 10 / 1000).alias("lon"), (F.floor(F.col("id") / 10) / 1000).alias("lat"))
+    pairs = cells.radius_pairs(points, points, 120.0)
+    assert "BroadcastHashJoin" not in plan(pairs)
+    # the lattice step is 111 m: every point with itself and its neighbours in a row or column
+    assert pairs.count() == 60 + 2 * (9 * 6 + 10 * 5)
+    few = points.limit(3)
+    assert "BroadcastHashJoin" in plan(cells.radius_pairs(few, points, 120.0))
+
+
 def test_blocks_of_cells_make_up_a_large_parcel(spark):
     side = 0.01
     geom = [[[(0.0, 0.0), (side, 0.0), (side, side), (0.0, side), (0.0, 0.0)], [(0.001, 0.001), (0.002, 0.001), (0.002, 0.002), (0.001, 0.002), (0.001, 0.001)]]]
