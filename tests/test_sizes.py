@@ -3,6 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lotweave.functions import landuse
+from lotweave.functions.coerce import Fields
 from lotweave.operators import cells, shapes
 from lotweave.queries import views
 
@@ -53,3 +55,15 @@ def test_blocks_of_cells_make_up_a_large_parcel(spark):
     lost = rows.select(whole).first()[0] - sum(p.area for p in pieces)
     assert 0 <= lost < 100.0 * 50  # only slivers beside the hole are left out
     assert all(r[0] == pytest.approx(r[1], rel=1e-9) for r in got.select("area", shapes.g.planar_area(F.col("geom"))).collect())
+
+
+def test_allowed_uses_split_each_text_once(spark):
+    rows = [(1, {"ZONING_CODE": "mixed-use"}), (2, {"allowed_uses": "park; retail"}), (3, {"ALLOWED_USES": "Mixed"}), (4, {"zoning": "RS-1-7"}), (5, {}), (6, None)]
+    df = spark.createDataFrame(rows, "pos bigint, props map<string,string>")
+    f = Fields(df)
+    for rule, texts in ((landuse.comparison_allowed_uses, 3), (landuse.report_allowed_uses, 5)):
+        out = df.select("pos", rule(f).alias("u"))
+        assert plan(out).count("split(") <= 2 * texts
+    comparison, report = ({r.pos: r.u for r in df.select("pos", rule(f).alias("u")).collect()} for rule in (landuse.comparison_allowed_uses, landuse.report_allowed_uses))
+    assert comparison[2] == ["commercial", "green"] and comparison[3] == ["residential", "commercial"] and comparison[5] is None and comparison[6] is None
+    assert comparison[1] == ["residential", "commercial"] == report[1]
