@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lotweave.functions import vocab
 from lotweave.functions.coerce import Fields, blank_to_null, clamp, number, when_in_order, with_numbers
+from lotweave.functions.geometry import let
 
 
 SUITABILITY_FIELDS = tuple(
@@ -173,7 +174,7 @@ def attribution(flags: Mapping[str, Column]) -> Column:
                  F.round(F.when(flags[name] == 1, F.lit(weight)).otherwise(0.0) * 100, 1).alias("contribution_pct"))
         for name, weight in vocab.RISK_WEIGHTS.items()])
     # the table lists weights from large to small, so active rows first is the sorted order
-    return F.concat(F.filter(rows, lambda r: r["active"]), F.filter(rows, lambda r: ~r["active"]))
+    return let(rows, lambda all_rows: F.concat(F.filter(all_rows, lambda r: r["active"]), F.filter(all_rows, lambda r: ~r["active"])))
 
 
 def attribution_total(flags: Mapping[str, Column]) -> Column:

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from lotweave.functions import geometry as g
 from lotweave.functions import risk as rk
 from lotweave.functions import vocab
+from lotweave.session import cut_lineage
 
 #: Tables whose rows pass through long row rules; a small file of them would be read by one task.
 DEALT = ("customer", "documents")
+WRITTEN = ("customer",)
 #: Rows that one task may take before the rows are dealt to more.
 ROWS_A_TASK = 4096
 
@@ -163,12 +165,18 @@ class Data:
         self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        """A driver table; compressed rows of a few megabytes are dealt to as many tasks as their number asks for."""
+        """A driver table; compressed rows of a few megabytes are dealt to as many tasks as their number asks for.
+
+        Customers are written once dealt: Spark would move the filters of long rules below the dealing, into one task.
+        """
         if name not in self._tables:
             rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             parts = min(most, -(-rows.count() // ROWS_A_TASK)) if name in DEALT else 1
-            self._tables[name] = rows.repartition(parts) if parts > 1 else rows
+            if parts > 1:
+                rows = rows.repartition(parts)
+                rows = cut_lineage(rows) if name in WRITTEN else rows
+            self._tables[name] = rows
         return self._tables[name]
 
     def view(self, name: str) -> DataFrame:

@@ -67,3 +67,9 @@ def test_allowed_uses_split_each_text_once(spark):
     comparison, report = ({r.pos: r.u for r in df.select("pos", rule(f).alias("u")).collect()} for rule in (landuse.comparison_allowed_uses, landuse.report_allowed_uses))
     assert comparison[2] == ["commercial", "green"] and comparison[3] == ["residential", "commercial"] and comparison[5] is None and comparison[6] is None
     assert comparison[1] == ["residential", "commercial"] == report[1]
+
+
+def test_filters_of_rules_stay_above_the_dealing(spark, one_file):
+    lots = views.Data(spark, one_file).view("lots")
+    kept = lots.filter("regexp_replace(parcel_id, '[0-9]', 'x') <> ''").select("pos", F.spark_partition_id().alias("task"))
+    assert "RoundRobinPartitioning" not in plan(kept) and kept.select("task").distinct().count() >= 3
