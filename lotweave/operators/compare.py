@@ -12,6 +12,7 @@ from lotweave.functions.coerce import Fields, blank_to_null, first_present, kept
 from lotweave.functions.landuse import (
     change_class, comparison_allowed_uses, comparison_use, map_use, map_use_code)
 from lotweave.functions.risk import staged, strict_risk, tier
+from lotweave.session import cut_lineage
 
 
 def plan_assignments(plans: DataFrame, container: str = "assignments") -> DataFrame:
@@ -38,7 +39,10 @@ def assignment_map(plans: DataFrame, container: str = "assignments") -> DataFram
 
 
 def parcel_facts(features: DataFrame, key: str = "parcel_id") -> DataFrame:
-    """Per parcel: comparison risk, explicit zoning verdict, allowed uses, neighbour ids."""
+    """Per parcel: comparison risk, explicit zoning verdict, allowed uses, neighbour ids.
+
+    Written once: filters on the facts would otherwise work out every rule again.
+    """
     features = staged(features)
     f = Fields(features)
     verdict = F.coalesce(*[tri_state(f.get(n), vocab.TRUE_WORDS_COMPARISON, vocab.FALSE_WORDS_COMPARISON)
@@ -48,14 +52,14 @@ def parcel_facts(features: DataFrame, key: str = "parcel_id") -> DataFrame:
         items = F.filter(F.transform(F.split(F.regexp_replace(f.get(name), r'[\[\]"{}]', ""), r"[,;|]"),
                                      lambda t: F.trim(F.regexp_replace(t, ":.*$", ""))), lambda t: t != "")
         lists.append(F.when(F.size(items) > 0, items))
-    return features.select(
+    return cut_lineage(features.select(
         key, strict_risk(f, vocab.RISK_KEYS_COMPARISON).alias("risk"), verdict.alias("verdict"),
-        comparison_allowed_uses(f).alias("allowed"), F.coalesce(*lists).alias("neighbours"))
+        comparison_allowed_uses(f).alias("allowed"), F.coalesce(*lists).alias("neighbours")))
 
 
 def with_facts(assignments: DataFrame, facts: DataFrame) -> DataFrame:
-    """Left join: an assignment without a parcel row keeps nulls."""
-    return assignments.join(facts, "parcel_id", "left")
+    """Left join: an assignment without a parcel row keeps nulls. There are as many facts as parcels, so none is broadcast."""
+    return assignments.join(facts.hint("merge"), "parcel_id", "left")
 
 
 def land_use_mix(assignments: DataFrame, keys=("plan",)) -> DataFrame:
@@ -122,7 +126,7 @@ def property_edges(assignments: DataFrame, facts: DataFrame) -> DataFrame:
     one = assignments.groupBy("plan", "parcel_id").agg(F.max_by("use", "pos").alias("use"))
     left = one.select("plan", F.col("parcel_id").alias("a"), F.col("use").alias("use_a"))
     right = one.select("plan", F.col("parcel_id").alias("b"), F.col("use").alias("use_b"))
-    return pairs.join(left, "a").join(right, ["plan", "b"]).select("plan", "a", "b", "use_a", "use_b")
+    return pairs.hint("merge").join(left.hint("merge"), "a").join(right.hint("merge"), ["plan", "b"]).select("plan", "a", "b", "use_a", "use_b")
 
 
 def fragmentation(edges: DataFrame) -> DataFrame:

@@ -12,12 +12,16 @@ from lotweave.functions.coerce import Fields, fixed, kept, numeric_truthy, pct0
 from lotweave.functions.landuse import fold, readable_use, report_allowed_uses
 from lotweave.functions.risk import report_suitability, staged, strict_risk
 from lotweave.operators.compare import target_percent
+from lotweave.session import cut_lineage
 
 REPORT_BUILT = (*vocab.BUILT_USES, "mixed_use")
 
 
 def report_facts(features: DataFrame, key: str = "parcel_id") -> DataFrame:
-    """Per parcel: risk, distinct active hazard labels, zoning verdict, allowed uses, suitability per use."""
+    """Per parcel: risk, distinct active hazard labels, zoning verdict, allowed uses, suitability per use.
+
+    Written once: filters on the facts would otherwise work out every rule again.
+    """
     features = staged(features)
     f = Fields(features)
     labels = F.array_distinct(kept(*[
@@ -25,9 +29,9 @@ def report_facts(features: DataFrame, key: str = "parcel_id") -> DataFrame:
         for name, label in vocab.REPORT_HAZARD_LABELS]))
     explicit = F.coalesce(f.get("zoningCompatible"), f.get("zoning_compatible"))
     verdict = F.when(explicit.isNotNull(), numeric_truthy(explicit, vocab.TRUE_WORDS_REPORT))
-    return features.select(
+    return cut_lineage(features.select(
         key, strict_risk(f, vocab.RISK_KEYS_COMPARISON).alias("risk"), labels.alias("hazards"), verdict.alias("verdict"),
-        report_allowed_uses(f).alias("allowed"), *[report_suitability(f, u).alias(f"suit_{u}") for u in vocab.LAND_USES])
+        report_allowed_uses(f).alias("allowed"), *[report_suitability(f, u).alias(f"suit_{u}") for u in vocab.LAND_USES]))
 
 
 def _built() -> Column:

@@ -288,7 +288,7 @@ RCOUNTS = f"SELECT plan, count(*) FILTER (WHERE {RISKY}) AS high_risk_built, CAS
 
 
 def report_rows(d):
-    return used(d).join(report.report_facts(d.by_lot), "parcel_id", "left")
+    return compare.with_facts(used(d), report.report_facts(d.by_lot))
 
 
 @query("a15_report_high_risk_built", f"""
