@@ -13,6 +13,7 @@ from lotweave.functions import vocab
 from lotweave.functions.coerce import Fields, fixed, kept, when_in_order
 from lotweave.functions.landuse import planner_allowed_uses
 from lotweave.operators.scoring import flag_columns
+from lotweave.session import cut_lineage
 
 HIGH_TEXT = {
     "residential": ("Residential suitability is high (", "), so the parcel is a strong candidate for housing-oriented development."),
@@ -46,7 +47,7 @@ def parcel_facts(features: DataFrame, key: str = "parcel_id") -> DataFrame:
         key, "risk_norm", *[c.alias(f"s_{u}") for u, c in scores.items()], rk.active_labels(flag_columns(f)).alias("hazards"),
         signal.alias("zoning_signal"), planner_allowed_uses(f).alias("_allowed"))
     ranked = suitability_rank({u: F.col(f"s_{u}") for u in vocab.LAND_USES})
-    return base.select("*", F.when(F.col("zoning_signal"), F.col("_allowed")).alias("allowed"), ranked.alias("ranked")).drop("_allowed")
+    return cut_lineage(base.select("*", F.when(F.col("zoning_signal"), F.col("_allowed")).alias("allowed"), ranked.alias("ranked")).drop("_allowed"))
 
 
 def assignment_facts(assignments: DataFrame, facts: DataFrame, target: Mapping[str, float] | None = None) -> DataFrame:
@@ -59,7 +60,7 @@ def assignment_facts(assignments: DataFrame, facts: DataFrame, target: Mapping[s
     weights = {k.strip().lower(): float(v) for k, v in (target or {}).items() if float(v) > 0}
     total = sum(weights.values())
     share = when_in_order([(F.col("assigned") == u, F.lit(w / total)) for u, w in weights.items()]) if weights else F.lit(None).cast("double")
-    rows = assignments.select("plan", "parcel_id", checked.alias("assigned")).join(facts, "parcel_id")
+    rows = assignments.select("plan", "parcel_id", checked.alias("assigned")).join(facts.hint("merge"), "parcel_id")
     own = when_in_order([(F.col("assigned") == u, F.col(f"s_{u}")) for u in vocab.LAND_USES])
     best = F.get("ranked", F.lit(0))
     place = F.array_position(F.transform("ranked", lambda r: r["use"]), F.col("assigned"))
@@ -144,7 +145,7 @@ def explain_assignments(assignments: DataFrame, features: DataFrame, target: Map
     if context is not None:
         ctx = context.select("plan", "parcel_id", "conflict_pairs", "compatible_pairs",
                              F.col("reasons").alias("_cr"), F.col("warnings").alias("_cw"))
-        facts = facts.join(ctx, ["plan", "parcel_id"], "left")
+        facts = facts.join(ctx.hint("merge"), ["plan", "parcel_id"], "left")
         none = F.array().cast("array<string>")
         reasons = F.concat(reasons, F.coalesce("_cr", none))
         warnings = F.concat(warnings, F.coalesce("_cw", none))
