@@ -6,9 +6,10 @@ reaches it, so a lost executor costs a re-run of its tasks and nothing else.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +93,35 @@ def lookup(rows: DataFrame, groups: DataFrame, keys: Sequence[str], values: Sequ
 # ---------------------------------------------------------------- Arrow batches
 
 #: Python works on at most about so many bytes of text at a time, but always on whole texts.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Rows of an Arrow batch that Python works on at a time where each row grows in the work.
+PIECE_ROWS = 250
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order, at most ``rows`` to a batch."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
+def give_back() -> None:
+    """Return the freed memory of this Python worker, which Spark keeps for later tasks, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone keeps freed pages
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, with the worker's freed memory given back when a task ends."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotweave.llm.common import HOT_SHARE, NOT_SPACE, hash_words, list_column, lookup, mix, remove, run_hashes, signed, text_column, text_slices, written
+from lotweave.llm.common import HOT_SHARE, NOT_SPACE, hash_words, lean, list_column, lookup, mix, remove, run_hashes, signed, small_batches, text_column, text_slices, written
 from lotweave.llm.components import components
 
 #: Bits of the folded sketch that candidates pass first; it tells apart sets of up to about twice as many tokens.
@@ -117,7 +117,7 @@ def set_hash(tokens: np.ndarray) -> tuple[int, int]:
 def features(docs: DataFrame, words: int) -> DataFrame:
     """One row per document: set size, set hash and folded sketch."""
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             rows, sketches = [[] for _ in range(3)], []
             for tokens in shingle_sets(text_column(batch, "text"), words):
                 for column, value in zip(rows, (len(tokens), *(set_hash(tokens) if len(tokens) else (0, 0))), strict=True):
@@ -126,24 +126,22 @@ def features(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, pa.int64()) for v in rows], list_column(sketches, pa.int64())],
                                              names=["doc_id", "n", "h1", "h2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, FEATURES)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(run), FEATURES)
 
 
 def shingles(docs: DataFrame, words: int) -> DataFrame:
     """doc_id and the sorted array of its shingle hashes."""
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [signed(s) for s in shingle_sets(text_column(batch, "text"), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), list_column(sets, pa.int64())], names=["doc_id", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, tokens array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id bigint, tokens array<bigint>")
 
 
 # ---------------------------------------------------------------- buckets
 
 ROWS = "key bigint, a bigint, b bigint"
-#: Documents whose keys a task sorts at a time; each has some hundreds.
-SPREAD_ROWS = 2_000
 
 
 def _runs(key: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +161,7 @@ def _spread(words: int, percent: int, hot: dict[tuple[int, int, int], int]):
     blocks: dict[int, int] = {}
 
     def run(batches):
-        for batch in (whole.slice(at, SPREAD_ROWS) for whole in batches for at in range(0, whole.num_rows, SPREAD_ROWS)):
+        for batch in small_batches(batches):  # a document has some hundreds of keys
             ids, keys = batch.column(0).to_pylist(), []
             for doc_id, tokens in zip(ids, shingle_sets(text_column(batch, "text"), words), strict=True):
                 n, found = len(tokens), [np.zeros(0, np.uint64)]
@@ -212,9 +210,9 @@ def _stars(batches):
 def star_pairs(docs: DataFrame, words: int, percent: int, hot: dict) -> DataFrame:
     """(key, a, b): documents that share a key, each with one other document of it. One shuffle;
     pairs made before it are spread over all tasks."""
-    spread = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_spread(words, percent, hot), ROWS)
+    spread = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(_spread(words, percent, hot)), ROWS)
     home = F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("key", "b"))
-    return spread.repartition(home).sortWithinPartitions("key", "a").mapInArrow(_stars, ROWS)
+    return spread.repartition(home).sortWithinPartitions("key", "a").mapInArrow(lean(_stars), ROWS)
 
 
 #: Members of a bucket that one task compares with as many others.
@@ -283,7 +281,7 @@ def across_pairs(members: DataFrame, known: DataFrame, percent: int) -> DataFram
     tiled = cut.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "of")
     tiled = tiled.join(known.withColumnRenamed("doc_id", "id"), "id").select("key", "i", "j", "block", "id", "of", "n", "sketch")
     tiled = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return tiled.mapInArrow(_tiles(percent), "a bigint, b bigint").distinct()
+    return tiled.mapInArrow(lean(_tiles(percent)), "a bigint, b bigint").distinct()
 
 
 def once(members: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from lotweave.llm.common import written
+from lotweave.llm.common import lean, written
 from lotweave.llm.cutting_stock import rounded
 from lotweave.llm.tokens import WordTokenizer, default_path
 
@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES)
 
 
 def _ranked(rest: DataFrame, count: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _cut_rest(rest: DataFrame, total: int, first: int, length: int) -> DataFrame
                     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
                     ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())]))
 
-    return rest.select("doc_id", "start", "length", "doc_tokens", "base", "ids").mapInArrow(run, schema)
+    return rest.select("doc_id", "start", "length", "doc_tokens", "base", "ids").mapInArrow(lean(run), schema)
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False,

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotweave.llm.common import lean
 from lotweave.llm.string_kernel import SYMBOLS, Machine, fold, nystroem, plain, train, triples, windows
 
 #: Most labelled documents of each class in a fit, about (chosen by a hash of doc_id).
@@ -95,7 +96,7 @@ def _margins(docs: DataFrame, machine: Machine) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f.name)) for f in rest], pa.array(margin)],
                                              names=[*[f.name for f in rest], "margin"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 @dataclass
@@ -137,7 +138,7 @@ def _triple_counts(rows: DataFrame) -> np.ndarray:
         hit = np.flatnonzero(seen.sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(seen[hit, 0]), pa.array(seen[hit, 1])], names=["t", "clean", "toxic"])
 
-    parts = rows.mapInArrow(run, "t bigint, clean bigint, toxic bigint").groupBy("t").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
+    parts = rows.mapInArrow(lean(run), "t bigint, clean bigint, toxic bigint").groupBy("t").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
     out = np.zeros((SYMBOLS ** 3, 2))
     out[parts["t"].to_numpy(), 0], out[parts["t"].to_numpy(), 1] = parts["clean"], parts["toxic"]
     return out
@@ -160,7 +161,7 @@ def _examples(rows: DataFrame, machine: Machine) -> tuple[list[tuple[int, int]],
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.int32()), pa.array(words, pa.string()), pa.array(scores, pa.float64())],
                                              names=["doc_id", "toxic", "word", "score"])
 
-    found = rows.mapInArrow(run, "doc_id bigint, toxic int, word string, score double").toPandas().sort_values(["doc_id", "score", "word"])
+    found = rows.mapInArrow(lean(run), "doc_id bigint, toxic int, word string, score double").toPandas().sort_values(["doc_id", "score", "word"])
     return list(zip(found["doc_id"], found["toxic"], strict=True)), found["word"].tolist(), found["score"].to_numpy()
 
 
@@ -186,7 +187,7 @@ def _trained(spark: SparkSession, words: list[str], label: np.ndarray) -> Machin
             machine = fold(landmarks, root, train(features, label))
             yield pa.RecordBatch.from_arrays([pa.array([machine.table.tobytes()], pa.binary()), pa.array([machine.bias])], names=["weights", "bias"])
 
-    row = spark.range(0, 1, 1, 1).mapInArrow(run, "weights binary, bias double").first()
+    row = spark.range(0, 1, 1, 1).mapInArrow(lean(run), "weights binary, bias double").first()
     return Machine(np.frombuffer(row["weights"], np.float32), row["bias"])
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotweave.llm.common import ALNUM, hash_words, run_hashes, signed, text_column, text_slices, written
+from lotweave.llm.common import ALNUM, hash_words, lean, run_hashes, signed, text_column, text_slices, written
 
 WINDOW, GRAM = 10, 5
 GUARD = WINDOW - GRAM + 1
@@ -80,7 +80,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                           "window": pa.array(window, pa.int64()), "print": pa.array(print_, pa.int64())})
 
     texts = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    return texts.mapInArrow(run, "item_id string, span int, window bigint, print bigint")
+    return texts.mapInArrow(lean(run), "item_id string, span int, window bigint, print bigint")
 
 
 def _fingerprints(docs: DataFrame, short: list[int]) -> DataFrame:
@@ -111,7 +111,7 @@ def _fingerprints(docs: DataFrame, short: list[int]) -> DataFrame:
                           "print": pa.array(np.concatenate([np.zeros(0, np.int64), *prints]), pa.int64())})
 
     schema = "doc_id bigint, text_key bigint, n_words int, pos int, span int, print bigint"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _extend(batches):
@@ -167,7 +167,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spots = written(found.groupBy("doc_id", "text_key").agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set(spot).alias("spots")), "spots")
     hit = spots.filter(F.size("spots") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spots")
     near = texts.join(hit, texts["doc_id"].eqNullSafe(hit["_id"]) & (texts["text_key"] == hit["_key"]))
-    near = near.select("doc_id", "text_key", "text", "spots").mapInArrow(_extend, "doc_id bigint, text_key bigint, start int, span int, window bigint")
+    near = near.select("doc_id", "text_key", "text", "spots").mapInArrow(lean(_extend), "doc_id bigint, text_key bigint, start int, span int, window bigint")
     hits = near.join(windows, ["window", "span"]).groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
         F.sort_array(F.collect_set(F.struct("start", "span"))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("item_ids"))
     all_ = spots.join(hits, spots["doc_id"].eqNullSafe(hits["_id"]) & (spots["text_key"] == hits["_key"]), "left")

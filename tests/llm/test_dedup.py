@@ -1,6 +1,8 @@
 import random
 
-from lotweave.llm import exact_dedup, near_join
+import pyarrow as pa
+
+from lotweave.llm import common, exact_dedup, near_join
 from lotweave.llm.components import components
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -124,3 +126,23 @@ def test_dedup_carries_columns_named_like_its_own(spark):
     kept = exact_dedup.dedup(docs)
     assert kept.columns == docs.columns
     assert sorted(tuple(r) for r in kept.collect() if r["text"]) == [(1, "a b", *names)] and kept.count() == 2
+
+
+def test_spread_emits_small_batches_and_gives_memory_back(monkeypatch):
+    """Keys of at most PIECE_ROWS documents are held together; freed memory leaves the reused worker at the task's end."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(WORDS, k=60)) for _ in range(700)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(702), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    out = list(common.lean(near_join._spread(5, 80, {}))(iter([batch])))
+    per_document = sum(b.num_rows for b in out) / 700
+    assert max(b.num_rows for b in out) <= 1.2 * common.PIECE_ROWS * per_document and calls == [1]
+    assert {i for b in out for i in b.column(1).to_pylist()} == set(range(700))
+
+
+def test_a_long_text_is_hashed_whole_in_any_slice(monkeypatch):
+    texts = pa.array([" ".join(f"x{i}" for i in range(60_000)), "a b c", None, "d"], pa.large_string()).fill_null("")
+    whole = [s.tolist() for s in near_join.shingle_sets(texts, 3)]
+    monkeypatch.setattr(near_join, "text_slices", lambda c: common.text_slices(c, 1 << 24))
+    assert whole == [s.tolist() for s in near_join.shingle_sets(texts, 3)] and len(whole[0]) == 59_998
