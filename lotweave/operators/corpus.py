@@ -6,12 +6,14 @@ reaches 1200 characters past the previous close (1500 minus the 300 kept as over
 block of text is entered only matters through its first close, and only the paragraphs in the
 first 1200 characters of a block can be that one - two dozen at most. Each block therefore
 reports, for each possible first close, its last close; chaining these few rows per block
-tells where every block is really entered, and then all blocks finish on their own.
+tells where every block is really entered, and then all blocks finish on their own. A task takes
+the blocks in sorted order and many at a time, so small blocks cost no more than large ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -46,61 +48,97 @@ def paragraphs(pages: DataFrame) -> DataFrame:
     return trimmed.filter(F.length("para") >= MIN_PARAGRAPH).withColumn("width", (F.length("para") + len(JOINT)).cast("bigint"))
 
 
-def _closes(s: np.ndarray, first: int, step: int) -> np.ndarray:
-    """Indices of the closing paragraphs from ``first`` on."""
-    out = [first]
-    while True:
-        nxt = int(np.searchsorted(s, s[out[-1]] + step))
-        if nxt >= len(s):
-            return np.array(out)
-        out.append(nxt)
-
-
-def _block_exits(step: int, origin: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.sort(pdf["s"].to_numpy())
-        start = int(pdf["block_start"].iloc[0])
-        nexts = np.searchsorted(s, s + step)
-        last = np.arange(len(s))
-        for i in range(len(s) - 1, -1, -1):
-            if nexts[i] < len(s):
-                last[i] = last[nexts[i]]
-        before = np.concatenate([[start - 1], s[:-1]])
-        entry = np.nonzero(before < start + step + origin)[0]
-        return pd.DataFrame({
-            "source": pdf["source"].iloc[0], "block": pdf["block"].iloc[0],
-            "first_close": s[entry], "last_close": s[last[entry]]})
+def _whole_runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows sorted by ``keys`` in frames that hold whole runs of equal keys, and where each run begins."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        new = np.zeros(len(pdf), dtype=bool)
+        for k in keys:
+            at = pdf[k].to_numpy()
+            new[1:] |= at[1:] != at[:-1]
+        first = np.concatenate([[0], np.flatnonzero(new)])
+        held = pdf.iloc[first[-1]:]
+        if len(first) > 1:
+            yield pdf.iloc[:first[-1]], first[:-1]
+    if held is not None and len(held):
+        yield held, np.zeros(1, dtype=int)
+
+
+def _next_closes(pdf: pd.DataFrame, first: np.ndarray, step: int, block_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row of whole blocks: its block's run, the run's end, and the row that closes next after it (from that end on: none).
+
+    Blocks lie behind each other on one line, ``block_chars + step`` apart, so one search serves all.
+    """
+    run = np.repeat(np.arange(len(first)), np.diff(first, append=len(pdf)))
+    line = run * (block_chars + step + 1) + (pdf["s"].to_numpy() - pdf["block"].to_numpy() * block_chars)
+    return run, np.append(first[1:], len(pdf))[run], np.searchsorted(line, line + step)
+
+
+def _block_exits(step: int, origin: int, block_chars: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, first in _whole_runs(batches, ("source", "block")):
+            s, start = pdf["s"].to_numpy(), pdf["block"].to_numpy() * block_chars
+            _, end, follow = _next_closes(pdf, first, step, block_chars)
+            last = np.where(follow < end, follow, np.arange(len(s)))
+            while True:  # each round doubles how far a row sees
+                beyond = last[last]
+                if (beyond == last).all():
+                    break
+                last = beyond
+            before = np.concatenate([[0], s[:-1]])
+            before[first] = start[first] - 1
+            entry = np.flatnonzero(before < start + step + origin)
+            yield pd.DataFrame({"source": pdf["source"].to_numpy()[entry], "block": pdf["block"].to_numpy()[entry],
+                                "first_close": s[entry], "last_close": s[last[entry]]})
     return run
 
 
 def _chain(step: int, origin: int):
-    """Walk the blocks of one document over their few entry rows."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["block", "first_close"])
-        at, blocks, opened = origin, [], []
-        for block, rows in pdf.groupby("block", sort=True):
-            blocks.append(block)
-            opened.append(at)
-            firsts = rows["first_close"].to_numpy()
-            hit = int(np.searchsorted(firsts, at + step))
-            if hit < len(firsts):
-                at = int(rows["last_close"].to_numpy()[hit])
-        return pd.DataFrame({"source": pdf["source"].iloc[0], "block": blocks, "entered": opened})
+    """Walk the blocks of each document in order over their few entry rows; only one position is carried on."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, at = None, origin
+        for pdf, first in _whole_runs(batches, ("source", "block")):
+            sources, firsts, lasts = pdf["source"].to_numpy()[first].tolist(), pdf["first_close"].tolist(), pdf["last_close"].tolist()
+            opened = []
+            for name, begin, end in zip(sources, first.tolist(), [*first[1:].tolist(), len(pdf)], strict=True):
+                source, at = (source, at) if name == source else (name, origin)
+                opened.append(at)
+                hit = bisect_left(firsts, at + step, begin, end)
+                at = lasts[hit] if hit < end else at
+            yield pd.DataFrame({"source": sources, "block": pdf["block"].to_numpy()[first], "entered": opened})
     return run
 
 
-def _assign(step: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.sort(pdf["s"].to_numpy())
-        entered = int(pdf["entered"].iloc[0])
-        first = int(np.searchsorted(s, entered + step))
-        closes = _closes(s, first, step) if first < len(s) else np.array([], dtype=int)
-        edges = np.concatenate([[entered], s[closes]]) if len(closes) else np.array([entered])
-        opened = edges[np.maximum(np.searchsorted(edges, s, side="left") - 1, 0)]
-        return pd.DataFrame({"source": pdf["source"].iloc[0], "s": s, "opened": opened})
+def _assign(step: int, block_chars: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, first in _whole_runs(batches, ("source", "block")):
+            s, entered = pdf["s"].to_numpy(), pdf["entered"].to_numpy()
+            run, end, follow = _next_closes(pdf, first, step, block_chars)
+            reached = s >= entered + step
+            head = reached.copy()  # the first close of each block, then all of them in step
+            head[1:] &= ~(reached[:-1] & (run[1:] == run[:-1]))
+            at, closed = np.flatnonzero(head), np.full(len(s), -1)
+            while len(at):
+                closed[at] = at
+                at = follow[at[follow[at] < end[at]]]
+            before = np.concatenate([[-1], np.maximum.accumulate(closed)[:-1]])
+            opened = np.where(before >= first[run], s[before], entered)
+            yield pd.DataFrame({"source": pdf["source"].to_numpy(), "s": s, "opened": opened})
     return run
 
 
+def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows of a key in one task, sorted by ``order``.
+
+    Dealt by a hash of the keys: a dealing by the keys of a join before it would be dropped, and the
+    join may turn into a broadcast while the query runs, which leaves rows of a key in several tasks.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*order)
+
+
 def chunk_texts(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(source, start_page, end_page, text): the chunks of every document.
 
@@ -113,12 +151,12 @@ def chunk_texts(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int =
     para = running_sum(paragraphs(pages), ["source"], "page_num", "width", "s", tiebreak=["para_no"])
     # positions only, a few bytes per paragraph: kept once instead of splitting the texts for every step
     marks = cut_lineage(para.select("source", "s", F.floor(F.col("s") / block_chars).alias("block")))
-    numbered = marks.withColumn("block_start", F.col("block") * block_chars)
-    exits = numbered.groupBy("source", "block").applyInPandas(
-        _block_exits(step, origin), "source string, block bigint, first_close bigint, last_close bigint")
-    entered = exits.groupBy("source").applyInPandas(_chain(step, origin), "source string, block bigint, entered bigint")
-    opened = marks.join(entered, ["source", "block"]).groupBy("source", "block").applyInPandas(
-        _assign(step), "source string, s bigint, opened bigint")
+    exits = _in_order(marks, ["source", "block"], ["source", "block", "s"]).mapInPandas(
+        _block_exits(step, origin, block_chars), "source string, block bigint, first_close bigint, last_close bigint")
+    entered = _in_order(exits, ["source"], ["source", "block", "first_close"]).mapInPandas(
+        _chain(step, origin), "source string, block bigint, entered bigint")
+    opened = _in_order(marks.join(entered, ["source", "block"]), ["source", "block"], ["source", "block", "s"]).mapInPandas(
+        _assign(step, block_chars), "source string, s bigint, opened bigint")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "para"))), lambda p: p["para"]), JOINT)
     parts = para.join(opened, ["source", "s"]).groupBy("source", "opened").agg(
         body.alias("body"), F.max("s").alias("close"), F.max_by("page_num", "s").alias("last_page"))

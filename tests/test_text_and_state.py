@@ -44,6 +44,39 @@ def test_chunks_match_the_fold(spark, block):
     assert got == want
 
 
+def test_blocks_of_a_batch_are_walked_together():
+    """Batches that cut blocks and documents anywhere give the same closes as a plain walk, in one frame per batch."""
+    rnd = random.Random(4)
+    rows, want = [], {}
+    for name in ("a", "b", "c"):
+        s, at = 0, 302
+        for _ in range(400):
+            s += rnd.randint(52, 900)
+            rows.append((name, s // 2500, s))
+            want[name, s] = at
+            at = s if s >= at + 1200 else at
+    pdf = pd.DataFrame(rows, columns=["source", "block", "s"])
+    for size in (1, 7, 10_000):
+        batches = lambda df: (df.iloc[i:i + size].reset_index(drop=True) for i in range(0, len(df), size))
+        found = list(corpus._block_exits(1200, 302, 2500)(batches(pdf)))
+        exits = pd.concat(found)
+        entered = pd.concat(corpus._chain(1200, 302)(batches(exits)))
+        got = pd.concat(corpus._assign(1200, 2500)(batches(pdf.merge(entered, on=["source", "block"]))))
+        assert {(r.source, r.s): r.opened for r in got.itertuples()} == want and len(got) == len(rows)
+    assert len(found) <= 2  # hundreds of blocks
+
+
+def test_blocks_stay_whole_after_a_join_on_their_keys(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # a merge, whose dealing an equal one would repeat
+    try:
+        marks = spark.range(100).selectExpr("'a' AS source", "id DIV 10 AS block", "id AS s")
+        entered = spark.range(10).selectExpr("'a' AS source", "id AS block", "0L AS entered")
+        rows = corpus._in_order(marks.join(entered, ["source", "block"]), ["source", "block"], ["source", "block", "s"])
+        assert "REPARTITION_BY_COL" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_section_marks_stay_with_the_text_before(spark):
     df = spark.createDataFrame([("Intro text §1310 rest Section 42001 tail",), ("a\n\nb",)], "t string")
     a, b = df.select(corpus.split_sections(F.col("t")).alias("p")).collect()
