@@ -11,7 +11,7 @@ knowledge:
 2. The read cuts out the objects that begin in a range inside the ``features`` array. An object that
    reaches over the range's end is read on from there.
 
-Tasks open files with ``pyarrow.fs`` and read them in pieces, so no file is held whole. ``pos`` grows
+Small ranges are dealt to a bounded number of tasks, several in a row to one. Tasks open files with ``pyarrow.fs`` and read them in pieces, so no file is held whole. ``pos`` grows
 in file order but has gaps. Text that is no FeatureCollection gives no rows.
 """
 
@@ -28,6 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Bytes of a range, unless the option ``rangebytes`` says otherwise.
 RANGE_BYTES = 32 << 20
 READ_BYTES = 1 << 20
+#: Fewest tasks that many small ranges are dealt to; larger layers get one for every ``RANGE_BYTES``.
+TASKS = 128
 _MARK = re.compile(rb'["\\{}\[\]]')
 
 
@@ -50,13 +52,14 @@ def files(path: str) -> list[tuple[str, int]]:
     return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")))
 
 
-def chunks(path: str, name: str, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+def chunks(path: str, name: str, start: int, end: int, piece: int | None = None) -> Iterator[tuple[int, bytes]]:
     """(offset, bytes) of a file from ``start`` to ``end``, in bounded pieces."""
+    piece = min(READ_BYTES, piece or READ_BYTES)
     system, _ = opened(path)
     with system.open_input_file(name) as source:
         source.seek(start)
         while start < end:
-            data = source.read(min(READ_BYTES, end - start))
+            data = source.read(min(piece, end - start))
             if not data:
                 return
             yield start, data
@@ -88,7 +91,7 @@ class Scanner:
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     """Bytes ``start`` to ``end`` of a file, and the state in which they begin."""
 
     path: str
@@ -102,6 +105,20 @@ class Range(InputPartition):
     inside: bool = False  # the ``features`` array is open
 
 
+@dataclass
+class Task(InputPartition):
+    """Ranges that follow each other, read by one task."""
+
+    parts: list[Range]
+
+
+def tasks_of(parts: list[Range]) -> list[Task]:
+    """All ranges, dealt in order to as many tasks as their bytes ask for, but not to one task for every small range."""
+    wanted = max(TASKS, sum(r.end - r.start for r in parts) // RANGE_BYTES)
+    each = max(1, -(-len(parts) // wanted))
+    return [Task(parts[at:at + each]) for at in range(0, len(parts), each)] or [Task([])]
+
+
 def ranges(path: str, width: int) -> list[Range]:
     out: list[Range] = []
     for name, size in files(path):
@@ -138,7 +155,7 @@ def _marks(r: Range, in_string: bool, end: int) -> Iterator[tuple[int, int, int,
     """(offset, mark, offset of the piece, bytes before the piece, piece) of the brackets outside strings."""
     scanner = Scanner(in_string, r.start if in_string and _first_byte_hidden(r) else -1)
     before = b"".join(d for _, d in chunks(r.path, r.name, max(0, r.start - CONTEXT), r.start))
-    for at, data in chunks(r.path, r.name, r.start, end):
+    for at, data in chunks(r.path, r.name, r.start, end, r.end - r.start):
         for place, mark in scanner.step(at, data):
             yield place, mark, at, before, data
         yield -1, int(scanner.in_string), at, before, data  # the piece is done
@@ -230,23 +247,24 @@ class _Ranges(DataSourceReader):
         self.path, self.width = options["path"], int(options.get("rangebytes", RANGE_BYTES))
         self.states = [tuple(map(int, s.split(","))) for s in options.get("states", "").split(";") if s]
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Task]:
         out = ranges(self.path, self.width)
         for r, (in_string, depth, inside) in zip(out, self.states, strict=bool(self.states)):
             r.in_string, r.depth, r.inside = bool(in_string), depth, bool(inside)
-        return out or [Range(self.path, "", 0, 0, 0, -1)]
+        self.states = []  # each range has its own now; the reader goes to every task
+        return tasks_of(out)
 
 
 class _SurveyReader(_Ranges):
-    def read(self, r: Range):
-        if r.number >= 0:
+    def read(self, task: Task):
+        for r in task.parts:
             for guess, ends, closed, left in survey(r):
                 yield r.number, guess, ends, closed, left
 
 
 class _Reader(_Ranges):
-    def read(self, r: Range):
-        if r.number >= 0:
+    def read(self, task: Task):
+        for r in task.parts:
             for at, text in cut_features(r):
                 yield (r.number << 40) + at - r.start, text
 

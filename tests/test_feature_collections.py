@@ -48,3 +48,35 @@ def test_reader_spreads_one_file(spark, tmp_path):
     empty = tmp_path / "none"
     empty.mkdir()
     assert fc.collection_rows(spark, str(empty)).count() == 0
+
+
+def test_many_small_ranges_share_tasks(spark, tmp_path):
+    """A task is not started for each range, and the reader that goes to every task holds no list of all ranges."""
+    features = [{"type": "Feature", "id": i, "properties": {"name": f'n{i} "{{['}, "geometry": None} for i in range(900)]
+    for k in range(3):
+        (tmp_path / f"{k}.geojson").write_text(json.dumps({"features": features[300 * k:300 * k + 300]}))
+    parts = fc.ranges(str(tmp_path), 64)
+    assert len(parts) > 4 * fc.TASKS
+    shared = fc.tasks_of(parts)
+    assert fc.TASKS // 2 < len(shared) <= fc.TASKS and [r for t in shared for r in t.parts] == parts
+    reader = fc._Reader({"path": str(tmp_path), "rangebytes": "64", "states": ";".join(["0,0,0"] * len(parts))})
+    assert len(reader.partitions()) == len(shared) and not reader.states
+    rows = fc.collection_rows(spark, str(tmp_path), 64)
+    assert rows.rdd.getNumPartitions() == len(shared)
+    assert [json.loads(r.value)["id"] for r in rows.orderBy("pos").collect()] == list(range(900))
+
+
+def test_bytes_read_follow_the_range(tmp_path, monkeypatch):
+    path = tmp_path / "layer.json"
+    path.write_text(json.dumps({"features": [{"id": i} for i in range(2_000)]}))
+    read_bytes = []
+    plain = fc.chunks
+
+    def counted(*args):
+        for at, data in plain(*args):
+            read_bytes.append(len(data))
+            yield at, data
+
+    monkeypatch.setattr(fc, "chunks", counted)
+    assert [i["id"] for i in read(path, 500)] == list(range(2_000))
+    assert sum(read_bytes) < 20 * path.stat().st_size  # both surveys and the read, with their context
