@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from lotweave.llm.common import lookup, written
 
 LEAST, SHARD_BYTES, FILE_BYTES, BLOCKS = 100, 32 << 20, 16 << 20, 1 << 14
+#: Compressed bytes that a reader hands to zlib at a time.
+PIECE_BYTES = 1 << 13
 #: Revisits whose plan may be broadcast.
 MOST_BROADCAST = 1_000_000
 DATE = "2020-01-01T00:00:00Z"
@@ -67,11 +69,15 @@ def member(data: bytes) -> bytes:
 
 
 def members(data: bytes):
-    """The records of a file, one gzip member each."""
-    while data:
-        unpack = zlib.decompressobj(31)
-        yield unpack.decompress(data) + unpack.flush()
-        data = unpack.unused_data
+    """The records of a file, one gzip member each; fed in pieces, since zlib copies what lies behind a member."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        unpack, parts = zlib.decompressobj(31), []
+        while at < len(view) and not unpack.eof:
+            piece = view[at:at + PIECE_BYTES]
+            parts.append(unpack.decompress(piece))
+            at += len(piece) - len(unpack.unused_data)
+        yield b"".join(parts) + unpack.flush()
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:

@@ -35,6 +35,25 @@ def test_archives_of_an_empty_table(spark):
     assert warc.write(spark.createDataFrame([], PAGES), folder).count() == 0 and warc.read(spark, folder).count() == 0
 
 
+def test_members_are_read_without_copying_the_rest(monkeypatch):
+    data = [b"%d " % i + hashlib.sha512(b"%d" % i).digest() * (i % 300) for i in range(500)]
+    whole, copied, plain = b"".join(warc.member(d) for d in data), [], warc.zlib.decompressobj
+
+    class Watched:
+        def __init__(self, bits):
+            self.inner = plain(bits)
+
+        def __getattr__(self, name):
+            value = getattr(self.inner, name)
+            if name == "unused_data":
+                copied.append(len(value))
+            return value
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Watched)
+    assert list(warc.members(whole)) == data and len(whole) > 4 * warc.PIECE_BYTES
+    assert max(copied) <= warc.PIECE_BYTES
+
+
 def test_damaged_record_is_refused():
     raw = warc.record(1, "u", b"hello", hashlib.sha256(b"hello").hexdigest(), None, 5)
     assert warc.parse(raw)[1].endswith(b"hello")
