@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,36 @@ def test_best_never_gets_worse(spark):
     assert low(longer) <= low(small) + 1e-12
 
 
+def test_replay_grows_only_ancestors_and_matches_every_generation(monkeypatch):
+    n, rng = 10, np.random.default_rng(4)
+    options = np.array([[0, 3, -1], [1, 2, -1], [3, -1, -1], [0, 1, 2]] * 6, np.int16)
+    start = np.stack([options[np.arange(24), k % (options >= 0).sum(axis=1)] for k in range(n)], axis=1).astype(np.int16)
+    start[3, 2] = 9  # not allowed: its children are repaired
+    place = np.arange(24)
+    mates = [gene_arrays.Mates(rng.integers(0, n, n), rng.integers(0, n, n), rng.integers(1, 24, n), rng.random(n) < 0.8) for _ in range(4)]
+    kept = [np.sort(rng.permutation(2 * n)[:n]) for _ in range(3)]
+    history, now = gene_arrays.History(5, mates, kept), start
+    for k in range(4):
+        young = gene_arrays.children(now, place, place, options, mates[k], 7, 5 + k, 0.2)
+        now = np.concatenate((now, young), axis=1)[:, kept[k]] if k < 3 else now
+    lists = [[int(c) for c in row if c >= 0] for row in options]
+    batch = pa.RecordBatch.from_arrays([pa.array(place), pa.array(place), pa.array(lists, pa.list_(pa.int16())), gene_arrays._packed(start, np.zeros(24, bool))],
+                                       names=["a_place", "a_pos", "a_options", "a_genes"])
+    grown, plain = [], gene_arrays._grown
+    monkeypatch.setattr(gene_arrays, "_grown", lambda g, a, b, who, *rest: (grown.append(len(who)), plain(g, a, b, who, *rest))[1])
+    replay = gene_arrays.Replay(7, 0.2, n)
+    assert (replay.ends(batch, np.arange(24), "a", history, True)[0] == young).all()
+    assert len(grown) == 4 and sum(grown[:3]) < sum((k >= n).sum() for k in kept) + 1 and grown[3] == n
+    assert (replay.ends(batch, np.arange(24), "a", history, False)[0] == now).all()
+
+
+def test_packed_genes_come_back():
+    codes = np.array([[0, 3, -1], [300, 2, 1]], np.int16)
+    column = gene_arrays._packed(np.concatenate((codes, codes[:1])), np.array([False, False, True]))
+    assert column.null_count == 1 and (gene_arrays._codes(column, np.array([1, 0]), 3) == codes[::-1]).all()
+    assert (gene_arrays._codes(column, np.array([2, 1]), 3) == [[-1] * 3, [300, 2, 1]]).all() and (gene_arrays._codes(column, np.array([0]), 4) == [[0, 3, -1, -1]]).all()
+
+
 def test_crossover_mutation_and_tournaments(spark):
     options = np.array([[0, 3, -1], [1, 2, -1], [3, -1, -1], [0, 1, 2]] * 5)
     start = np.stack([options[np.arange(20), k % (options >= 0).sum(axis=1)] for k in range(4)], axis=1)
