@@ -36,11 +36,8 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(F.array(F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0))))
 
 
-def from_geojson(geometry: Column) -> Column:
-    """Struct (geom_type, geom) of a GeoJSON geometry text; geom is null when unreadable."""
-    kind = F.get_json_object(geometry, "$.type")
-    coords = F.get_json_object(geometry, "$.coordinates")
-
+def from_coordinates(kind: Column, coords: Column) -> Column:
+    """Geometry of a GeoJSON type and the text of its coordinates; null when unreadable."""
     def read(depth: int) -> Column:
         return F.from_json(coords, "array<" * depth + "double" + ">" * depth)
 
@@ -58,23 +55,22 @@ def from_geojson(geometry: Column) -> Column:
         .when(kind == "Point", F.array(F.array(F.array(pt(read(1))))))
         .when(kind == "MultiPoint", F.transform(read(2), lambda p: F.array(F.array(pt(p)))))
     )
-    usable = F.size(F.filter(F.flatten(F.flatten(parsed)), lambda p: p["x"].isNotNull() & p["y"].isNotNull())) > 0
-    return F.struct(kind.alias("geom_type"), F.when(usable, parsed).alias("geom"))
+    return let(parsed, lambda found: F.when(
+        F.size(F.filter(vertices(found), lambda p: p["x"].isNotNull() & p["y"].isNotNull())) > 0, found))
 
 
 def repair(geom: Column, geom_type: Column) -> Column:
     """Drop repeated neighbours and points with a missing part; close polygon rings."""
     def clean(r: Column) -> Column:
-        full = F.filter(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-        return F.filter(full, lambda p, i: (i == 0) | (p != F.get(full, i - 1)))
+        whole = F.filter(r, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+        return let(whole, lambda full: F.filter(full, lambda p, i: (i == 0) | (p != F.get(full, i - 1))))
 
     def close(r: Column) -> Column:
-        open_ring = (F.size(r) >= 3) & (F.get(r, F.lit(0)) != F.element_at(r, -1))
+        open_ring = polygonal & (F.size(r) >= 3) & (F.get(r, F.lit(0)) != F.element_at(r, -1))
         return F.when(open_ring, F.concat(r, F.slice(r, 1, 1))).otherwise(r)
 
     polygonal = geom_type.isin("Polygon", "MultiPolygon")
-    return F.transform(geom, lambda poly: F.transform(
-        poly, lambda r: F.when(polygonal, close(clean(r))).otherwise(clean(r))))
+    return F.transform(geom, lambda poly: F.transform(poly, lambda r: let(clean(r), close)))
 
 
 def to_geojson(geom: Column, geom_type: Column) -> Column:
@@ -93,13 +89,16 @@ def vertices(geom: Column) -> Column:
     return F.flatten(F.flatten(geom))
 
 
-def _ring_segments(r: Column) -> Column:
-    pairs = F.zip_with(
-        F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1),
-        lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
-    alone = F.transform(r, lambda p: F.struct(
-        p["x"].alias("x1"), p["y"].alias("y1"), p["x"].alias("x2"), p["y"].alias("y2")))
-    return F.when(F.size(r) > 1, pairs).otherwise(alone)
+def _ring_segments(ring: Column) -> Column:
+    def of(r: Column) -> Column:
+        pairs = F.zip_with(
+            F.slice(r, 1, F.size(r) - 1), F.slice(r, 2, F.size(r) - 1),
+            lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+        alone = F.transform(r, lambda p: F.struct(
+            p["x"].alias("x1"), p["y"].alias("y1"), p["x"].alias("x2"), p["y"].alias("y2")))
+        return F.when(F.size(r) > 1, pairs).otherwise(alone)
+
+    return let(ring, of)
 
 
 def segments(geom: Column) -> Column:

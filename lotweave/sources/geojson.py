@@ -31,15 +31,21 @@ def read_geojson(spark: SparkSession, path: str, collection: bool = False, srid:
 
 
 def parse_features(rows: DataFrame, srid: int = 4326) -> DataFrame:
-    """Feature rows from (value, pos) rows of one GeoJSON feature text each; nested values stay JSON text."""
+    """Feature rows from (value, pos) rows of one GeoJSON feature text each; nested values stay JSON text.
+
+    Texts are cut out one step at a time; in one step Spark would cut them out again wherever they are read.
+    """
     raw = F.col("value")
-    shape = g.from_geojson(F.get_json_object(raw, "$.geometry"))
     props = F.from_json(F.get_json_object(raw, "$.properties"), "map<string,string>")
-    return rows.select(
+    texts = rows.select(
         F.get_json_object(raw, "$.id").alias("feature_id"), "pos",
         F.coalesce(props, F.create_map().cast("map<string,string>")).alias("props"),
-        shape["geom_type"].alias("geom_type"),
-        g.repair(shape["geom"], shape["geom_type"]).alias("geom"), F.lit(srid).alias("srid"))
+        F.get_json_object(raw, "$.geometry").alias("_geometry"))
+    parts = texts.select("feature_id", "pos", "props", F.get_json_object("_geometry", "$.type").alias("geom_type"),
+                         F.get_json_object("_geometry", "$.coordinates").alias("_coordinates"))
+    kind = F.col("geom_type")
+    return parts.select("feature_id", "pos", "props", "geom_type", g.repair(g.from_coordinates(kind, F.col("_coordinates")), kind).alias("geom"),
+                        F.lit(srid).alias("srid"))
 
 
 def load_layer(spark: SparkSession, path: str, srid: int = 4326, fmt: str = "parquet") -> DataFrame:
