@@ -136,13 +136,19 @@ def fixed(value: Column, places: int) -> Column:
     return F.format_string(f"%.{places}f", value)
 
 
-def collapse_first(df: DataFrame, keys: Sequence[str], order: str | Column) -> DataFrame:
-    """One row per key: the row with the smallest ``order``.
+def collapse_first(df: DataFrame, keys: Sequence[str], order: str | Column, where: Column | None = None) -> DataFrame:
+    """One row per key: the row with the smallest ``order``, of those that ``where`` holds for.
 
     A grouped ``min_by`` combines before the shuffle, so a key holding a large share of the
-    rows still reaches the reducer as one row per map task.
+    rows still reaches the reducer as one row per map task. Each column has its own, all of one row, so
+    that a column nobody reads is neither sorted nor shuffled. ``where`` is tested after the grouping:
+    Spark moves a filter below the columns that it reads and computes them once more for it.
     """
     rest = [c for c in df.columns if c not in keys]
-    order_col = F.col(order) if isinstance(order, str) else order
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order_col).alias("_row"))
-    return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+    first = F.col(order) if isinstance(order, str) else order
+    if where is None:
+        return df.groupBy(*keys).agg(*[F.min_by(c, first).alias(c) for c in rest]).select(*df.columns)
+    marked = df.withColumn("_first", first).withColumn("_counts", where)
+    of = F.when(F.col("_counts"), F.col("_first"))
+    picked = marked.groupBy(*keys).agg(*[F.min_by(c, of).alias(c) for c in rest], F.bool_or("_counts").alias("_any"))
+    return picked.filter("_any").select(*df.columns)

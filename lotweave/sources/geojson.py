@@ -87,12 +87,10 @@ def parcel_centroids(features: DataFrame) -> DataFrame:
     An id is taken by its first row with a usable geometry, later rows are duplicates.
     """
     f = Fields(features)
-    centre = g.centroid(F.col("geom"))
-    rows = features.select(
-        parcel_id(f, vocab.ID_ORDER_PROXIMITY).alias("parcel_id"),
-        centre["x"].alias("lon"), centre["y"].alias("lat"), "pos", "props")
-    valid = rows.filter(F.col("parcel_id").isNotNull() & g.plausible_lonlat(F.col("lon"), F.col("lat")))
-    return collapse_first(valid, ["parcel_id"], "pos")
+    centre = g.let(g.centroid(F.col("geom")), lambda c: F.when(g.plausible_lonlat(c["x"], c["y"]), c))
+    rows = features.select(parcel_id(f, vocab.ID_ORDER_PROXIMITY).alias("parcel_id"), centre.alias("_c"), "pos", "props")
+    rows = rows.select("parcel_id", F.col("_c.x").alias("lon"), F.col("_c.y").alias("lat"), "pos", "props")
+    return collapse_first(rows, ["parcel_id"], "pos", F.col("parcel_id").isNotNull() & F.col("lon").isNotNull())
 
 
 def centroid_quality(features: DataFrame) -> DataFrame:
