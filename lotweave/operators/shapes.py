@@ -10,16 +10,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotweave.functions import geometry as g
 from lotweave.operators.spatial import extent, with_box
 
+BUFFERED_ROWS = 2000  # parcels whose buffers are made together
 CELLS = 256  # cells of a parcel that one row of a subdivision holds
+RING_ARRAYS = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 POLYGON = f"array<array<array<{g.POINT}>>>"
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in the same order, at most ``rows`` to a batch."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def _ring(points: np.ndarray) -> list[list[list[dict]]]:
     closed = points if len(points) and (points[0] == points[-1]).all() else np.vstack([points, points[:1]])
     return [[[{"x": float(x), "y": float(y)} for x, y in closed]]]
@@ -33,45 +44,89 @@ def _open_ring(geom) -> np.ndarray:
     return r if (x * np.roll(y, -1) - np.roll(x, -1) * y).sum() >= 0 else r[::-1]
 
 
-def _is_convex(r: np.ndarray) -> bool:
-    e = np.roll(r, -1, axis=0) - r
-    n = np.roll(e, -1, axis=0)
-    return bool((e[:, 0] * n[:, 1] - e[:, 1] * n[:, 0] >= -1e-9).all())
+def _counter_clockwise(r: np.ndarray) -> np.ndarray:
+    """Open rings (rings x corners x 2), those drawn clockwise turned round."""
+    x, y = np.ascontiguousarray(r[..., 0]), np.ascontiguousarray(r[..., 1])
+    turned = ~((x * np.roll(y, -1, axis=1) - np.roll(x, -1, axis=1) * y).sum(axis=1) >= 0)
+    return np.where(turned[:, None, None], r[:, ::-1], r)
+
+
+def _convex(r: np.ndarray) -> np.ndarray:
+    e = np.roll(r, -1, axis=1) - r
+    n = np.roll(e, -1, axis=1)
+    return (e[..., 0] * n[..., 1] - e[..., 1] * n[..., 0] >= -1e-9).all(axis=1)
 
 
-def buffered_ring(corners: np.ndarray, distance: float, steps: int) -> np.ndarray:
-    """Outline of a convex ring grown by ``distance``; each corner arc has ``steps`` parts per quarter turn."""
-    e = np.roll(corners, -1, axis=0) - corners
-    out = np.arctan2(-e[:, 0], e[:, 1])  # outward normal angle of each edge
-    points = []
-    for i, c in enumerate(corners):
-        a, b = out[i - 1], out[i]
-        turn = (b - a) % (2 * math.pi)
-        n = max(1, math.ceil(turn / (math.pi / 2) * steps))
-        t = a + turn * np.arange(n + 1) / n
-        points.append(np.column_stack([c[0] + distance * np.cos(t), c[1] + distance * np.sin(t)]))
-    return np.vstack(points)
+def buffered_rings(corners: np.ndarray, distance: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Closed outlines of convex rings (rings x corners x 2) grown by ``distance``, behind each other, and their sizes.
+
+    Each corner arc has ``steps`` parts per quarter turn.
+    """
+    rings, per_ring = corners.shape[:2]
+    e = np.roll(corners, -1, axis=1) - corners
+    out = np.arctan2(-e[..., 0], e[..., 1])  # outward normal angle of each edge
+    a = np.roll(out, 1, axis=1)
+    turn = (out - a) % (2 * math.pi)
+    n = np.maximum(1, np.ceil(turn / (math.pi / 2) * steps)).astype(np.int64).reshape(-1)
+    ends = np.cumsum(n + 1)
+    step = np.arange(ends[-1]) - np.repeat(ends - (n + 1), n + 1)
+    wide = lambda v: np.repeat(v.reshape(-1), n + 1)
+    t = wide(a) + wide(turn) * step / wide(n)
+    points = np.column_stack([wide(corners[..., 0]) + distance * np.cos(t), wide(corners[..., 1]) + distance * np.sin(t)])
+    last = ends[per_ring - 1::per_ring]
+    first = np.concatenate([[0], last[:-1]])
+    open_ends = (points[first] != points[last - 1]).any(axis=1)
+    return np.insert(points, last[open_ends], points[first[open_ends]], axis=0), last - first + open_ends
+
+
+def _single_rings(geom: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of shapes with one ring of at least four points, where each ring begins in the points, and its size; and the points."""
+    rows, parts = np.arange(len(geom)), geom
+    for _ in range(2):  # polygons of a shape, then rings of a polygon
+        one = pc.fill_null(pc.equal(pc.list_value_length(parts), 1), False)
+        rows, parts = rows[one.to_numpy(zero_copy_only=False)], parts.filter(one).flatten()
+    enough = pc.fill_null(pc.greater_equal(pc.list_value_length(parts), 4), False)
+    rows, parts = rows[enough.to_numpy(zero_copy_only=False)], parts.filter(enough)
+    points = np.column_stack([c.to_numpy(zero_copy_only=False) for c in parts.flatten().flatten()]).reshape(-1, 2).astype(float)
+    return rows, pc.list_value_length(parts).to_numpy(zero_copy_only=False), points
+
+
+def _ring_arrays(points: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Shapes of one ring each, as nested lists of points."""
+    flat = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(points[:, i])) for i in (0, 1)], ["x", "y"])
+    rings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+    each = pa.array(np.arange(len(sizes) + 1, dtype=np.int32))
+    return pa.ListArray.from_arrays(each, pa.ListArray.from_arrays(each, rings))
 
 
 def buffer_zones(parcels: DataFrame, distance: float = 50.0, units: str = "meters", steps: int = 16, key: str = "parcel_id") -> tuple[DataFrame, DataFrame]:
     """(buffers, rejects): grown outlines of convex single-ring parcels in metric coordinates.
 
-    Other shapes go to the rejects table.
+    Other shapes go to the rejects table. Rings with equally many corners are worked on together.
     """
     if distance <= 0:
         raise ValueError("distance must be greater than zero")
     rows = parcels.select(key, g.mercator(F.col("geom")).alias("geom"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            shapes = []
-            for geom in pdf["geom"]:
-                simple = geom is not None and len(geom) == 1 and len(geom[0]) == 1 and len(geom[0][0]) >= 4
-                r = _open_ring(geom) if simple else None
-                shapes.append(_ring(buffered_ring(r, distance, steps)) if simple and _is_convex(r) else None)
-            yield pd.DataFrame({key: pdf[key], "geom": shapes})
-
-    made = rows.mapInPandas(run, f"{key} {parcels.schema[key].dataType.simpleString()}, geom {POLYGON}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, BUFFERED_ROWS):
+            keys = batch.column(0)
+            at, sizes, points = _single_rings(batch.column(1))
+            starts = np.cumsum(sizes) - sizes
+            corners = sizes - (points[starts] == points[starts + sizes - 1]).all(axis=1)
+            rejected = np.ones(batch.num_rows, dtype=bool)
+            for m in np.unique(corners):
+                own = np.flatnonzero(corners == m)
+                r = _counter_clockwise(points[starts[own][:, None] + np.arange(m)])
+                good = _convex(r)
+                if good.any():
+                    rejected[at[own[good]]] = False
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(at[own[good]])), _ring_arrays(*buffered_rings(r[good], distance, steps))], names=[key, "geom"])
+            if rejected.any():
+                lost = keys.filter(pa.array(rejected))
+                yield pa.RecordBatch.from_arrays([lost, pa.nulls(len(lost), RING_ARRAYS)], names=[key, "geom"])
+
+    made = rows.mapInArrow(run, f"{key} {parcels.schema[key].dataType.simpleString()}, geom {POLYGON}")
     done = made.filter(F.col("geom").isNotNull()).withColumn("buffer_distance", F.lit(float(distance))).withColumn("buffer_units", F.lit(units))
     return done, made.filter(F.col("geom").isNull()).select(key)
 
