@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from lotweave.llm.common import lean, written
+from lotweave.llm.common import lean, small_batches, written
 from lotweave.llm.cutting_stock import rounded
 from lotweave.llm.tokens import WordTokenizer, default_path
 
@@ -38,6 +38,8 @@ FINE = 64
 LEAST_FILL = 0.98
 #: Texts whose words are encoded together.
 TOGETHER = 256
+#: Documents whose pieces leave a task together.
+TOGETHER_OUT = 1_000
 #: Pieces that one ranking block holds, about.
 BLOCK_ROWS = 5_000
 #: Words whose ids a task remembers.
@@ -55,7 +57,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     """Full pieces and the remainder of every document; ``key`` is unique, ``ids`` little-endian."""
     def run(batches):
         tokenizer, serial = WordTokenizer(path, memo_words), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in small_batches(batches, TOGETHER_OUT):
             rows = {c: [] for c in ("key", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for first in range(0, len(texts), TOGETHER):

@@ -79,3 +79,21 @@ def test_repair_of_a_long_ring(spark):
         F.cos(F.floor(i / 2) * (2 * math.pi / n)).alias("x"), F.sin(F.floor(i / 2) * (2 * math.pi / n)).alias("y")))
     made = spark.range(1).select(g.repair(F.array(F.array(ring)), F.when(F.col("id") >= 0, "Polygon")).alias("geom"))
     assert made.select(F.size(g.vertices(F.col("geom"))).alias("n")).first().n == n + 1
+
+
+def test_pipeline_stages_take_texts_in_small_batches(spark):
+    import corpus_pipeline as cp
+    import pyarrow as pa
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    old = spark.conf.get(cp.ARROW_SETTING)
+    try:
+        for set_to, most in (("10000", cp.ARROW_ROWS), ("0", cp.ARROW_ROWS), ("300", 300)):
+            spark.conf.set(cp.ARROW_SETTING, set_to)
+            counts = [r.n for r in cp.in_small_batches(lambda s, d, p: d.mapInArrow(rows, "n bigint"))(spark, spark.range(0, 5_000, 1, 1), "").collect()]
+            assert max(counts) == most and sum(counts) == 5_000
+    finally:
+        spark.conf.set(cp.ARROW_SETTING, old)
