@@ -33,6 +33,7 @@ MIN_PARAGRAPH = 50
 MIN_TAIL = 100
 JOINT = "\n\n"
 BLOCK_CHARS = 1 << 26
+MOST_BROADCAST = 10_000  # documents whose few facts are sent to all tasks
 
 
 def split_sections(text: Column) -> Column:
@@ -139,6 +140,12 @@ def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*order)
 
 
+def _beside_texts(rows: DataFrame) -> DataFrame:
+    """A row per document to be joined to texts: sent to all tasks when counted and few, so that the texts stay where they are."""
+    rows = cut_lineage(rows)
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
+
+
 def chunk_texts(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(source, start_page, end_page, text): the chunks of every document.
 
@@ -148,19 +155,26 @@ def chunk_texts(pages: DataFrame, chunk_chars: int = CHUNK_CHARS, overlap: int =
     """
     step = chunk_chars - overlap
     origin = overlap + len(JOINT)  # the first chunk has no overlap before it
-    para = running_sum(paragraphs(pages), ["source"], "page_num", "width", "s", tiebreak=["para_no"])
+    # a paragraph is known by its place and its digest until its chunk is; texts move twice, to their chunk's number and to their chunk
+    known = ["source", "page_num", "para_no", "_own"]
+    para = paragraphs(pages).withColumn("_own", F.xxhash64("source", "page_num", "para_no", "para", "width"))
+    places = running_sum(para.select(*known, "width"), ["source"], "page_num", "width", "s", tiebreak=["para_no", "_own"])
     # positions only, a few bytes per paragraph: kept once instead of splitting the texts for every step
-    marks = cut_lineage(para.select("source", "s", F.floor(F.col("s") / block_chars).alias("block")))
+    placed = cut_lineage(places.select(*known, "s", F.floor(F.col("s") / block_chars).alias("block")))
+    marks = placed.select("source", "s", "block")
     exits = _in_order(marks, ["source", "block"], ["source", "block", "s"]).mapInPandas(
         _block_exits(step, origin, block_chars), "source string, block bigint, first_close bigint, last_close bigint")
     entered = _in_order(exits, ["source"], ["source", "block", "first_close"]).mapInPandas(
         _chain(step, origin), "source string, block bigint, entered bigint")
     opened = _in_order(marks.join(entered, ["source", "block"]), ["source", "block"], ["source", "block", "s"]).mapInPandas(
         _assign(step, block_chars), "source string, s bigint, opened bigint")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "para"))), lambda p: p["para"]), JOINT)
-    parts = para.join(opened, ["source", "s"]).groupBy("source", "opened").agg(
+    # a set: equal paragraphs of equal pages meet each other's positions, and each position counts once
+    body = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("s", "para"))), lambda p: p["para"]), JOINT)
+    # no position is null, but saying so here makes the plans of both readers of the chunks equal, and the texts move once for both
+    chosen = cut_lineage(placed.drop("block").join(opened, ["source", "s"])).filter(F.col("source").isNotNull() & F.col("opened").isNotNull())
+    parts = para.select(*known, "para").join(chosen, known).groupBy("source", "opened").agg(
         body.alias("body"), F.max("s").alias("close"), F.max_by("page_num", "s").alias("last_page"))
-    ends = pages.groupBy("source").agg(F.max("page_num").alias("doc_last"))
+    ends = _beside_texts(pages.groupBy("source").agg(F.max("page_num").alias("doc_last")))
     done = F.col("close") - F.col("opened") >= step
     before = parts.filter(done).select("source", F.col("close").alias("opened"), F.substring("body", -overlap, overlap).alias("lead"),
                                        F.col("last_page").alias("start_page"))
@@ -187,7 +201,7 @@ def jurisdictions(pages: DataFrame) -> DataFrame:
 
 def chunks(pages: DataFrame, ingested=None, **sizes) -> DataFrame:
     """Chunk table with ids and metadata."""
-    made = chunk_texts(pages, **sizes).join(jurisdictions(pages), "source", "left")
+    made = chunk_texts(pages, **sizes).join(_beside_texts(jurisdictions(pages)), "source", "left")
     stem = F.regexp_replace("source", r"\.[^.]*$", "")
     text = F.col("text")
     return made.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotweave.functions import geometry as g
@@ -119,12 +119,19 @@ def regulation_pages(documents: DataFrame, file: str = "source", order: str = "p
     """(source, page_num, text): pages numbered from 1 inside each document; unreadable text is ''.
 
     Numbering goes by equal parts of an order index, so a document with most of the pages is not
-    sorted in one task.
+    sorted in one task. The index holds digests for the texts; a text is written, moves once to meet
+    its number, and is written again. Equal rows have numbers in a row, which they share out.
     """
     from lotweave.operators.prefix import running_number
-
-    numbered = running_number(documents, [file], order, "page_num")
-    return numbered.select(F.col(file).alias("source"), "page_num", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    from lotweave.session import cut_lineage
+
+    whole = [f.name for f in documents.schema if "map<" not in f.dataType.simpleString()]
+    marked = cut_lineage(documents.select(file, order, text, F.xxhash64(*whole, F.lit(1)).alias("_tie1"), F.xxhash64(F.lit(2), *whole).alias("_tie2")))
+    numbered = running_number(marked.select(file, order, "_tie1", "_tie2"), [file], order, "page_num", ["_tie1", "_tie2"])
+    first = numbered.groupBy("_tie1", "_tie2").agg(F.min("page_num").alias("_first"))
+    copies = Window.partitionBy("_tie1", "_tie2").orderBy(F.lit(0))
+    met = marked.join(first, ["_tie1", "_tie2"]).withColumn("page_num", F.col("_first") + F.row_number().over(copies) - 1)
+    return cut_lineage(met.select(F.col(file).alias("source"), "page_num", F.coalesce(F.col(text), F.lit("")).alias("text")))
 
 
 def centroid_lonlat(features: DataFrame) -> DataFrame:

@@ -97,3 +97,24 @@ def test_pipeline_stages_take_texts_in_small_batches(spark):
             assert max(counts) == most and sum(counts) == 5_000
     finally:
         spark.conf.set(cp.ARROW_SETTING, old)
+
+
+def test_order_indexes_hold_no_texts(spark, monkeypatch):
+    """Pages and paragraphs are numbered without their texts, equal ones included; each gets its own number."""
+    from lotweave.operators import corpus, prefix
+
+    indexed, made = [], prefix.order_index
+    monkeypatch.setattr(prefix, "order_index", lambda df, *rest: indexed.append(df.columns) or made(df, *rest))
+    words = [f"{i} " + "w" * 700 for i in range(6)]
+    docs = [("a", 1, words[0]), ("a", 1, words[0]), ("a", 1, words[1]), ("a", None, words[2]), ("b", 5, None), (None, 1, words[3]), (None, 1, words[3])]
+    pages = geojson.regulation_pages(spark.createDataFrame(docs, "source string, page_id int, text string").repartition(3))
+    got = sorted((r.source or "", r.page_num, r.text) for r in pages.collect())
+    tied = {t for s, n, t in got if s == "a" and n > 1}
+    assert [(s, n) for s, n, _ in got] == [("", 1), ("", 2), ("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 1)]
+    assert got[0][2] == got[1][2] == words[3] and got[2][2] == words[2] and tied == {words[0], words[1]} and got[-1][2] == ""
+    assert [t for s, n, t in got if s == "a"].count(words[0]) == 2
+    chunks = sorted((r.source, r.start_page, r.end_page, r.text.count("w" * 700)) for r in corpus.chunk_texts(pages).collect())
+    assert chunks == [("a", 1, 3, 3), ("a", 3, 4, 1)]
+    twice = spark.createDataFrame([("c", 1, words[4])] * 3, "source string, page_num int, text string")
+    assert sorted(r.text.count("w" * 700) for r in corpus.chunk_texts(twice).collect()) == [0, 3]
+    assert len(indexed) == 3 and not any({"text", "para"} & set(c) for c in indexed)
