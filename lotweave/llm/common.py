@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotweave.session import shuffles_dropped
+
 #: A group is hot when it holds more than 1 / HOT_SHARE of all rows, so there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
 
@@ -39,10 +41,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: a cut of the lineage with known sizes."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written once to the shared folder and read back: a cut of the lineage with known sizes.
+
+    Nothing reads the write's shuffles again, so their files go when it ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(table: DataFrame) -> None:

@@ -7,7 +7,9 @@ when these agree. Jaccard >= t allows at most d = (1-t)/(1+t) * (|A|+|B|) differ
 either document fills more than d blocks, one filled block has no differing token and is equal in
 both (pigeonhole). m is set per size band so that nearly all documents fill that many; the few that
 do not also emit every token as a block of its own, which meets the same kind of document on the
-other side. No link is lost. Candidates pass a folded sketch (Hamming bound), then the exact sets.
+other side. No link is lost. Candidates pass a folded sketch (Hamming bound), then, since a sketch of fixed
+width says nothing of large sets, one as wide as the set asks for, then the exact sets. Only documents of
+pairs that passed all sketches have their sets moved.
 
 Groups. Documents with equal sets are one class at once, by aggregation. In a bucket of equal blocks
 each document is paired with the bucket's first one only (inside an Arrow batch before the shuffle,
@@ -35,6 +37,11 @@ from lotweave.llm.components import components
 
 #: Bits of the folded sketch that candidates pass first; it tells apart sets of up to about twice as many tokens.
 SKETCH_BITS = 1024
+#: Sets of more tokens have a second sketch of at least 2/3 bit a token, up to ``MOST_BITS``.
+NARROW = SKETCH_BITS * 3 // 2
+MOST_BITS = 1 << 15
+#: Tokens of all documents for each task of the key shuffle, which sorts about two thirds as many keys.
+TASK_TOKENS = 3_000_000
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -107,7 +114,18 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-FEATURES = "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>"
+def wide_sketch(tokens: np.ndarray) -> np.ndarray | None:
+    """Parity bits by the lowest bits of the tokens; halves of its words fold to the next narrower one. None for small sets."""
+    if len(tokens) <= NARROW:
+        return None
+    bits = 2 * SKETCH_BITS
+    while 3 * bits < 2 * len(tokens) and bits < MOST_BITS:
+        bits *= 2
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+FEATURES = "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch array<bigint>, wide array<bigint>"
 
 
 def set_hash(tokens: np.ndarray) -> tuple[int, int]:
@@ -115,16 +133,17 @@ def set_hash(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """One row per document: set size, set hash and folded sketch."""
+    """One row per document: set size, set hash, folded sketch and the wide sketch of a large set."""
     def run(batches):
         for batch in small_batches(batches):
-            rows, sketches = [[] for _ in range(3)], []
+            rows, sketches, wide = [[] for _ in range(3)], [], []
             for tokens in shingle_sets(text_column(batch, "text"), words):
                 for column, value in zip(rows, (len(tokens), *(set_hash(tokens) if len(tokens) else (0, 0))), strict=True):
                     column.append(value)
                 sketches.append(sketch(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, pa.int64()) for v in rows], list_column(sketches, pa.int64())],
-                                             names=["doc_id", "n", "h1", "h2", "sketch"])
+                wide.append(wide_sketch(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, pa.int64()) for v in rows], list_column(sketches, pa.int64()),
+                                              pa.array(wide, pa.list_(pa.int64()))], names=["doc_id", "n", "h1", "h2", "sketch", "wide"])
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(run), FEATURES)
 
@@ -207,12 +226,14 @@ def _stars(batches):
             yield _table(key[keep], rep[keep], pa.array(a[keep], pa.int64()))
 
 
-def star_pairs(docs: DataFrame, words: int, percent: int, hot: dict) -> DataFrame:
-    """(key, a, b): documents that share a key, each with one other document of it. One shuffle;
-    pairs made before it are spread over all tasks."""
+def star_pairs(docs: DataFrame, words: int, percent: int, hot: dict, tasks: int = 0) -> DataFrame:
+    """(key, a, b): documents that share a key, each with one other document of it. One shuffle, of ``tasks``
+    partitions where the session has fewer, so that their sorts stay in memory; pairs made before it are spread over all."""
     spread = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(_spread(words, percent, hot)), ROWS)
     home = F.when(F.col("b").isNull(), F.col("key")).otherwise(F.xxhash64("key", "b"))
-    return spread.repartition(home).sortWithinPartitions("key", "a").mapInArrow(lean(_stars), ROWS)
+    own = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spread.repartition(tasks, home) if tasks > own else spread.repartition(home)
+    return dealt.sortWithinPartitions("key", "a").mapInArrow(lean(_stars), ROWS)
 
 
 #: Members of a bucket that one task compares with as many others.
@@ -308,9 +329,25 @@ def sketch_filter(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame
     return both.filter(close).select("a", "b").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def wide_filter(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """Of distinct (a, b), those whose wide sketches allow the similarity, folded to the narrower of both; a set without one passes."""
+    def side(name):
+        return wide.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "wide")])
+
+    width = F.least(F.size("a_wide"), F.size("b_wide"))
+
+    def folded(c):
+        word = lambda i: F.aggregate(F.sequence(i, F.size(c) - 1, width), F.lit(0).cast("bigint"), lambda x, k: x.bitwiseXOR(F.get(c, k)))
+        return F.when(F.size(c) == width, F.col(c)).otherwise(F.transform(F.sequence(F.lit(0), width - 1), word))
+
+    apart = F.aggregate(F.zip_with(folded("a_wide"), folded("b_wide"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    close = F.col("a_wide").isNull() | F.col("b_wide").isNull() | ((100 + percent) * apart <= (100 - percent) * (F.col("a_n") + F.col("b_n")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(close).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, wide: DataFrame, words: int, percent: int) -> DataFrame:
     """Of distinct (a, b), those whose exact shingle sets have the similarity."""
-    pairs = written(pairs, "pairs")
+    pairs = written(wide_filter(pairs, wide, percent), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     picked = F.broadcast(ids) if 2 * pairs.count() <= MOST_BROADCAST else ids
     sets = shingles(docs.join(picked, "doc_id", "left_semi"), words)
@@ -321,12 +358,12 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     return pairs.join(one, "a").join(two, "b").filter((total > 0) & (100 * common >= percent * total)).select("a", "b").distinct()
 
 
-def linked(docs: DataFrame, stars: DataFrame, known: DataFrame, ties: DataFrame, words: int, percent: int) -> DataFrame:
+def linked(docs: DataFrame, stars: DataFrame, known: DataFrame, wide: DataFrame, ties: DataFrame, words: int, percent: int) -> DataFrame:
     """(id, component) of everything that a link or one of ``ties`` connects.
 
-    ``stars`` and ``known`` hold one document per distinct set.
+    ``stars`` and ``known`` hold one document per distinct set, ``wide`` the sizes and wide sketches of all sets.
     """
-    first = verified(sketch_filter(stars.select("a", "b").distinct(), known, percent), docs, words, percent).unionByName(ties)
+    first = verified(sketch_filter(stars.select("a", "b").distinct(), known, percent), docs, wide, words, percent).unionByName(ties)
     class_of = written(components(first), "classes")
     both = F.array(F.struct("key", F.col("a").alias("id")), F.struct("key", F.col("b").alias("id")))
     members = stars.select(F.explode(both).alias("m")).select("m.*").distinct()
@@ -336,7 +373,7 @@ def linked(docs: DataFrame, stars: DataFrame, known: DataFrame, ties: DataFrame,
         placed = _open(members, class_of)
         if first_key_only:
             placed = placed.join(placed.groupBy("id").agg(F.min("key").alias("key")), ["key", "id"], "left_semi")
-        class_of = _merged(class_of, verified(across_pairs(once(written(placed, "open")), known, percent), docs, words, percent))
+        class_of = _merged(class_of, verified(across_pairs(once(written(placed, "open")), known, percent), docs, wide, words, percent))
     return class_of
 
 
@@ -363,12 +400,13 @@ def near_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     every = written(features(docs, words), "features")
     filled = every.filter("n > 0 and doc_id is not null")
     groups = written(filled.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "sets")
-    total = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    rows = written(lookup(filled, groups, ["h1", "h2", "n"], ["first_id"], "copies", total), "rows")
+    total, tokens = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("copies"), F.col("copies") * F.col("n"))]).first()
+    wide = written(filled.dropDuplicates(["doc_id", "h1", "h2", "n"]).select("doc_id", "n", "wide"), "wide")
+    rows = written(lookup(filled.drop("wide"), groups, ["h1", "h2", "n"], ["first_id"], "copies", total), "rows")
     known = rows.filter("doc_id = first_id").select("doc_id", "n", "sketch").dropDuplicates(["doc_id", "n"])
     # fewer than HOT_SHARE sets
     hot = {(r["h1"], r["h2"], r["n"]): r["first_id"] for r in groups.filter(F.col("copies") > max(1, total // HOT_SHARE)).collect()}
-    stars = star_pairs(docs, words, percent, hot)
+    stars = star_pairs(docs, words, percent, hot, -(-tokens // TASK_TOKENS))
     for c in ("a", "b"):
         at = rows.select(F.col("doc_id").alias(c), F.col("first_id").alias(f"{c}_first"))
         stars = stars.join(at, c)
@@ -376,7 +414,7 @@ def near_classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # a repeated doc_id ties the sets of its rows together
     apart = rows.groupBy("doc_id").agg(F.min("first_id").alias("a"), F.max("first_id").alias("z")).filter("a < z")
     ties = rows.join(apart, "doc_id").select("a", F.col("first_id").alias("b"))
-    of = linked(docs, stars, known, ties, words, percent).select(F.col("id").alias("first_id"), F.col("component"))
+    of = linked(docs, stars, known, wide, ties, words, percent).select(F.col("id").alias("first_id"), F.col("component"))
     remove(stars)  # ``linked`` is written
     labelled = rows.join(of, "first_id", "left").select("doc_id", F.col("n").alias("n_shingles"),
                                                         F.coalesce("component", "first_id").alias("component_id"))

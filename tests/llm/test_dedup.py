@@ -1,4 +1,5 @@
 import random
+import time
 
 import pyarrow as pa
 
@@ -146,3 +147,68 @@ def test_a_long_text_is_hashed_whole_in_any_slice(monkeypatch):
     whole = [s.tolist() for s in near_join.shingle_sets(texts, 3)]
     monkeypatch.setattr(near_join, "text_slices", lambda c: common.text_slices(c, 1 << 24))
     assert whole == [s.tolist() for s in near_join.shingle_sets(texts, 3)] and len(whole[0]) == 59_998
+
+
+def large_rows():
+    """Texts of 2,400 to 5,000 words that share a passage, one of them with edited copies on both sides of a sketch width."""
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randrange(10 ** 6)}"
+    passage = [word() for _ in range(400)]
+    texts = [passage + [word() for _ in range(n - 400)] for n in (2400, 2500, 2600, 2700, 2800, 2900, 3050, 3100, 3300, 4900) * 3]
+    copies = []
+    for extra, edits in ((0, 20), (150, 30), (300, 10)):  # 3,072 tokens are the most of 2,048 bits
+        own = [*texts[6], *[word() for _ in range(extra)]]
+        for _ in range(edits):
+            own[rng.randrange(len(own))] = word()
+        copies.append(own)
+    return [(i, " ".join(t)) for i, t in enumerate(texts + copies)]
+
+
+def test_sets_of_large_unlike_texts_are_not_moved(spark, make_docs, monkeypatch):
+    """A passage makes large texts candidates; the sketch of 1,024 bits lets all of them pass, the wide one their copies alone."""
+    rows, moved, sets_of = large_rows(), set(), near_join.shingles
+
+    def shingles(docs, words):
+        moved.update(r["doc_id"] for r in docs.select("doc_id").collect())
+        return sets_of(docs, words)
+
+    monkeypatch.setattr(near_join, "shingles", shingles)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_join.near_classes(make_docs(rows), 5, 80).collect()}
+    assert got == brute_classes(rows, 5, 80) and [got[i][1] for i in (30, 31, 32)] == [6, 6, 6]
+    assert moved == {6, 30, 31, 32}
+
+
+def test_wide_sketches_lose_no_pair(spark, make_docs):
+    rows = large_rows() + [(40, "a b c d e f g"), (41, None)]
+    sets = {i: shingle_set(t, 5) for i, t in rows}
+    wide = near_join.features(make_docs(rows), 5).select("doc_id", "n", "wide")
+    bits = {r["doc_id"]: 64 * len(r["wide"]) if r["wide"] else 0 for r in wide.collect()}
+    assert {bits[i] for i in (6, 30)} == {2048} and {bits[9], bits[31], bits[32]} == {4096} and bits[40] == bits[41] == 0
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    for percent in (80, 30):
+        kept = {tuple(r) for r in near_join.wide_filter(spark.createDataFrame(pairs, "a bigint, b bigint"), wide, percent).collect()}
+        alike = {(a, b) for a, b in pairs if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert alike <= kept and {p for p in pairs if 40 in p or 41 in p} <= kept
+    big = near_join.np.arange(10 ** 6, dtype=near_join.np.uint64)
+    assert 64 * len(near_join.wide_sketch(near_join.mix(big))) == near_join.MOST_BITS and near_join.wide_sketch(big[:near_join.NARROW]) is None
+
+
+def test_keys_of_much_text_are_sorted_in_more_tasks(make_docs):
+    docs = make_docs([(1, "a b c d e f"), (2, "a b c d e f g")])
+    plan = lambda tasks: near_join.star_pairs(docs, 3, 80, {}, tasks)._jdf.queryExecution().executedPlan().toString()
+    assert ", 999), REPARTITION_BY_NUM" in plan(999) and "REPARTITION_BY_COL" in plan(1)
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_shuffles_of_a_written_table_are_deleted(spark):
+    before = shuffle_files(spark)
+    table = common.written(spark.range(1000).repartition(5, "id").groupBy("id").count(), "few")
+    until = time.time() + 20
+    while shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before and table.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
