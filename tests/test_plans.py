@@ -1,5 +1,6 @@
 """Objectives, fronts, crowding, search properties and planning jobs."""
 
+import os
 import random
 
 import numpy as np
@@ -162,6 +163,28 @@ def test_best_never_gets_worse(spark):
     assert low(longer) <= low(small) + 1e-12
 
 
+def test_carriers_are_columns_and_replaced_ones_are_deleted(spark, monkeypatch):
+    """At most two tables of carriers lie in the shared folder at a time, none after the search; no carrier is checkpointed."""
+    monkeypatch.setattr(gene_arrays, "REPLAYED", 3)
+    folders, lying, cut = [], [], []
+
+    def stored(df, name, real=search.stored):
+        table = real(df, name)
+        folders.append(table.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://"))
+        lying.append(sum(map(os.path.isdir, folders)))
+        return table
+
+    def cut_lineage(df, real=search.cut_lineage):
+        cut.extend(df.columns)
+        return real(df)
+
+    monkeypatch.setattr(search, "stored", stored)
+    monkeypatch.setattr(search, "cut_lineage", cut_lineage)
+    population, ranked = search.evolve(scenario(spark), search.SearchConfig(population_size=6, generations=10))
+    assert lying == [1, 2, 2, 2] and not any(map(os.path.exists, folders)) and "genes" in cut and "a_genes" not in cut
+    assert ranked.count() == 12 and {len(r["genes"]) for r in population.collect()} == {6}
+
+
 def test_replay_grows_only_ancestors_and_matches_every_generation(monkeypatch):
     n, rng = 10, np.random.default_rng(4)
     options = np.array([[0, 3, -1], [1, 2, -1], [3, -1, -1], [0, 1, 2]] * 6, np.int16)
